@@ -420,4 +420,14 @@ FROM u JOIN iv ON u.u >= iv.lo AND u.u < iv.hi"""
 SELECT Id, round(x * 1.5::DOUBLE, 6) AS c_acctbal,
        CASE WHEN {_u('c_custkey', '#drift')} < 0.7::DOUBLE THEN 'BUILDING' ELSE 'AUTOMOBILE' END AS c_mktsegment
 FROM syn"""
+    # ---- streaming (results equal the batch operators)
+    q["stream_flatten"] = f"WITH {PAYLOAD}\nSELECT {FLAT_POS_COLS} FROM recs"
+    q["stream_dedup"] = q["stream_flatten"]
+    q["stream_window"] = q["window_profile"]
+    q["stream_onboard"] = f"""WITH {FEED}
+SELECT customer_id, customer_name, schema_name, cloud_provider, data_path, coalesce(is_active, true) AS is_active,
+       'ACTIVE' AS onboarding_status, CAST(NULL AS TIMESTAMP) AS last_pipeline_run, 'feed_onboarding' AS created_by
+FROM feed"""
+    q["stream_approvals"] = f"""WITH {SCORED}, {LEDGER}
+SELECT run_id, approved_flag, updated_on, seq FROM lastled"""
     return q
