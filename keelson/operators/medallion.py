@@ -36,15 +36,19 @@ def bronze(raw: DataFrame, as_of: Column | None = None, with_stamp: bool = False
 
 def silver_clean(bronze_df: DataFrame, schema: T.StructType, *, payload_col: str = "raw_payload",
                  as_of: Column | None = None, with_stamp: bool = False) -> DataFrame:
-    """Valid = every schema field parses to a non-null value."""
-    clean = F.trim(F.col(payload_col))
-    parsed = F.from_json(clean, schema)
-    valid = None
+    """Valid = every schema field parses to a non-null value.
+
+    The parsed struct is produced by a generator (``inline``) so each line is
+    parsed exactly once: a filter on generator output is not pushed below it,
+    whereas filtering on ``from_json(..).field`` directly makes the optimizer
+    split the parse into one ``from_json`` per tested field."""
+    cleaned = bronze_df.select(F.trim(F.col(payload_col)).alias("clean_payload"))
+    parsed = cleaned.select("clean_payload", F.inline(F.array(F.struct(
+        F.from_json(F.col("clean_payload"), schema).alias("__p")))))
+    valid = F.col("clean_payload") != ""
     for f in schema.fields:
-        ok = parsed[f.name].isNotNull()
-        valid = ok if valid is None else (valid & ok)
-    s = (bronze_df.select(clean.alias("clean_payload"), valid.alias("__ok"))
-         .where((F.col("clean_payload") != "") & F.col("__ok"))
+        valid = valid & F.col("__p")[f.name].isNotNull()
+    s = (parsed.where(valid)
          .select(F.sha2(F.col("clean_payload"), 256).alias("record_id"), "clean_payload")
          .distinct())
     if with_stamp:

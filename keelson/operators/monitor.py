@@ -65,10 +65,12 @@ def flatten_payload(payload: DataFrame, request_schema: T.StructType, response_s
 def prediction_fallback(df: DataFrame, pred_col: str = "prediction") -> DataFrame:
     """Keep rows with a prediction; if *no* row has one, keep every row.
 
-    The "any valid row?" flag is a scalar subquery: Spark runs it once as its
-    own tiny job (an aggregate to one boolean) and inlines the value, so there
-    is no cross join, no global window and no driver round trip."""
-    any_valid = df.select(F.coalesce(F.max(F.col(pred_col).isNotNull()), F.lit(False))).scalar()
+    The "any valid row?" flag is a scalar subquery with ``LIMIT 1``: Spark
+    runs it once, scanning partitions incrementally and stopping at the first
+    row with a prediction, and inlines the value -- no cross join, no global
+    window, no second full pass when valid rows exist."""
+    probe = df.where(F.col(pred_col).isNotNull()).select(F.lit(True).alias("v")).limit(1)
+    any_valid = F.coalesce(probe.scalar(), F.lit(False))
     return df.filter(F.col(pred_col).isNotNull() | ~any_valid)
 
 

@@ -1,0 +1,112 @@
+"""End-to-end jobs: the original entry points as single Spark plans.
+
+* ``prepare_training_data`` -- raw CSV -> features -> seeded split -> stamped
+  train / test tables (one plan; the only extra job is the rare-fold count,
+  which Spark runs as part of the same query).
+* ``refresh_monitoring``     -- payloads -> monitoring rows, fallback rule,
+  one append; stage counts collected by ``observe`` during that same write
+  instead of five separate count jobs.
+* ``train_and_register``     -- fit, evaluate, log the run, gate against the
+  deployed version, register a new version when the gate passes.
+* ``deployment_decision``    -- gate -> approvals -> deployable candidates.
+* ``onboard_tenants``        -- landed feed -> new tenants appended.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from keelson.operators import encode, metrics, monitor, onboard, prep, registry, split, train
+from keelson.sources import tables
+
+__all__ = ["prepare_training_data", "refresh_monitoring", "train_and_register",
+           "deployment_decision", "onboard_tenants"]
+
+
+def prepare_training_data(spark: SparkSession, raw: DataFrame, spec: prep.PrepSpec, train_table: str,
+                          test_table: str, *, test_fraction: float = 0.2, seed: int = 42,
+                          as_of: Column | None = None) -> None:
+    feats = prep.feature_prep(raw, spec)
+    tr, te = split.split_frames(feats, spec.id_out, test_fraction, seed)
+    tables.save_split(tr, te, train_table, test_table, as_of)
+
+
+def refresh_monitoring(payload: DataFrame, request_schema: T.StructType, response_schema: T.StructType,
+                       monitoring_table: str, *, model_name: str, align: str = "position",
+                       passthrough: Sequence[str] = (), write: bool = True) -> dict:
+    """Flatten, apply the fallback rule, append once.  Returns the observed
+    counts of the rows written (no extra job)."""
+    flat = monitor.flatten_payload(payload, request_schema, response_schema, align=align,
+                                   model_name=model_name, passthrough=passthrough)
+    kept = monitor.prediction_fallback(flat)
+    obs = Observation("monitoring_refresh")
+    observed = kept.observe(obs, F.count(F.lit(1)).alias("n_written"),
+                            F.count("prediction").alias("n_with_prediction"))
+    if write:
+        tables.append(observed, monitoring_table)
+    else:
+        observed.write.format("noop").mode("overwrite").save()
+    return obs.get
+
+
+def train_and_register(spark: SparkSession, train_df: DataFrame, test_df: DataFrame, *,
+                       feature_cols: Sequence[str], cat_cols: Sequence[str], label_col: str,
+                       run_id: str, model_name: str, runs_table: str, versions_table: str,
+                       aliases_table: str, params: Mapping[str, float] | None = None,
+                       tie_passes: bool = True):
+    """Fit -> metrics -> run log -> champion/challenger gate -> register.
+
+    Returns (model, gate row DataFrame)."""
+    enc_train, enc_test = encode.encode_categories(train_df, [train_df, test_df], cat_cols)
+    cols = list(feature_cols)
+    enc_train = enc_train.select(*[F.col(c).cast("double") if c in cat_cols else F.col(c)
+                                   for c in enc_train.columns])
+    enc_test = enc_test.select(*[F.col(c).cast("double") if c in cat_cols else F.col(c)
+                                 for c in enc_test.columns])
+    model = train.fit_gbt(enc_train, cols, label_col, params)
+    scored = train.score_gbt(model, enc_test, cols, [label_col])
+    m = metrics.classification_metrics(scored, label_col, "prediction").select(
+        "accuracy", "precision", "recall", F.col("f1").alias("f1_score"))
+    tables.log_run(spark, runs_table, run_id, {**train.GBT_DEFAULTS, **(params or {})}, m)
+    runs = tables.read_table(spark, runs_table)
+    versions = tables.read_table(spark, versions_table)
+    aliases = tables.read_table(spark, aliases_table)
+    cand = spark.range(1).select(F.lit(run_id).alias("candidate_run_id"), F.lit(model_name).alias("model_name"))
+    gate = registry.gate_improved(cand, runs, versions, aliases, tie_passes=tie_passes)
+    new = (gate.where("improved")
+           .join(runs.select(F.col("run_id").alias("candidate_run_id"), "start_time"), "candidate_run_id")
+           .select(F.col("candidate_run_id").alias("run_id"), "start_time", "model_name"))
+    reg = registry.register_versions(versions, new).checkpoint(eager=True)
+    tables.append(reg.select("model_name", F.col("version").cast("string").alias("version"), "run_id",
+                             F.current_timestamp().alias("created_at")), versions_table)
+    tables.append(reg.where("is_latest").select("model_name", F.lit(registry.DEFAULT_ALIAS).alias("alias"),
+                                                F.col("version").cast("string").alias("version"),
+                                                F.current_timestamp().alias("updated_at")), aliases_table)
+    return model, gate
+
+
+def deployment_decision(candidates: DataFrame, runs: DataFrame, versions: DataFrame, aliases: DataFrame,
+                        ledger: DataFrame, **gate_kw) -> DataFrame:
+    g = registry.gate_decision(candidates, runs, versions, aliases, **gate_kw)
+    req = candidates.select(F.col("candidate_run_id").alias("run_id"))
+    appr = registry.resolve_approvals(req, ledger)
+    return registry.deployable(g, appr)
+
+
+def onboard_tenants(spark: SparkSession, feed: DataFrame, master_table: str, *,
+                    key: str = "customer_id", as_of: Column | None = None) -> DataFrame:
+    """New tenants (first per id, not stored yet) appended to the master table.
+    Returns the rejected feed rows (missing fields / duplicates / existing)."""
+    stored = tables.read_table(spark, master_table).select(key)
+    checked = onboard.reject_reasons(feed)
+    valid = feed.join(checked.where("valid").select(key), key, "left_semi")
+    status = onboard.classify_ids(valid.withColumn("__seq", F.lit(0)), stored, key, ["__seq"])
+    new = status.where(F.col("status") == "ok").drop("status", "__seq")
+    new = onboard.first_per_key(new, key, [key])
+    rows = onboard.master_rows(new, as_of=as_of, with_stamps=True).checkpoint(eager=True)
+    tables.append(rows, master_table)
+    return checked.where(~F.col("valid"))

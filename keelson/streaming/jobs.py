@@ -22,13 +22,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from keelson.operators import monitor, onboard, registry
+from keelson.sources.tables import latest_snapshot, write_snapshot
 
 __all__ = ["flatten_stream", "profile_stream", "onboard_stream", "ledger_stream", "run",
            "latest_snapshot"]
@@ -93,28 +93,8 @@ def profile_stream(source: DataFrame, out_dir: str, checkpoint: str, *, ts_col:
     return _trigger(w, available_now, interval).start()
 
 
-def latest_snapshot(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
-    """Newest committed snapshot of a table kept as ``<dir>/v=<n>`` folders,
-    committed by a ``_manifest`` row written after the data (optionally the
-    newest one older than version ``before``)."""
-    mdir = os.path.join(table_dir, "_manifest")
-    try:
-        man = spark.read.parquet(mdir)
-    except AnalysisException:  # nothing committed yet
-        return None
-    if before is not None:
-        man = man.where(F.col("version") < before)
-    latest = man.agg(F.max("version")).first()[0]
-    if latest is None:
-        return None
-    return spark.read.parquet(os.path.join(table_dir, f"v={latest}"))
-
-
 def _commit_snapshot(spark: SparkSession, df: DataFrame, table_dir: str, version: int) -> None:
-    """Write the snapshot data, then append the manifest row (atomic switch)."""
-    df.write.mode("overwrite").parquet(os.path.join(table_dir, f"v={version}"))
-    (spark.createDataFrame([(int(version),)], "version long")
-     .write.mode("append").parquet(os.path.join(table_dir, "_manifest")))
+    write_snapshot(spark, df, table_dir, version)
 
 
 def _stateful_sink(spark: SparkSession, table_dir: str, seed: DataFrame | None,
