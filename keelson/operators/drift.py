@@ -35,19 +35,35 @@ def binned_divergence(baseline: DataFrame, current: DataFrame, value_col: str,
     Proportions below ``floor`` are raised to it.  Bins are equal-width over
     the baseline's [min, max] per group; values outside fall in the end bins."""
     g = list(group_cols)
-    rng = baseline.groupBy(*g).agg(F.min(value_col).alias("__lo"), F.max(value_col).alias("__hi"))
-    grid = rng.select(*g, "__lo", "__hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-
-    def counts(side: DataFrame, name: str) -> DataFrame:
-        s = side.where(F.col(value_col).isNotNull()).join(rng, g, "inner")
-        return (s.groupBy(*g, _bin_of(F.col(value_col), F.col("__lo"), F.col("__hi"), bins).alias("bin"))
-                .agg(F.count(F.lit(1)).alias(name)))
-
-    tb = baseline.where(F.col(value_col).isNotNull()).groupBy(*g).agg(F.count(F.lit(1)).alias("__nb"))
-    tc = current.where(F.col(value_col).isNotNull()).groupBy(*g).agg(F.count(F.lit(1)).alias("__nc"))
-    j = (grid.join(counts(baseline, "__b"), [*g, "bin"], "left")
-         .join(counts(current, "__c"), [*g, "bin"], "left")
-         .join(tb, g, "left").join(tc, g, "left"))
+    v = F.col(value_col)
+    base = baseline.where(v.isNotNull())
+    cur = current.where(v.isNotNull())
+    if g:
+        rng = base.groupBy(*g).agg(F.min(value_col).alias("__lo"), F.max(value_col).alias("__hi"))
+        grid = rng.select(*g, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+
+        def counts(side: DataFrame, name: str) -> DataFrame:
+            s = side.join(rng, g, "inner")
+            return (s.groupBy(*g, _bin_of(v, F.col("__lo"), F.col("__hi"), bins).alias("bin"))
+                    .agg(F.count(F.lit(1)).alias(name)))
+
+        tb = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__nb"))
+        tc = cur.groupBy(*g).agg(F.count(F.lit(1)).alias("__nc"))
+        j = (grid.join(counts(base, "__b"), [*g, "bin"], "left")
+             .join(counts(cur, "__c"), [*g, "bin"], "left")
+             .join(tb, g, "left").join(tc, g, "left"))
+    else:
+        # no group: range and totals are one-value scalar subqueries (no join)
+        lo, hi = base.select(F.min(value_col)).scalar(), base.select(F.max(value_col)).scalar()
+        spark = baseline.sparkSession
+
+        def counts(side: DataFrame, name: str) -> DataFrame:
+            return side.groupBy(_bin_of(v, lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias(name))
+
+        grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+        j = (grid.join(counts(base, "__b"), "bin", "left").join(counts(cur, "__c"), "bin", "left")
+             .withColumns({"__nb": base.select(F.count(F.lit(1))).scalar(),
+                           "__nc": cur.select(F.count(F.lit(1))).scalar()}))
     p = F.greatest(F.coalesce(F.col("__b"), F.lit(0)) / F.col("__nb"), F.lit(floor))
     q = F.greatest(F.coalesce(F.col("__c"), F.lit(0)) / F.col("__nc"), F.lit(floor))
     j = j.withColumns({"__p": p, "__q": q}).withColumn("__m", (F.col("__p") + F.col("__q")) / 2)
