@@ -1,0 +1,138 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from keelson.operators import prep, synth
+from keelson.plans import fixtures as fx
+from keelson.plans import pipelines
+from keelson.sources import tables
+from tests.conftest import SF_SMOKE, rows
+
+
+def test_csv_scan_with_header_and_schema(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "raw.csv")
+    with open(path, "w") as f:
+        f.write("PageID,Height (m),Alive\n1,1.8,Alive\n2,,Dead\n")
+    df = tables.scan_csv(spark, path, "PageID long, `Height (m)` double, Alive string")
+    assert rows(df) == [(1, 1.8, "Alive"), (2, None, "Dead")]
+
+
+def test_json_feed(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "feed.json")
+    with open(path, "w") as f:
+        f.write('[{"customer_id": "1", "is_active": 1}, {"customer_id": "2"}]')
+    df = tables.read_json_feed(spark, path, "customer_id string, is_active int", multiline=True)
+    assert rows(df) == [("1", 1), ("2", None)]
+
+
+def test_require_columns_and_signature(spark):
+    df = spark.createDataFrame([(1, "a")], "x int, y string")
+    with pytest.raises(ValueError, match="missing required columns: z"):
+        tables.require_columns(df, ["x", "z"])
+    sig = tables.schema_json(df, ["x"])
+    tables.check_signature(df, sig)
+    with pytest.raises(ValueError):
+        tables.check_signature(df.select(F.col("x").cast("string").alias("x")), sig)
+
+
+def test_control_table_latest_wins(spark, tmp_dir):
+    t = os.path.join(tmp_dir, "control")
+    tables.control_set(spark, t, True, as_of=F.lit("2024-01-01").cast("timestamp"))
+    tables.control_set(spark, t, False, as_of=F.lit("2024-02-01").cast("timestamp"))
+    assert tables.control_get(spark, t).first()["allow_training"] is False
+
+
+def test_provision_layers_idempotent(spark):
+    names = tables.provision_layers(spark, "tenant_layers")
+    tables.provision_layers(spark, "tenant_layers")
+    assert names == ["tenant_layers.bronze_raw", "tenant_layers.silver_clean", "tenant_layers.gold_features"]
+    cols = spark.table("tenant_layers.gold_features").columns
+    assert cols == ["feature_1", "feature_2", "label", "train_ts", "customer_id"]
+
+
+def test_snapshot_manifest(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "snap")
+    assert tables.latest_snapshot(spark, d) is None
+    tables.write_snapshot(spark, spark.range(3), d, 1)
+    tables.write_snapshot(spark, spark.range(5), d, 2)
+    tables.write_snapshot(spark, spark.range(5), d, 2)  # retried commit
+    assert tables.latest_snapshot(spark, d).count() == 5
+    assert tables.latest_snapshot(spark, d, before=2).count() == 3
+
+
+def test_prepare_training_data(spark, tmp_dir):
+    raw = fx.entity_raw(fx.table(spark, SF_SMOKE, "part"))
+    tr, te = os.path.join(tmp_dir, "train"), os.path.join(tmp_dir, "test")
+    pipelines.prepare_training_data(spark, raw, fx.ENTITY_SPEC, tr, te,
+                                    as_of=F.lit("2024-01-01").cast("timestamp"))
+    a, b = spark.read.parquet(tr), spark.read.parquet(te)
+    full = prep.feature_prep(raw, fx.ENTITY_SPEC)
+    assert a.count() + b.count() == full.count()
+    assert a.join(b, "Id").count() == 0
+    assert "update_timestamp_utc" in a.columns
+
+
+def test_refresh_monitoring_observes_counts(spark, tmp_dir):
+    pay = fx.payload_table(fx.table(spark, SF_SMOKE, "events"))
+    out = os.path.join(tmp_dir, "monitoring")
+    counts = pipelines.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out,
+                                          model_name="m", passthrough=["request_id"])
+    written = spark.read.parquet(out)
+    assert counts["n_written"] == written.count() == counts["n_with_prediction"]
+
+
+def test_train_and_register_first_run_then_gate(spark, tmp_dir):
+    docs = fx.table(spark, SF_SMOKE, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"))
+    lab = docs.join(fx.table(spark, SF_SMOKE, "labels").select("doc_id", "quality"), "doc_id")
+    tr, te = lab.where(F.col("doc_id") % 5 != 0), lab.where(F.col("doc_id") % 5 == 0)
+    runs, versions, aliases = (os.path.join(tmp_dir, n) for n in ("runs", "versions", "aliases"))
+    spark.createDataFrame([], tables.RUNS_SCHEMA).write.parquet(runs)
+    spark.createDataFrame([], "model_name string, version string, run_id string, created_at timestamp").write.parquet(versions)
+    spark.createDataFrame([], "model_name string, alias string, version string, updated_at timestamp").write.parquet(aliases)
+    kw = dict(feature_cols=["lang", "n_chars"], cat_cols=["lang"], label_col="quality", model_name="m",
+              runs_table=runs, versions_table=versions, aliases_table=aliases,
+              params={"n_estimators": 3, "max_depth": 2})
+    _, gate = pipelines.train_and_register(spark, tr, te, run_id="run-1", **kw)
+    assert gate.first()["improved"] is True
+    v = spark.read.parquet(versions)
+    assert rows(v, "version", "run_id") == [("1", "run-1")]
+    _, gate2 = pipelines.train_and_register(spark, tr, te, run_id="run-2", **kw)
+    assert gate2.first()["improved"] is True  # same data, same F1: tie passes
+    assert rows(spark.read.parquet(versions), "version") == [("1",), ("2",)]
+    assert spark.read.parquet(runs).count() == 2
+
+
+def test_onboard_tenants_twice_adds_nothing(spark, tmp_dir):
+    c = fx.table(spark, SF_SMOKE, "customer")
+    master = os.path.join(tmp_dir, "master")
+    seed = fx.stored_tenants(c)
+    from keelson.operators import onboard
+    onboard.master_rows(seed, with_stamps=True).write.parquet(master)
+    feed = fx.tenant_feed_with_gaps(c)
+    rej = pipelines.onboard_tenants(spark, feed, master)
+    n1 = spark.read.parquet(master).count()
+    pipelines.onboard_tenants(spark, feed, master)
+    assert spark.read.parquet(master).count() == n1
+    assert rej.count() == feed.join(onboard.reject_reasons(feed).where("not valid"), "customer_id").count()
+    ids = spark.read.parquet(master).groupBy("customer_id").count().where("count > 1")
+    assert ids.count() == 0
+
+
+def test_synthetic_distributions(spark):
+    src = spark.range(20000).select(F.col("id").alias("k"), (F.col("id") % 100).cast("double").alias("x"),
+                                    F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("c"),
+                                    F.timestamp_seconds(F.col("id") * 60).alias("t"))
+    keys = src.select("k")
+    out = keys.select("k", synth.synthesize_numeric(src, "k", "x", floor=0.1).alias("x"),
+                      synth.synthesize_timestamp(src, "k", "t").alias("t"))
+    st = out.agg(F.avg("x"), F.stddev("x"), F.min("x"), F.min("t"), F.max("t")).first()
+    assert abs(st[0] - 49.5) < 1.5 and abs(st[1] - 28.9) < 1.5 and st[2] >= 0.1
+    bounds = src.agg(F.min("t"), F.max("t")).first()
+    assert bounds[0] <= st[3] and st[4] <= bounds[1]
+    cat = synth.synthesize_category(src, keys, "k", "c")
+    share = cat.agg(F.avg((F.col("c") == "a").cast("double"))).first()[0]
+    assert cat.count() == 20000 and abs(share - 0.25) < 0.02
+    d = synth.inject_drift(out.withColumn("g", F.lit(None).cast("string")), "k", ["x"], "g", ["M", "F"])
+    share_m = d.agg(F.avg((F.col("g") == "M").cast("double"))).first()[0]
+    assert abs(share_m - 0.7) < 0.02
