@@ -144,6 +144,15 @@ def scored_docs(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def model_of(run_id) -> "F.Column":
+    """Model a run belongs to (runs ``src<N>`` belong to the one fixture model).
+
+    Derived from the data, never a literal: a literal key on both sides of a
+    join lets the optimizer fold ``a.model = b.model`` to true and plan a
+    cross join."""
+    return F.regexp_replace(run_id, r"^src[0-9]+$", MODEL_NAME)
+
+
 def model_runs(scored: DataFrame) -> DataFrame:
     """Run log: (run_id, start_time, params, metrics map<string,string>).
 
@@ -171,7 +180,7 @@ def model_runs(scored: DataFrame) -> DataFrame:
 
 def model_versions(runs: DataFrame, max_num: int | None = None) -> DataFrame:
     r = runs if max_num is None else runs.where(F.col("version_num") <= max_num)
-    return r.select(F.lit(MODEL_NAME).alias("model_name"),
+    return r.select(model_of(F.col("run_id")).alias("model_name"),
                     F.col("version_num").cast("string").alias("version"),
                     "run_id", F.col("start_time").alias("created_at"))
 
@@ -184,7 +193,7 @@ def model_aliases(versions: DataFrame) -> DataFrame:
 
 def candidates(runs: DataFrame) -> DataFrame:
     return (runs.where(F.col("version_num").cast("string") != DEPLOYED_VERSION)
-            .select(F.col("run_id").alias("candidate_run_id"), F.lit(MODEL_NAME).alias("model_name"),
+            .select(F.col("run_id").alias("candidate_run_id"), model_of(F.col("run_id")).alias("model_name"),
                     F.col("version_num").cast("string").alias("model_version")))
 
 
@@ -194,9 +203,10 @@ def approval_ledger(events: DataFrame) -> DataFrame:
     """Approval sheet rows from events of users 0..19 (run src<user>)."""
     e = events.where(F.col("user_id") < 20)
     et = F.col("event_type")
+    run = F.concat(F.lit("src"), F.col("user_id").cast("string"))
     return e.select(
-        F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("run_id"),
-        F.lit(MODEL_NAME).alias("model_name"),
+        run.alias("run_id"),
+        model_of(run).alias("model_name"),
         F.col("user_id").cast("string").alias("model_version"),
         F.when(et.isin("click", "view"), F.lit(" true ")).when(et == "error", F.lit("FALSE"))
          .otherwise(F.lit("maybe")).alias("approved_flag"),

@@ -283,7 +283,7 @@ def q_gate_improved(spark, d):
 def q_register_versions(spark, d):
     runs = fx.model_runs(_scored(spark, d))
     existing = fx.model_versions(runs, max_num=10)
-    new = runs.select("run_id", "start_time", F.lit(fx.MODEL_NAME).alias("model_name"))
+    new = runs.select("run_id", "start_time", fx.model_of(F.col("run_id")).alias("model_name"))
     return registry.register_versions(existing, new)
 
 
