@@ -12,7 +12,7 @@ __all__ = [
     "contains_any", "first_match_class", "binary_target", "epoch_ms",
     "label_decode", "endpoint_slug", "flag_text", "approval_decision",
     "action_to_flag", "approval_link", "first_present_metric", "safe_double",
-    "missing_fields", "as_utc_timestamp",
+    "missing_fields", "as_utc_timestamp", "iso_stamp", "dated_name",
 ]
 
 
@@ -157,3 +157,13 @@ def missing_fields(cols: Sequence[str]) -> Column:
     names = [F.when(F.col(c).isNull(), F.lit(c)) for c in cols]
     joined = F.concat_ws(",", *names)
     return F.when(joined == "", F.lit(None).cast("string")).otherwise(joined)
+
+
+def iso_stamp(c: str | Column) -> Column:
+    """UTC ISO-8601 text stamp (microseconds), e.g. 2024-01-01T00:00:00.000000."""
+    return F.date_format(as_col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def dated_name(prefix: str, c: str | Column) -> Column:
+    """``<prefix>-YYYY-MM-DD`` run name from a timestamp."""
+    return F.concat(F.lit(prefix + "-"), F.date_format(as_col(c), "yyyy-MM-dd"))

@@ -16,7 +16,7 @@ from keelson.operators.ordered import running_totals
 
 __all__ = [
     "value_counts", "value_freqs", "distinct_count", "numeric_profile", "confusion_counts",
-    "classification_metrics", "confusion_matrix", "roc_auc", "split_counts",
+    "classification_metrics", "confusion_matrix", "roc_auc", "split_counts", "log_loss",
 ]
 
 
@@ -107,3 +107,14 @@ def roc_auc(df: DataFrame, label_col: str = "label", score_col: str = "score",
 
 def split_counts(df: DataFrame, split_col: str = "split") -> DataFrame:
     return df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n"))
+
+
+def log_loss(df: DataFrame, label_col: str = "label", prob_col: str = "probability",
+             group_cols: Sequence[str] = (), eps: float = 1e-15, decimals: int | None = 6) -> DataFrame:
+    """Mean binary cross-entropy, probabilities clipped to [eps, 1 - eps]."""
+    p = F.least(F.greatest(F.col(prob_col), F.lit(eps)), F.lit(1 - eps))
+    y = F.col(label_col).cast("double")
+    term = -(y * F.log(p) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - p))
+    ll = F.avg(term)
+    return df.where(F.col(prob_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("n"), (F.round(ll, decimals) if decimals is not None else ll).alias("log_loss"))

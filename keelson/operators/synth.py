@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from keelson.functions.hashing import std_normal, uniform01
 
 __all__ = ["synthesize_numeric", "synthesize_category", "synthesize_timestamp", "inject_drift",
-           "synthetic_ids"]
+           "synthetic_ids", "synthetic_keys", "DEFAULT_ROWS", "DEFAULT_TEST_ROWS"]
 
 # --- fixed values of the original generator ---
 PHYSICAL_FLOOR = 0.1
 DRIFT_SCALE = 1.5
 DRIFT_MIX = (0.7, 0.3)
+DEFAULT_ROWS = 500
+DEFAULT_TEST_ROWS = 100
 # --- end of fixed values ---
 
 _CDF_GRID = 1024
@@ -98,3 +100,10 @@ def inject_drift(df: DataFrame, key_col: str, numeric_cols: Sequence[str], categ
             expr = F.when(u < F.lit(edge), F.lit(cat)) if expr is None else expr.when(u < F.lit(edge), F.lit(cat))
         out = out.withColumn(category_col, expr.otherwise(F.lit(categories[-1])))
     return out
+
+
+def synthetic_keys(spark, num_rows: int = DEFAULT_ROWS, key_col: str = "k") -> DataFrame:
+    """Keys for a fixed number of synthetic rows (the original's ``num_rows``;
+    500 for training data, 100 for test data).  ``spark.range`` is generated
+    on the executors, nothing is built on the driver."""
+    return spark.range(num_rows).withColumnRenamed("id", key_col)

@@ -284,6 +284,13 @@ SELECT run_id, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_
        round(CASE WHEN sum(pos) * sum(neg) > 0
                   THEN sum(pos * (cneg - neg + neg * 0.5::DOUBLE)) / (sum(pos) * sum(neg)) END, 6) AS auc
 FROM cu GROUP BY run_id"""
+    q["log_loss"] = f"""WITH {SCORED}, pr AS (SELECT run_id, label,
+       least(greatest(score / (score + 2000.0::DOUBLE), 1e-15::DOUBLE), 1.0::DOUBLE - 1e-15::DOUBLE) AS p FROM scored)
+SELECT run_id, count(*) AS n, round(avg(-(label * ln(p) + (1.0::DOUBLE - label) * ln(1.0::DOUBLE - p))), 6) AS log_loss
+FROM pr GROUP BY run_id"""
+    q["run_names"] = f"""WITH {SCORED}
+SELECT run_id, 'wrapper-gbt-' || strftime(start_time, '%Y-%m-%d') AS run_name,
+       strftime(start_time, '%Y-%m-%dT%H:%M:%S.%f') AS created_at_text FROM mt"""
     q["first_metric"] = f"""WITH {SCORED}
 SELECT run_id, CASE WHEN version_num % 5 = 0 THEN 'f1_score' ELSE 'accuracy' END AS metric_name,
        round(CASE WHEN version_num % 5 = 0 THEN f1 WHEN version_num % 7 = 3 THEN NULL ELSE accuracy END, 6) AS metric_value
@@ -389,6 +396,8 @@ SELECT 'orders' AS table_name, max(version) AS version, arg_max(n, version) AS n
        round(stddev_samp(o_totalprice), 6) AS std_o_totalprice, min(o_orderdate) AS min_o_orderdate,
        max(o_orderdate) AS max_o_orderdate FROM orders GROUP BY o_orderstatus"""
     q["value_counts"] = "SELECT p_type, count(*) AS n FROM part WHERE p_type IS NOT NULL GROUP BY p_type"
+    q["distinct_values"] = """SELECT count(DISTINCT p_type) AS n_distinct_p_type, count(DISTINCT p_brand) AS n_distinct_p_brand,
+       count(DISTINCT p_name) AS n_distinct_p_name FROM part"""
     q["value_freqs"] = """SELECT role, count(*) AS n,
        round(count(*) / (SELECT count(*) FROM conversations WHERE role IS NOT NULL), 6) AS freq
 FROM conversations WHERE role IS NOT NULL GROUP BY role"""

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions.columns import (
-    allow_or_other, binary_target, contains_any, endpoint_slug, epoch_ms, fill_unknown,
-    first_match_class, label_decode, presence_flag, replace_values, safe_double,
+    allow_or_other, binary_target, contains_any, dated_name, endpoint_slug, epoch_ms, fill_unknown,
+    first_match_class, iso_stamp, label_decode, presence_flag, replace_values, safe_double,
 )
 from keelson.operators import (
     changes, drift, encode, medallion, metrics, monitor, onboard, prep, registry, split, synth,
@@ -239,6 +239,19 @@ def q_auc_rank(spark, d):
     return metrics.roc_auc(_scored(spark, d), group_cols=["run_id"])
 
 
+@query("log_loss")
+def q_log_loss(spark, d):
+    sc = _scored(spark, d).withColumn("probability", F.col("score") / (F.col("score") + F.lit(2000.0)))
+    return metrics.log_loss(sc, "label", "probability", ["run_id"])
+
+
+@query("run_names")
+def q_run_names(spark, d):
+    runs = fx.model_runs(_scored(spark, d))
+    return runs.select("run_id", dated_name("wrapper-gbt", "start_time").alias("run_name"),
+                       iso_stamp("start_time").alias("created_at_text"))
+
+
 @query("first_metric")
 def q_first_metric(spark, d):
     from keelson.functions.columns import first_present_metric
@@ -437,6 +450,14 @@ def q_value_counts(spark, d):
     return metrics.value_counts(T(spark, d, "part"), "p_type")
 
 
+@query("distinct_values")
+def q_distinct_values(spark, d):
+    p = T(spark, d, "part")
+    return p.agg(F.count_distinct("p_type").alias("n_distinct_p_type"),
+                 F.count_distinct("p_brand").alias("n_distinct_p_brand"),
+                 F.count_distinct("p_name").alias("n_distinct_p_name"))
+
+
 @query("value_freqs")
 def q_value_freqs(spark, d):
     return metrics.value_freqs(T(spark, d, "conversations"), "role")

@@ -137,9 +137,16 @@ def ledger_stream(spark: SparkSession, ledger_dir: str, ledger_schema: T.StructT
                   checkpoint: str, *, key_cols: Sequence[str] = ("run_id",),
                   order_cols: Sequence[str] = ("updated_on", "seq"),
                   value_cols: Sequence[str] = ("approved_flag",), available_now: bool = True,
-                  interval: str | None = None) -> StreamingQuery:
-    """Approval ledger rows -> latest row per key (upsert of each batch)."""
-    src = spark.readStream.schema(ledger_schema).parquet(ledger_dir)
+                  interval: str | None = None, fmt: str = "parquet") -> StreamingQuery:
+    """Approval ledger rows -> latest row per key (upsert of each batch).
+
+    ``fmt="csv"`` reads sheet exports with a header row (the original polled
+    a published sheet as CSV every 10 s; here each landed export is one
+    micro-batch and nothing is re-read)."""
+    reader = spark.readStream.schema(ledger_schema)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    src = reader.format(fmt).load(ledger_dir)
     keys, vals = list(key_cols), list(value_cols) + list(order_cols)
 
     def step(prev: DataFrame | None, batch: DataFrame) -> DataFrame:
