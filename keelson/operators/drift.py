@@ -77,14 +77,16 @@ def binned_divergence(baseline: DataFrame, current: DataFrame, value_col: str,
 
 
 def ks_statistic(baseline: DataFrame, current: DataFrame, value_col: str,
-                 group_cols: Sequence[str] = (), *, decimals: int = 6, buckets: int = 256) -> DataFrame:
+                 group_cols: Sequence[str] = (), *, decimals: int = 6, buckets: int = 128) -> DataFrame:
     """D = max_x |F_baseline(x) - F_current(x)| per group (exact, ties grouped)."""
     g = list(group_cols)
-    b = baseline.where(F.col(value_col).isNotNull()).groupBy(*g, value_col) \
-        .agg(F.count(F.lit(1)).alias("nb"), F.lit(0).cast("bigint").alias("nc"))
-    c = current.where(F.col(value_col).isNotNull()).groupBy(*g, value_col) \
-        .agg(F.lit(0).cast("bigint").alias("nb"), F.count(F.lit(1)).alias("nc"))
-    per_value = b.unionByName(c).groupBy(*g, value_col).agg(F.sum("nb").alias("nb"), F.sum("nc").alias("nc"))
+    # one aggregate over the tagged union: partial counts per task, one shuffle
+    side = [*g, value_col]
+    tagged = (baseline.select(*side, F.lit(True).alias("__b"))
+              .unionByName(current.select(*side, F.lit(False).alias("__b")))
+              .where(F.col(value_col).isNotNull()))
+    per_value = tagged.groupBy(*side).agg(F.count_if(F.col("__b")).alias("nb"),
+                                          F.count_if(~F.col("__b")).alias("nc"))
     cum = running_totals(per_value, [value_col], ["nb", "nc"], g, buckets=buckets)
     tot = per_value.groupBy(*g).agg(F.sum("nb").alias("n_baseline"), F.sum("nc").alias("n_current"))
     j = cum.join(tot, g, "inner") if g else cum.withColumns({

@@ -43,9 +43,26 @@ def coarse_key(dtype: T.DataType, col: Column) -> Column:
     return col.cast("double")
 
 
+def _count_below(df: DataFrame, n: int, bounds: Column, key: Column, out: str) -> DataFrame:
+    """``out`` = number of the ``n`` sorted ``bounds`` strictly below ``key``
+    (null key -> 0), by binary lifting: log2(n) small projections, each
+    ``lo = bounds[lo + s - 1] < key ? lo + s : lo`` -- no lambda functions and
+    an expression size independent of n."""
+    k = F.coalesce(key, F.lit(float("-inf")))
+    df = df.withColumn(out, F.lit(0))
+    step = 1 << max(n.bit_length() - 1, 0) if n else 0
+    while step >= 1:
+        lo = F.col(out)
+        cand = F.get(bounds, lo + F.lit(step - 1))
+        df = df.withColumn(out, F.when((lo + F.lit(step) <= F.lit(n)) & (cand < k), lo + F.lit(step))
+                           .otherwise(lo))
+        step //= 2
+    return df
+
+
 def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
-                   group_cols: Sequence[str] = (), *, buckets: int = 256,
-                   accuracy: int = 10000, prefix: str = "cum_") -> DataFrame:
+                   group_cols: Sequence[str] = (), *, buckets: int = 128,
+                   accuracy: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Adds ``prefix + c`` = inclusive running sum of ``c`` for each ``sum_cols``.
 
     ``order_cols`` must order rows totally within a group (ties would be
@@ -54,18 +71,23 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
     first = order_cols[0]
     key = coarse_key(df.schema[first].dataType, F.col(first))
     fracs = [i / buckets for i in range(1, buckets)]
+    # rank error 1/accuracy well under the bucket width 1/buckets keeps buckets
+    # balanced; a larger sketch only costs time
+    accuracy = accuracy or max(4 * buckets, 1000)
     keyed = df.withColumn("__key", key)
     quant = F.percentile_approx("__key", fracs, accuracy).alias("__bounds")
     if group_cols:
         bounds = keyed.groupBy(*group_cols).agg(quant).checkpoint(eager=True)
         keyed = keyed.join(bounds, group_cols, "left")
-        bnd = F.col("__bounds")
+        # percentile_approx returns a sorted array of exactly buckets-1 values
+        b = _count_below(keyed, len(fracs), F.col("__bounds"), F.col("__key"), "__bucket")
     else:
-        # at most buckets-1 doubles: a proven-small control value, inlined as a literal
+        # at most buckets-1 doubles: a proven-small control value, inlined as
+        # a literal array
         row = keyed.agg(quant).first()
-        vals = [float(x) for x in (row[0] or [])]
-        bnd = F.array(*[F.lit(x) for x in vals]) if vals else F.array().cast("array<double>")
-    b = keyed.withColumn("__bucket", F.size(F.filter(bnd, lambda x: x < F.col("__key"))))
+        vals = sorted({float(x) for x in (row[0] or [])})
+        arr = F.array(*[F.lit(x) for x in vals]) if vals else F.array().cast("array<double>")
+        b = _count_below(keyed, len(vals), arr, F.col("__key"), "__bucket")
 
     w_in = (Window.partitionBy(*group_cols, "__bucket").orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))

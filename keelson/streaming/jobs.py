@@ -74,13 +74,14 @@ def flatten_stream(spark: SparkSession, landing_dir: str, payload_schema: T.Stru
 
 def profile_stream(source: DataFrame, out_dir: str, checkpoint: str, *, ts_col: str = "timestamp",
                    watermark: str = "1 hour", feature_cols: Sequence[str] = (), granularity: str = "30 minutes",
-                   complete: bool = True, available_now: bool = True,
+                   complete: bool = False, available_now: bool = True,
                    interval: str | None = None) -> StreamingQuery:
     """Windowed profile of a monitoring stream.
 
+    Default: append each window once the watermark closes it; its state is
+    dropped then, so state stays bounded on an endless stream.
     ``complete=True`` rewrites the whole (windows x models) table every batch
-    -- bounded by time span, not by data volume; ``complete=False`` appends
-    each window once the watermark closes it."""
+    (state grows with the time span; used where every window is wanted now)."""
     prof = monitor.window_profile(source.withWatermark(ts_col, watermark), ts_col=ts_col,
                                   feature_cols=feature_cols, granularity=granularity)
     if complete:

@@ -61,7 +61,7 @@ def q_stream_window(spark, d):
     src = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     mon = fx.monitoring_table(src)
     out, ck = os.path.join(root, "out"), os.path.join(root, "ck")
-    jobs.run(jobs.profile_stream(mon, out, ck, feature_cols=["value"]))
+    jobs.run(jobs.profile_stream(mon, out, ck, feature_cols=["value"], complete=True))
     return spark.read.parquet(out)
 
 
