@@ -104,7 +104,7 @@ LEDGER = """led AS (
          CASE WHEN event_type IN ('click', 'view') THEN ' true ' WHEN event_type = 'error' THEN 'FALSE' ELSE 'maybe' END AS approved_flag,
          CASE WHEN event_type = 'click' THEN 'APPROVE' WHEN event_type = 'error' THEN 'REJECT' ELSE upper(event_type) END AS action,
          ts AS updated_on, event_id AS seq
-  FROM events WHERE user_id < 20),
+  FROM events),
 lastled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY updated_on DESC, seq DESC) AS rn FROM led) WHERE rn = 1),
 appr AS (SELECT m.run_id, 'doc-quality' AS model_name, CAST(m.version_num AS VARCHAR) AS model_version,
                 upper(trim(l.approved_flag)) AS flag,
