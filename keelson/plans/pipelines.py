@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +38,27 @@ def prepare_training_data(spark: SparkSession, raw: DataFrame, spec: prep.PrepSp
 
 def refresh_monitoring(payload: DataFrame, request_schema: T.StructType, response_schema: T.StructType,
                        monitoring_table: str, *, model_name: str, align: str = "position",
-                       passthrough: Sequence[str] = (), write: bool = True) -> dict:
+                       passthrough: Sequence[str] = (), write: bool = True,
+                       dedup_keys: Sequence[str] | None = None) -> dict:
     """Flatten, apply the fallback rule, append once.  Returns the observed
-    counts of the rows written (no extra job)."""
+    counts of the rows written (no extra job).
+
+    ``dedup_keys`` (e.g. ``["request_id", "pos"]``) makes the refresh
+    incremental: records already in the monitoring table are not appended
+    again (the original re-appended every payload on each run).  It is a
+    left-anti join on the keys; the streaming form (``flatten_stream``) avoids
+    even that by tracking processed files in its checkpoint."""
+    keep_pos = bool(dedup_keys) and "pos" in dedup_keys
     flat = monitor.flatten_payload(payload, request_schema, response_schema, align=align,
-                                   model_name=model_name, passthrough=passthrough)
+                                   model_name=model_name, passthrough=passthrough, keep_pos=keep_pos)
+    # the fallback rule looks at the whole refresh, then already-written records drop out
     kept = monitor.prediction_fallback(flat)
+    if dedup_keys:
+        try:
+            seen = tables.read_table(payload.sparkSession, monitoring_table).select(*dedup_keys)
+            kept = kept.join(seen, list(dedup_keys), "left_anti")
+        except AnalysisException:  # first refresh: nothing written yet
+            pass
     obs = Observation("monitoring_refresh")
     observed = kept.observe(obs, F.count(F.lit(1)).alias("n_written"),
                             F.count("prediction").alias("n_with_prediction"))

@@ -70,3 +70,14 @@ def test_csv_approval_ledger_stream(spark, tmp_dir):
     jobs.run(jobs.ledger_stream(spark, led_dir, spark.createDataFrame([], schema).schema, state, ck, fmt="csv"))
     got = rows(tables.latest_snapshot(spark, state), "run_id", "approved_flag")
     assert got == [("r1", " true "), ("r2", "FALSE")]
+
+
+def test_incremental_refresh_does_not_reappend(spark, tmp_dir):
+    pay = fx.payload_table(fx.table(spark, SF_SMOKE, "events"))
+    out = os.path.join(tmp_dir, "mon_inc")
+    kw = dict(model_name="m", passthrough=["request_id"], dedup_keys=["request_id", "pos"])
+    first = pipelines.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, **kw)
+    n1 = spark.read.parquet(out).count()
+    again = pipelines.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, **kw)
+    assert first["n_written"] == n1 > 0
+    assert again["n_written"] == 0 and spark.read.parquet(out).count() == n1
