@@ -28,11 +28,28 @@ from pyspark.sql import types as T
 __all__ = ["running_totals", "coarse_key"]
 
 
-def coarse_key(dtype: T.DataType, col: Column) -> Column:
+def _is_string(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.StringType, T.VarcharType, T.CharType))
+
+
+def _common_prefix_len(df: DataFrame, col: str, cap: int = 1024) -> int:
+    """Length of the prefix every value shares = common prefix of min and max
+    (only their first ``cap`` characters come back to the driver)."""
+    row = df.agg(F.substring(F.min(col), 1, cap), F.substring(F.max(col), 1, cap)).first()
+    lo, hi = row[0] or "", row[1] or ""
+    n = 0
+    while n < min(len(lo), len(hi)) and lo[n] == hi[n]:
+        n += 1
+    return n
+
+
+def coarse_key(dtype: T.DataType, col: Column, skip_chars: int = 0) -> Column:
     """A double that never decreases when ``col`` increases (ties allowed)."""
-    if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
-        # first 6 bytes of the UTF-8 text, big-endian: byte order == string order
-        hx = F.rpad(F.substring(F.hex(col), 1, 12), 12, "0")
+    if _is_string(dtype):
+        # 6 bytes of UTF-8 after the shared prefix, big-endian: byte order ==
+        # string order, and values sharing a long prefix still spread out
+        tail = F.substring(col, skip_chars + 1, 6) if skip_chars else col
+        hx = F.rpad(F.substring(F.hex(tail), 1, 12), 12, "0")
         return F.conv(hx, 16, 10).cast("double")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(col.cast("timestamp")).cast("double")
@@ -69,7 +86,9 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
     summed in an arbitrary order).  Group keys must be non-null."""
     order_cols, sum_cols, group_cols = list(order_cols), list(sum_cols), list(group_cols)
     first = order_cols[0]
-    key = coarse_key(df.schema[first].dataType, F.col(first))
+    dtype = df.schema[first].dataType
+    skip = _common_prefix_len(df, first) if _is_string(dtype) else 0
+    key = coarse_key(dtype, F.col(first), skip)
     fracs = [i / buckets for i in range(1, buckets)]
     # rank error 1/accuracy well under the bucket width 1/buckets keeps buckets
     # balanced; a larger sketch only costs time

@@ -29,6 +29,20 @@ def test_running_totals_on_strings(spark):
     assert [got[w] for w in sorted(words, key=lambda x: x.encode())] == list(range(1, len(words) + 1))
 
 
+def test_running_totals_strings_with_long_shared_prefix(spark):
+    vals = [f"https://example.com/items/{i:06d}" for i in range(2000)]
+    df = spark.createDataFrame([(v, 1) for v in vals], "s string, one int")
+    got = running_totals(df, ["s"], ["one"], buckets=16)
+    assert sorted((r["s"], r["cum_one"]) for r in got.collect()) == [(v, i + 1) for i, v in enumerate(sorted(vals))]
+    # the bucketing key skips the shared prefix, so the values stay distinguishable
+    from pyspark.sql import types as T
+    from keelson.operators.ordered import _common_prefix_len, coarse_key
+    skip = _common_prefix_len(df, "s")
+    assert skip == len("https://example.com/items/")
+    keys = df.select(coarse_key(T.StringType(), F.col("s"), skip).alias("k"))
+    assert keys.distinct().count() == 2000
+
+
 def test_category_codes_sorted_and_unseen(spark):
     tr = spark.createDataFrame([("b",), ("a",), ("c",), (None,), ("a",)], "x string")
     m = {r["x"]: r["code"] for r in encode.fit_category_map(tr, "x").collect()}
