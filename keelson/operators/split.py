@@ -35,13 +35,16 @@ def split_frames(df: DataFrame, id_col: str, test_fraction: float = 0.2,
             s.where(F.col("split") == "test").drop("split"))
 
 
-def assign_split_exact(df: DataFrame, id_col: str, n_test: Column | int, seed: int = 42,
-                       label_col: str = "split") -> DataFrame:
-    """Exactly ``n_test`` rows in test: rank rows by (hash, id) with a
-    distributed running count and cut at n_test."""
+def assign_split_exact(df: DataFrame, id_col: str, n_test: Column | int | None = None, seed: int = 42,
+                       label_col: str = "split", test_fraction: float = 0.2) -> DataFrame:
+    """Exactly ``n_test`` rows in test (default ceil(test_fraction * n), the
+    size a shuffled train/test split gives): rank rows by (md5, id) with a
+    distributed running count and cut there.  n is a scalar subquery."""
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"#{seed}")))
     ranked = running_totals(df.withColumn("__h", h).withColumn("__one", F.lit(1)),
                             ["__h", id_col], ["__one"])
+    if n_test is None:
+        n_test = F.ceil(df.select(F.count(F.lit(1))).scalar() * F.lit(test_fraction))
     n = F.lit(n_test) if isinstance(n_test, int) else n_test
     return ranked.withColumn(label_col, F.when(F.col("cum___one") <= n, F.lit("test"))
                              .otherwise(F.lit("train"))).drop("__h", "__one", "cum___one")

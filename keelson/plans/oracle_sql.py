@@ -373,6 +373,10 @@ UNION ALL SELECT {ncols}, 'update_postimage' FROM old o JOIN new n ON o.c_custke
     # ---- B7 split
     q["split_assign"] = f"""WITH {SPLIT}
 SELECT c_custkey, bucket, CASE WHEN bucket < 2000 THEN 'test' ELSE 'train' END AS split FROM s"""
+    q["split_exact"] = """SELECT c_custkey,
+       CASE WHEN row_number() OVER (ORDER BY md5(CAST(c_custkey AS VARCHAR) || '#42'), c_custkey)
+                 <= ceil(0.2::DOUBLE * (SELECT count(*) FROM customer)) THEN 'test' ELSE 'train' END AS split
+FROM customer"""
     q["split_counts"] = f"""WITH {SPLIT}
 SELECT CASE WHEN bucket < 2000 THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM s GROUP BY 1"""
 

@@ -383,6 +383,12 @@ def q_split_assign(spark, d):
     return split.assign_split(c, "c_custkey", 0.2, 42, keep_bucket=True)
 
 
+@query("split_exact")
+def q_split_exact(spark, d):
+    c = T(spark, d, "customer").select("c_custkey")
+    return split.assign_split_exact(c, "c_custkey", seed=42, test_fraction=0.2)
+
+
 @query("split_counts")
 def q_split_counts(spark, d):
     c = T(spark, d, "customer").select("c_custkey")
