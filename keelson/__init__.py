@@ -1,4 +1,4 @@
-"""keelson: Spark-native data engine for model-operations pipelines.
+"""keelson: Spark-native data engine for model-operations workloads.
 
 Every operator is a function ``DataFrame -> DataFrame`` (or a few frames in,
 one out) built from DataFrame / Spark SQL expressions so Catalyst sees the

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from keelson.functions import dated_name, iso_stamp
 from keelson.operators import encode, synth, train
 from keelson.plans import fixtures as fx
-from keelson.plans import pipelines
+from keelson.plans import workflows
 from keelson.sources import tables
 from keelson.streaming import jobs
 from tests.conftest import SF_SMOKE, rows
@@ -33,7 +33,7 @@ def test_insert_row_and_record_inputs(spark, tmp_dir):
 def test_refresh_with_empty_payload_writes_nothing(spark, tmp_dir):
     pay = fx.payload_table(fx.table(spark, SF_SMOKE, "events")).where("false")
     out = os.path.join(tmp_dir, "mon")
-    counts = pipelines.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, model_name="m")
+    counts = workflows.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, model_name="m")
     assert counts["n_written"] == 0
 
 
@@ -76,8 +76,8 @@ def test_incremental_refresh_does_not_reappend(spark, tmp_dir):
     pay = fx.payload_table(fx.table(spark, SF_SMOKE, "events"))
     out = os.path.join(tmp_dir, "mon_inc")
     kw = dict(model_name="m", passthrough=["request_id"], dedup_keys=["request_id", "pos"])
-    first = pipelines.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, **kw)
+    first = workflows.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, **kw)
     n1 = spark.read.parquet(out).count()
-    again = pipelines.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, **kw)
+    again = workflows.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, **kw)
     assert first["n_written"] == n1 > 0
     assert again["n_written"] == 0 and spark.read.parquet(out).count() == n1

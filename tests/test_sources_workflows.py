@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from keelson.operators import prep, synth
 from keelson.plans import fixtures as fx
-from keelson.plans import pipelines
+from keelson.plans import workflows
 from keelson.sources import tables
 from tests.conftest import SF_SMOKE, rows
 
@@ -64,7 +64,7 @@ def test_snapshot_manifest(spark, tmp_dir):
 def test_prepare_training_data(spark, tmp_dir):
     raw = fx.entity_raw(fx.table(spark, SF_SMOKE, "part"))
     tr, te = os.path.join(tmp_dir, "train"), os.path.join(tmp_dir, "test")
-    pipelines.prepare_training_data(spark, raw, fx.ENTITY_SPEC, tr, te,
+    workflows.prepare_training_data(spark, raw, fx.ENTITY_SPEC, tr, te,
                                     as_of=F.lit("2024-01-01").cast("timestamp"))
     a, b = spark.read.parquet(tr), spark.read.parquet(te)
     full = prep.feature_prep(raw, fx.ENTITY_SPEC)
@@ -76,7 +76,7 @@ def test_prepare_training_data(spark, tmp_dir):
 def test_refresh_monitoring_observes_counts(spark, tmp_dir):
     pay = fx.payload_table(fx.table(spark, SF_SMOKE, "events"))
     out = os.path.join(tmp_dir, "monitoring")
-    counts = pipelines.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out,
+    counts = workflows.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out,
                                           model_name="m", passthrough=["request_id"])
     written = spark.read.parquet(out)
     assert counts["n_written"] == written.count() == counts["n_with_prediction"]
@@ -93,11 +93,11 @@ def test_train_and_register_first_run_then_gate(spark, tmp_dir):
     kw = dict(feature_cols=["lang", "n_chars"], cat_cols=["lang"], label_col="quality", model_name="m",
               runs_table=runs, versions_table=versions, aliases_table=aliases,
               params={"n_estimators": 3, "max_depth": 2})
-    _, gate = pipelines.train_and_register(spark, tr, te, run_id="run-1", **kw)
+    _, gate = workflows.train_and_register(spark, tr, te, run_id="run-1", **kw)
     assert gate.first()["improved"] is True
     v = spark.read.parquet(versions)
     assert rows(v, "version", "run_id") == [("1", "run-1")]
-    _, gate2 = pipelines.train_and_register(spark, tr, te, run_id="run-2", **kw)
+    _, gate2 = workflows.train_and_register(spark, tr, te, run_id="run-2", **kw)
     assert gate2.first()["improved"] is True  # same data, same F1: tie passes
     assert rows(spark.read.parquet(versions), "version") == [("1",), ("2",)]
     assert spark.read.parquet(runs).count() == 2
@@ -110,9 +110,9 @@ def test_onboard_tenants_twice_adds_nothing(spark, tmp_dir):
     from keelson.operators import onboard
     onboard.master_rows(seed, with_stamps=True).write.parquet(master)
     feed = fx.tenant_feed_with_gaps(c)
-    rej = pipelines.onboard_tenants(spark, feed, master)
+    rej = workflows.onboard_tenants(spark, feed, master)
     n1 = spark.read.parquet(master).count()
-    pipelines.onboard_tenants(spark, feed, master)
+    workflows.onboard_tenants(spark, feed, master)
     assert spark.read.parquet(master).count() == n1
     assert rej.count() == feed.join(onboard.reject_reasons(feed).where("not valid"), "customer_id").count()
     ids = spark.read.parquet(master).groupBy("customer_id").count().where("count > 1")
