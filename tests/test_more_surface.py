@@ -81,3 +81,18 @@ def test_incremental_refresh_does_not_reappend(spark, tmp_dir):
     again = workflows.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, **kw)
     assert first["n_written"] == n1 > 0
     assert again["n_written"] == 0 and spark.read.parquet(out).count() == n1
+
+
+def test_profile_stream_append_emits_closed_windows(spark, tmp_dir):
+    from keelson.operators import monitor
+    d = SF_SMOKE
+    ev = fx.table(spark, d, "events")
+    src = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out, ck = os.path.join(tmp_dir, "prof"), os.path.join(tmp_dir, "ck")
+    jobs.run(jobs.profile_stream(fx.monitoring_table(src), out, ck, feature_cols=["value"], watermark="1 hour"))
+    got = spark.read.parquet(out)
+    batch = monitor.window_profile(fx.monitoring_table(ev), feature_cols=["value"])
+    max_ts = fx.monitoring_table(ev).agg(F.max("timestamp")).first()[0]
+    closed = batch.where(F.col("window_end") <= F.lit(max_ts) - F.expr("INTERVAL 1 HOUR"))
+    assert got.count() > 0
+    assert rows(got, "window_start", "model_name", "n_rows") == rows(closed, "window_start", "model_name", "n_rows")
