@@ -47,10 +47,11 @@ def binned_divergence(baseline: DataFrame, current: DataFrame, value_col: str,
             return (s.groupBy(*g, _bin_of(v, F.col("__lo"), F.col("__hi"), bins).alias("bin"))
                     .agg(F.count(F.lit(1)).alias(name)))
 
-        tb = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__nb"))
-        tc = cur.groupBy(*g).agg(F.count(F.lit(1)).alias("__nc"))
-        j = (grid.join(counts(base, "__b"), [*g, "bin"], "left")
-             .join(counts(cur, "__c"), [*g, "bin"], "left")
+        cb, cc = counts(base, "__b"), counts(cur, "__c")
+        # side totals from the bin counts (every row lands in a bin): no extra scan
+        tb = cb.groupBy(*g).agg(F.sum("__b").alias("__nb"))
+        tc = cc.groupBy(*g).agg(F.sum("__c").alias("__nc"))
+        j = (grid.join(cb, [*g, "bin"], "left").join(cc, [*g, "bin"], "left")
              .join(tb, g, "left").join(tc, g, "left"))
     else:
         # no group: range and totals are one-value scalar subqueries (no join)

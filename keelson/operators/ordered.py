@@ -108,12 +108,17 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
         arr = F.array(*[F.lit(x) for x in vals]) if vals else F.array().cast("array<double>")
         b = _count_below(keyed, len(vals), arr, F.col("__key"), "__bucket")
 
-    w_in = (Window.partitionBy(*group_cols, "__bucket").orderBy(*order_cols)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # one WindowExec gives the in-bucket running sum and the bucket total, so
+    # the input is shuffled once; bucket totals are read off that output
+    part = Window.partitionBy(*group_cols, "__bucket").orderBy(*order_cols)
+    w_in = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_all = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     local = b.select(*df.columns, "__bucket",
-                     *[F.sum(c).over(w_in).alias(f"__loc_{c}") for c in sum_cols])
+                     *[F.sum(c).over(w_in).alias(f"__loc_{c}") for c in sum_cols],
+                     *[F.sum(c).over(w_all).alias(f"__all_{c}") for c in sum_cols])
 
-    totals = b.groupBy(*group_cols, "__bucket").agg(*[F.sum(c).alias(f"__tot_{c}") for c in sum_cols])
+    totals = local.groupBy(*group_cols, "__bucket").agg(
+        *[F.first(f"__all_{c}").alias(f"__tot_{c}") for c in sum_cols])
     w_off = (Window.partitionBy(*group_cols).orderBy("__bucket")
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*group_cols, "__bucket",

@@ -218,9 +218,15 @@ def _scored(spark, d):
     return fx.scored_docs(T(spark, d, "documents"), T(spark, d, "labels"))
 
 
+def _runs(spark, d):
+    """The run registry, materialized once (a small stored table in practice)
+    so each query reads it instead of re-deriving it per reference."""
+    return fx.model_runs(_scored(spark, d)).checkpoint(eager=True)
+
+
 def _registry(spark, d):
-    runs = fx.model_runs(_scored(spark, d))
-    versions = fx.model_versions(runs)
+    runs = _runs(spark, d)
+    versions = fx.model_versions(runs).checkpoint(eager=True)
     return runs, versions, fx.model_aliases(versions)
 
 
@@ -247,7 +253,7 @@ def q_log_loss(spark, d):
 
 @query("run_names")
 def q_run_names(spark, d):
-    runs = fx.model_runs(_scored(spark, d))
+    runs = _runs(spark, d)
     return runs.select("run_id", dated_name("wrapper-gbt", "start_time").alias("run_name"),
                        iso_stamp("start_time").alias("created_at_text"))
 
@@ -255,7 +261,7 @@ def q_run_names(spark, d):
 @query("first_metric")
 def q_first_metric(spark, d):
     from keelson.functions.columns import first_present_metric
-    runs = fx.model_runs(_scored(spark, d))
+    runs = _runs(spark, d)
     v, n = first_present_metric("metrics", registry.DEFAULT_GATE_METRICS)
     return runs.select("run_id", n.alias("metric_name"), F.round(v, 6).alias("metric_value"))
 
@@ -268,7 +274,7 @@ def q_version_max(spark, d):
 
 @query("latest_run")
 def q_latest_run(spark, d):
-    runs = fx.model_runs(_scored(spark, d))
+    runs = _runs(spark, d)
     return registry.latest_row(runs.select("run_id", "start_time"), ["start_time", "run_id"])
 
 
@@ -294,7 +300,7 @@ def q_gate_improved(spark, d):
 
 @query("register_versions")
 def q_register_versions(spark, d):
-    runs = fx.model_runs(_scored(spark, d))
+    runs = _runs(spark, d)
     existing = fx.model_versions(runs, max_num=10)
     new = runs.select("run_id", "start_time", fx.model_of(F.col("run_id")).alias("model_name"))
     return registry.register_versions(existing, new)
@@ -303,7 +309,7 @@ def q_register_versions(spark, d):
 # ------------------------------------------------------------ B5 approvals
 
 def _approvals(spark, d):
-    runs = fx.model_runs(_scored(spark, d))
+    runs = _runs(spark, d)
     req = fx.candidates(runs).select(F.col("candidate_run_id").alias("run_id"), "model_name", "model_version")
     return registry.resolve_approvals(req, fx.approval_ledger(T(spark, d, "events")))
 
@@ -332,7 +338,7 @@ def q_deployable(spark, d):
 
 @query("link_build")
 def q_link_build(spark, d):
-    runs = fx.model_runs(_scored(spark, d))
+    runs = _runs(spark, d)
     req = fx.candidates(runs).select(F.col("candidate_run_id").alias("run_id"), "model_name", "model_version")
     return registry.approval_links(req, fx.APPROVAL_BASE_URL)
 
