@@ -83,8 +83,10 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
     """Adds ``prefix + c`` = inclusive running sum of ``c`` for each ``sum_cols``.
 
     ``order_cols`` must order rows totally within a group (ties would be
-    summed in an arbitrary order).  Group keys must be non-null."""
+    summed in an arbitrary order).  Rows with a null group key are dropped."""
     order_cols, sum_cols, group_cols = list(order_cols), list(sum_cols), list(group_cols)
+    for g in group_cols:  # null groups have no total order to share; stated up front so
+        df = df.where(F.col(g).isNotNull())  # both plan branches below stay identical
     first = order_cols[0]
     dtype = df.schema[first].dataType
     skip = _common_prefix_len(df, first) if _is_string(dtype) else 0
@@ -124,6 +126,8 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
     offsets = totals.select(*group_cols, "__bucket",
                             *[F.coalesce(F.sum(f"__tot_{c}").over(w_off), F.lit(0)).alias(f"__off_{c}")
                               for c in sum_cols])
-    out = local.join(offsets, [*group_cols, "__bucket"], "left")
+    # inner join: every (group, bucket) of `local` has an offset row, and the two
+    # sides then carry the same inferred filters, so the shuffle of `local` is reused
+    out = local.join(offsets, [*group_cols, "__bucket"], "inner")
     return out.select(*df.columns,
                       *[(F.col(f"__off_{c}") + F.col(f"__loc_{c}")).alias(prefix + c) for c in sum_cols])
