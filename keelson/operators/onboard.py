@@ -16,7 +16,7 @@ from keelson.functions.columns import missing_fields
 
 __all__ = [
     "new_entities", "first_per_key", "classify_ids", "reject_reasons", "active_entities",
-    "master_rows",
+    "master_rows", "soft_delete",
 ]
 
 # --- fixed values of the original onboarding job ---
@@ -81,3 +81,17 @@ def master_rows(new: DataFrame, *, created_by: str = "feed_onboarding",
         ts = as_of if as_of is not None else F.current_timestamp()
         cols += [ts.alias("created_at"), ts.alias("updated_at")]
     return new.select(*cols)
+
+
+def soft_delete(master: DataFrame, delete_ids: DataFrame, key: str = "customer_id",
+                flag: str = "is_active") -> tuple[DataFrame, DataFrame]:
+    """Deactivate tenants: ``flag`` set to false for known ids (an upsert of one
+    column; rows are kept).  Returns ``(new_master, rejected)`` -- ids that are
+    not in the master table are rejected instead of silently "succeeding"."""
+    ids = delete_ids.select(key).distinct()
+    hit = ids.join(master.select(key), key, "left_semi").withColumn("__del", F.lit(True))
+    new = master.join(hit, key, "left").select(
+        *[F.when(F.col("__del"), F.lit(False)).otherwise(F.col(c)).alias(c) if c == flag else F.col(c)
+          for c in master.columns])
+    rejected = ids.join(master.select(key), key, "left_anti").withColumn("reason", F.lit("unknown id"))
+    return new, rejected

@@ -274,6 +274,15 @@ def registry_updates(orders: DataFrame) -> DataFrame:
     )
 
 
+def delete_requests(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    """Deactivation requests: every 9th customer, plus ids that were never
+    onboarded (order keys ending in 7 used as customer ids with a prefix)."""
+    known = customer.where(F.col("c_custkey") % 9 == 0).select(F.col("c_custkey").cast("string").alias("customer_id"))
+    unknown = orders.where(F.col("o_orderkey") % 10 == 7).select(
+        F.concat(F.lit("x"), F.col("o_orderkey").cast("string")).alias("customer_id"))
+    return known.unionByName(unknown)
+
+
 def snapshot_pair(customer: DataFrame) -> tuple[DataFrame, DataFrame]:
     cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     k = F.col("c_custkey")

@@ -348,6 +348,14 @@ mf AS (SELECT customer_id, nullif(concat_ws(',',
 SELECT customer_id, missing IS NULL AS valid,
        CASE WHEN missing IS NOT NULL THEN 'Missing field: ' || missing END AS reason FROM mf"""
     q["active_entities"] = f"WITH {FEED}\nSELECT customer_id, schema_name FROM feed WHERE is_active"
+    dels = """dels AS (SELECT DISTINCT customer_id FROM (
+        SELECT CAST(c_custkey AS VARCHAR) AS customer_id FROM customer WHERE c_custkey % 9 = 0
+        UNION ALL SELECT 'x' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 10 = 7))"""
+    q["soft_delete"] = f"""WITH {FEED}, {dels}
+SELECT customer_id, CASE WHEN customer_id IN (SELECT customer_id FROM dels) THEN false ELSE is_active END AS is_active
+FROM feed"""
+    q["soft_delete_rejects"] = f"""WITH {FEED}, {dels}
+SELECT customer_id, 'unknown id' AS reason FROM dels WHERE customer_id NOT IN (SELECT customer_id FROM feed)"""
     q["registry_upsert"] = f"""WITH {FEED},
 base AS (SELECT customer_id, customer_name, is_active, TIMESTAMP '1990-01-01 00:00:00' AS updated_on
          FROM feed WHERE c_custkey % 2 = 1),

@@ -368,6 +368,21 @@ def q_active_entities(spark, d):
     return onboard.active_entities(fx.tenant_feed(T(spark, d, "customer")))
 
 
+def _soft_delete(spark, d):
+    c = T(spark, d, "customer")
+    return onboard.soft_delete(fx.tenant_feed(c), fx.delete_requests(c, T(spark, d, "orders")))
+
+
+@query("soft_delete")
+def q_soft_delete(spark, d):
+    return _soft_delete(spark, d)[0].select("customer_id", "is_active")
+
+
+@query("soft_delete_rejects")
+def q_soft_delete_rejects(spark, d):
+    return _soft_delete(spark, d)[1]
+
+
 @query("registry_upsert")
 def q_registry_upsert(spark, d):
     base = fx.registry_base(T(spark, d, "customer"))

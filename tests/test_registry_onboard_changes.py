@@ -117,3 +117,11 @@ def test_latest_version_numeric(spark):
     man = spark.createDataFrame([("t", "9", 5, 1), ("t", "10", 7, 2)], "table_name string, version string, n_rows int, committed_at int")
     r = changes.latest_version(man).first()
     assert (r.version, r.n_rows, r.n_versions) == (10, 7, 2)
+
+
+def test_soft_delete_rejects_unknown_ids(spark):
+    master = spark.createDataFrame([("1", True), ("2", True), ("3", False)], "customer_id string, is_active boolean")
+    dels = spark.createDataFrame([("2",), ("2",), ("9",)], "customer_id string")
+    new, rej = onboard.soft_delete(master, dels)
+    assert rows(new) == [("1", True), ("2", False), ("3", False)]
+    assert rows(rej) == [("9", "unknown id")]
