@@ -316,6 +316,19 @@ SELECT 'doc-quality' AS model_name, run_id, version, version = (SELECT max(versi
 SELECT seq AS event_id, run_id, action,
        CASE action WHEN 'APPROVE' THEN 'TRUE' WHEN 'REJECT' THEN 'FALSE' END AS approved_flag,
        CASE WHEN action NOT IN ('APPROVE', 'REJECT') THEN 'Invalid action' END AS error FROM led"""
+    q["approval_upsert"] = f"""WITH {SCORED}, {LEDGER},
+base AS (SELECT run_id, 'doc-quality' AS model_name, CAST(version_num AS VARCHAR) AS model_version,
+                'PENDING' AS approved_flag FROM mt WHERE version_num <> 10),
+acts AS (SELECT run_id, model_name, model_version,
+                CASE action WHEN 'APPROVE' THEN 'TRUE' WHEN 'REJECT' THEN 'FALSE' END AS approved_flag, updated_on, seq
+         FROM led WHERE action IN ('APPROVE', 'REJECT')),
+lst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, model_name, model_version
+                                                    ORDER BY updated_on DESC, seq DESC) AS rn FROM acts) WHERE rn = 1)
+SELECT coalesce(b.run_id, l.run_id) AS run_id, coalesce(b.model_name, l.model_name) AS model_name,
+       coalesce(b.model_version, l.model_version) AS model_version,
+       CASE WHEN l.run_id IS NOT NULL THEN l.approved_flag ELSE b.approved_flag END AS approved_flag
+FROM base b FULL OUTER JOIN lst l
+  ON b.run_id = l.run_id AND b.model_name = l.model_name AND b.model_version = l.model_version"""
     q["deployable"] = f"""WITH {SCORED}, {LEDGER}, {GATE}
 SELECT g.candidate_run_id, g.deployed_version, g.metric_name, g.candidate_metric, g.deployed_metric, a.decision
 FROM gate g JOIN appr a ON a.run_id = g.candidate_run_id

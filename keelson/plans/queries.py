@@ -326,6 +326,20 @@ def q_approval_map(spark, d):
         F.col("seq").alias("event_id"), "run_id", "action", "approved_flag", "error")
 
 
+@query("approval_upsert")
+def q_approval_upsert(spark, d):
+    """Approval decisions upserted into the request sheet: key (run, model,
+    version) compared as text; valid actions only; last decision wins; a
+    decision for a key with no request row is appended."""
+    runs = _runs(spark, d)
+    base = fx.candidates(runs).select(F.col("candidate_run_id").alias("run_id"), "model_name",
+                                      "model_version", F.lit("PENDING").alias("approved_flag"))
+    acts = registry.map_actions(fx.approval_ledger(T(spark, d, "events"))).where(F.col("error").isNull())
+    keys = ["run_id", "model_name", "model_version"]
+    upd = acts.select(*[F.col(k).cast("string").alias(k) for k in keys], "approved_flag", "updated_on", "seq")
+    return registry.upsert(base, upd, keys, ["approved_flag"], ["updated_on", "seq"])
+
+
 @query("deployable")
 def q_deployable(spark, d):
     runs, versions, aliases, cands = _gates(spark, d)
