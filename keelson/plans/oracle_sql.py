@@ -202,6 +202,11 @@ SELECT PageID, CAST(contains(O, 'ring') AS INTEGER) AS Magic,
 SELECT PageID, {ORIGIN_CLASS} AS Origin FROM o"""
     q["binary_target"] = f"""WITH {ENTITY}
 SELECT PageID, CAST(Alive = 'Alive' AS INTEGER) AS Alive FROM entity WHERE Alive IN ('Alive', 'Dead')"""
+    q["csv_scan"] = f"WITH {ENTITY}\nSELECT * FROM entity"
+    q["json_feed"] = f"""WITH {FEED}
+SELECT customer_id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE customer_name END AS customer_name, schema_name,
+       CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE cloud_provider END AS cloud_provider,
+       CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE data_path END AS data_path, is_active FROM feed"""
     q["feature_prep"] = f"""WITH {ENTITY},
 s1 AS (SELECT *, coalesce(Universe, 'Unknown') AS U FROM entity),
 c AS (SELECT U, count(*) AS n FROM s1 GROUP BY U),

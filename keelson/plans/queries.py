@@ -19,7 +19,8 @@ from keelson.operators import (
     changes, drift, encode, medallion, metrics, monitor, onboard, prep, registry, split, synth,
 )
 from keelson.plans import fixtures as fx
-from keelson.session import prepare
+from keelson.session import prepare, scratch_path
+from keelson.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -114,6 +115,26 @@ def q_binary_target(spark, d):
             .select("PageID", binary_target("Alive", S.target_keep[0]).alias("Alive")))
 
 
+@query("csv_scan")
+def q_csv_scan(spark, d):
+    """The raw entity table landed as CSV with a header (column names with
+    spaces and parentheses, empty fields for nulls), scanned back with an
+    explicit schema -- the input step of the feature job."""
+    raw = fx.entity_raw(T(spark, d, "part"))
+    path = scratch_path(spark, "entity_csv")
+    raw.write.option("header", True).csv(path)
+    return tables.scan_csv(spark, path, raw.schema)
+
+
+@query("json_feed")
+def q_json_feed(spark, d):
+    """The tenant feed landed as JSON records, read with an explicit schema."""
+    feed = fx.tenant_feed_with_gaps(T(spark, d, "customer"))
+    path = scratch_path(spark, "tenant_feed")
+    feed.write.json(path)
+    return tables.read_json_feed(spark, path, feed.schema)
+
+
 @query("feature_prep")
 def q_feature_prep(spark, d):
     return prep.feature_prep(fx.entity_raw(T(spark, d, "part")), S)
