@@ -459,6 +459,25 @@ FROM u JOIN iv ON u.u >= iv.lo AND u.u < iv.hi"""
 SELECT Id, round(x * 1.5::DOUBLE, 6) AS c_acctbal,
        CASE WHEN {_u('c_custkey', '#drift')} < 0.7::DOUBLE THEN 'BUILDING' ELSE 'AUTOMOBILE' END AS c_mktsegment
 FROM syn"""
+    # ---- end-to-end jobs
+    q["prepare_dataset"] = f"""WITH fp AS ({q['feature_prep']})
+SELECT *, TIMESTAMP '2024-03-01 00:00:00' AS update_timestamp_utc,
+       CASE WHEN (('0x' || substr(md5(Id || '#42'), 1, 8))::BIGINT) % 10000 < 2000 THEN 'test' ELSE 'train' END AS split
+FROM fp"""
+    q["monitoring_refresh"] = f"""WITH {PAYLOAD}
+SELECT pos, {FLAT_POS_COLS} FROM recs WHERE NOT no_pred"""
+    q["onboard_run"] = f"""WITH {FEED},
+g AS (SELECT customer_id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE customer_name END AS customer_name, schema_name,
+             CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE cloud_provider END AS cloud_provider,
+             CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE data_path END AS data_path, is_active, c_custkey FROM feed),
+rows_ AS (SELECT customer_id, customer_name, schema_name, cloud_provider, data_path, is_active FROM feed
+          WHERE c_custkey % 2 = 1
+          UNION ALL
+          SELECT customer_id, customer_name, schema_name, cloud_provider, data_path, is_active FROM g
+          WHERE c_custkey % 2 = 0 AND customer_name IS NOT NULL AND cloud_provider IS NOT NULL AND data_path IS NOT NULL)
+SELECT customer_id, customer_name, schema_name, cloud_provider, data_path, coalesce(is_active, true) AS is_active,
+       'ACTIVE' AS onboarding_status, CAST(NULL AS TIMESTAMP) AS last_pipeline_run, 'feed_onboarding' AS created_by,
+       TIMESTAMP '2024-03-01 00:00:00' AS created_at, TIMESTAMP '2024-03-01 00:00:00' AS updated_at FROM rows_"""
     # ---- streaming (results equal the batch operators)
     q["stream_flatten"] = f"WITH {PAYLOAD}\nSELECT {FLAT_POS_COLS} FROM recs"
     q["stream_dedup"] = q["stream_flatten"]

@@ -19,6 +19,7 @@ from keelson.operators import (
     changes, drift, encode, medallion, metrics, monitor, onboard, prep, registry, split, synth,
 )
 from keelson.plans import fixtures as fx
+from keelson.plans import workflows
 from keelson.session import prepare, scratch_path
 from keelson.sources import tables
 
@@ -594,3 +595,42 @@ def q_drift_inject(spark, d):
     rows = rows.withColumn("c_mktsegment", F.lit(None).cast("string"))
     out = synth.inject_drift(rows, "c_custkey", ["c_acctbal"], "c_mktsegment", ["BUILDING", "AUTOMOBILE"])
     return out.select("Id", "c_acctbal", "c_mktsegment")
+
+
+# ------------------------------------------------------------ end-to-end jobs
+
+AS_OF = "2024-03-01 00:00:00"  # load stamp of the end-to-end checks (wall clock otherwise)
+
+
+@query("prepare_dataset")
+def q_prepare_dataset(spark, d):
+    """CSV landing -> features -> seeded split -> stamped train / test tables,
+    read back with the side they landed in."""
+    raw = q_csv_scan(spark, d)
+    root = scratch_path(spark, "prepare_dataset")
+    tr, te = f"{root}/train_set", f"{root}/test_set"
+    workflows.prepare_training_data(spark, raw, S, tr, te, as_of=F.lit(AS_OF).cast("timestamp"))
+    return (spark.read.parquet(tr).withColumn("split", F.lit("train"))
+            .unionByName(spark.read.parquet(te).withColumn("split", F.lit("test"))))
+
+
+@query("monitoring_refresh")
+def q_monitoring_refresh(spark, d):
+    """Payloads -> monitoring table (fallback rule, one append), read back."""
+    pay = fx.payload_table(T(spark, d, "events"))
+    out = scratch_path(spark, "model_monitoring")
+    workflows.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, model_name="events-model",
+                                 passthrough=["request_id", "execution_duration_ms"],
+                                 dedup_keys=["request_id", "pos"])
+    return spark.read.parquet(out)
+
+
+@query("onboard_run")
+def q_onboard_run(spark, d):
+    """Stored tenants + a feed with gaps and repeats -> master table."""
+    c = T(spark, d, "customer")
+    master = scratch_path(spark, "customers_master")
+    ts = F.lit(AS_OF).cast("timestamp")
+    onboard.master_rows(fx.stored_tenants(c), as_of=ts, with_stamps=True).write.parquet(master)
+    workflows.onboard_tenants(spark, fx.tenant_feed_with_gaps(c), master, as_of=ts)
+    return spark.read.parquet(master)
