@@ -13,7 +13,7 @@ per-batch transforms.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,29 +27,34 @@ def read_bronze_text(spark: SparkSession, path: str) -> DataFrame:
             .select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("raw_payload")))
 
 
-def bronze(raw: DataFrame, as_of: Column | None = None, with_stamp: bool = False) -> DataFrame:
-    cols = [F.col("source_file"), F.col("raw_payload")]
+def bronze(raw: DataFrame, as_of: Column | None = None, with_stamp: bool = False,
+           keep_cols: Sequence[str] = ()) -> DataFrame:
+    cols = [F.col("source_file"), F.col("raw_payload"), *[F.col(c) for c in keep_cols]]
     if with_stamp:
         cols.append((as_of if as_of is not None else F.current_timestamp()).alias("ingest_ts"))
     return raw.select(*cols)
 
 
 def silver_clean(bronze_df: DataFrame, schema: T.StructType, *, payload_col: str = "raw_payload",
-                 as_of: Column | None = None, with_stamp: bool = False) -> DataFrame:
+                 as_of: Column | None = None, with_stamp: bool = False,
+                 keep_cols: Sequence[str] = ()) -> DataFrame:
     """Valid = every schema field parses to a non-null value.
 
     The parsed struct is produced by a generator (``inline``) so each line is
     parsed exactly once: a filter on generator output is not pushed below it,
     whereas filtering on ``from_json(..).field`` directly makes the optimizer
     split the parse into one ``from_json`` per tested field."""
-    cleaned = bronze_df.select(F.trim(F.col(payload_col)).alias("clean_payload"))
-    parsed = cleaned.select("clean_payload", F.inline(F.array(F.struct(
+    keep = list(keep_cols)
+    cleaned = bronze_df.select(*keep, F.trim(F.col(payload_col)).alias("clean_payload"))
+    parsed = cleaned.select(*keep, "clean_payload", F.inline(F.array(F.struct(
         F.from_json(F.col("clean_payload"), schema).alias("__p")))))
     valid = F.col("clean_payload") != ""
     for f in schema.fields:
         valid = valid & F.col("__p")[f.name].isNotNull()
+    # duplicates collapse per (tenant, record): a partial aggregate, so a
+    # payload delivered millions of times is reduced map-side
     s = (parsed.where(valid)
-         .select(F.sha2(F.col("clean_payload"), 256).alias("record_id"), "clean_payload")
+         .select(*keep, F.sha2(F.col("clean_payload"), 256).alias("record_id"), "clean_payload")
          .distinct())
     if with_stamp:
         s = s.withColumn("process_ts", as_of if as_of is not None else F.current_timestamp())
@@ -57,10 +62,12 @@ def silver_clean(bronze_df: DataFrame, schema: T.StructType, *, payload_col: str
 
 
 def gold_features(silver: DataFrame, schema: T.StructType, features: Mapping[str, Column],
-                  *, as_of: Column | None = None, with_stamp: bool = False) -> DataFrame:
+                  *, as_of: Column | None = None, with_stamp: bool = False,
+                  keep_cols: Sequence[str] = ()) -> DataFrame:
     """``features`` maps gold column -> expression over the parsed record ``r``."""
-    p = silver.select("record_id", F.from_json(F.col("clean_payload"), schema).alias("r"))
-    cols = [F.col("record_id")] + [expr.alias(name) for name, expr in features.items()]
+    keep = list(keep_cols)
+    p = silver.select(*keep, "record_id", F.from_json(F.col("clean_payload"), schema).alias("r"))
+    cols = [*[F.col(c) for c in keep], F.col("record_id")] + [expr.alias(name) for name, expr in features.items()]
     if with_stamp:
         cols.append((as_of if as_of is not None else F.current_timestamp()).alias("train_ts"))
     return p.select(*cols)

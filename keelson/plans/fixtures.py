@@ -298,7 +298,8 @@ def snapshot_pair(customer: DataFrame) -> tuple[DataFrame, DataFrame]:
 def landing_lines(events: DataFrame) -> DataFrame:
     """Raw text lines as they would land in a tenant folder: JSON records,
     some padded, some truncated (event_id%50=0), some blank (event_id%50=25),
-    and every 40th event delivered twice."""
+    and every 40th event delivered twice.  Each line belongs to tenant
+    ``c<user_id>``."""
     eid = F.col("event_id")
     body = F.concat(F.lit('{"event_id": '), eid.cast("string"),
                     F.lit(', "value_cents": '), F.round(F.col("value") * 100).cast("bigint").cast("string"),
@@ -308,8 +309,9 @@ def landing_lines(events: DataFrame) -> DataFrame:
             .when(eid % 3 == 0, F.concat(F.lit("  "), body, F.lit(" ")))
             .otherwise(body))
     src = F.col("_metadata.file_name")
-    once = events.select(src.alias("source_file"), line.alias("raw_payload"))
-    twice = events.where(eid % 40 == 0).select(src.alias("source_file"), line.alias("raw_payload"))
+    tenant = F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("customer_id")
+    once = events.select(src.alias("source_file"), line.alias("raw_payload"), tenant)
+    twice = events.where(eid % 40 == 0).select(src.alias("source_file"), line.alias("raw_payload"), tenant)
     return once.unionByName(twice)
 
 

@@ -459,6 +459,20 @@ FROM u JOIN iv ON u.u >= iv.lo AND u.u < iv.hi"""
 SELECT Id, round(x * 1.5::DOUBLE, 6) AS c_acctbal,
        CASE WHEN {_u('c_custkey', '#drift')} < 0.7::DOUBLE THEN 'BUILDING' ELSE 'AUTOMOBILE' END AS c_mktsegment
 FROM syn"""
+    q["tenant_layers"] = f"""WITH {LANDING},
+tb AS (SELECT 'c' || CAST(e.user_id AS VARCHAR) AS customer_id, l.raw_payload
+       FROM (SELECT event_id, raw_payload FROM ln UNION ALL SELECT event_id, raw_payload FROM ln WHERE event_id % 40 = 0) l
+       JOIN events e USING (event_id)),
+ts AS (SELECT DISTINCT customer_id, trim(raw_payload) AS cp FROM tb),
+sv AS (SELECT customer_id, sha256(cp) AS record_id, cp FROM ts
+       WHERE cp <> '' AND json_valid(cp) AND json_extract(cp, '$.event_id') IS NOT NULL
+         AND json_extract(cp, '$.value_cents') IS NOT NULL AND json_extract(cp, '$.k') IS NOT NULL)
+SELECT customer_id, record_id,
+       CAST(CAST(json_extract_string(cp, '$.value_cents') AS BIGINT) AS DOUBLE) / CAST(100 AS DOUBLE) AS feature_1,
+       CAST(CAST(json_extract_string(cp, '$.k') AS INTEGER) AS DOUBLE) AS feature_2,
+       CAST(CAST(CAST(json_extract_string(cp, '$.value_cents') AS BIGINT) AS DOUBLE) / CAST(100 AS DOUBLE) >= 50 AS INTEGER) AS label,
+       TIMESTAMP '2024-03-01 00:00:00' AS train_ts
+FROM sv"""
     # ---- end-to-end jobs
     q["prepare_dataset"] = f"""WITH fp AS ({q['feature_prep']})
 SELECT *, TIMESTAMP '2024-03-01 00:00:00' AS update_timestamp_utc,

@@ -472,14 +472,25 @@ def q_silver_clean(spark, d):
     return _silver(spark, d)
 
 
+def _gold_exprs():
+    f1 = F.col("r.value_cents") / F.lit(100.0)
+    return {"feature_1": f1, "feature_2": F.col("r.k").cast("double"), "label": (f1 >= 50).cast("int")}
+
+
 @query("gold_features")
 def q_gold_features(spark, d):
-    f1 = F.col("r.value_cents") / F.lit(100.0)
-    return medallion.gold_features(_silver(spark, d), fx.LANDING_SCHEMA, {
-        "feature_1": f1,
-        "feature_2": F.col("r.k").cast("double"),
-        "label": (f1 >= 50).cast("int"),
-    })
+    return medallion.gold_features(_silver(spark, d), fx.LANDING_SCHEMA, _gold_exprs())
+
+
+@query("tenant_layers")
+def q_tenant_layers(spark, d):
+    """All tenants' landed lines -> bronze / silver / gold tables partitioned
+    by tenant; the gold table read back."""
+    root = scratch_path(spark, "tenant_layers")
+    names = [f"{root}/{t}" for t in ("bronze_raw", "silver_clean", "gold_features")]
+    workflows.load_tenant_layers(fx.landing_lines(T(spark, d, "events")), fx.LANDING_SCHEMA, _gold_exprs(),
+                                 *names, as_of=F.lit(AS_OF).cast("timestamp"))
+    return spark.read.parquet(names[2])
 
 
 # ------------------------------------------------------------ tables / profiles

@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.operators import encode, metrics, monitor, onboard, prep, registry, split, train
+from keelson.operators import (
+    encode, medallion, metrics, monitor, onboard, prep, registry, split, train,
+)
 from keelson.sources import tables
 
 __all__ = ["prepare_training_data", "refresh_monitoring", "train_and_register",
-           "deployment_decision", "onboard_tenants"]
+           "deployment_decision", "onboard_tenants", "load_tenant_layers"]
 
 
 def prepare_training_data(spark: SparkSession, raw: DataFrame, spec: prep.PrepSpec, train_table: str,
@@ -126,3 +128,20 @@ def onboard_tenants(spark: SparkSession, feed: DataFrame, master_table: str, *,
     rows = onboard.master_rows(new, as_of=as_of, with_stamps=True).checkpoint(eager=True)
     tables.append(rows, master_table)
     return checked.where(~F.col("valid"))
+
+
+def load_tenant_layers(raw: DataFrame, schema: T.StructType, features: Mapping[str, Column],
+                       bronze_table: str, silver_table: str, gold_table: str, *,
+                       tenant_col: str = "customer_id", as_of: Column | None = None) -> None:
+    """Landed lines of all tenants -> bronze -> silver -> gold, each appended to
+    ONE table partitioned by tenant (no per-tenant schema or DDL).  Silver is
+    written before gold reads it, so each layer is a committed table."""
+    keep = [tenant_col]
+    b = medallion.bronze(raw, as_of=as_of, with_stamp=True, keep_cols=keep)
+    tables.append(b, bronze_table, partition_by=keep)
+    s = medallion.silver_clean(tables.read_table(raw.sparkSession, bronze_table), schema, as_of=as_of,
+                               with_stamp=True, keep_cols=keep)
+    tables.append(s, silver_table, partition_by=keep)
+    g = medallion.gold_features(tables.read_table(raw.sparkSession, silver_table), schema, features,
+                                as_of=as_of, with_stamp=True, keep_cols=keep)
+    tables.append(g, gold_table, partition_by=keep)
