@@ -9,11 +9,12 @@ DataFrame operations only, so every query that uses it scales with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions.columns import as_utc_timestamp
+from keelson.operators.metrics import classification_metrics
 from keelson.operators.prep import PrepSpec
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -144,7 +145,7 @@ def scored_docs(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def model_of(run_id) -> "F.Column":
+def model_of(run_id: Column) -> Column:
     """Model a run belongs to (runs ``src<N>`` belong to the one fixture model).
 
     Derived from the data, never a literal: a literal key on both sides of a
@@ -158,7 +159,6 @@ def model_runs(scored: DataFrame) -> DataFrame:
 
     accuracy is absent for every 5th version and not a number for version%7=3,
     which exercises the metric fallback rules."""
-    from keelson.operators.metrics import classification_metrics
     m = classification_metrics(scored, group_cols=["run_id", "version_num"], decimals=None)
     v = F.col("version_num")
     acc = (F.when(v % 5 == 0, F.lit(None).cast("string"))
