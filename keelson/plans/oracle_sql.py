@@ -296,6 +296,9 @@ FROM pr GROUP BY run_id"""
     q["run_names"] = f"""WITH {SCORED}
 SELECT run_id, 'wrapper-gbt-' || strftime(start_time, '%Y-%m-%d') AS run_name,
        strftime(start_time, '%Y-%m-%dT%H:%M:%S.%f') AS created_at_text FROM mt"""
+    q["eval_bundle"] = f"""WITH a AS ({q['classification_metrics']}), b AS ({q['auc_rank']}), c AS ({q['log_loss']})
+SELECT a.run_id, a.accuracy, a."precision", a.recall, a.f1 AS f1_score, b.auc AS roc_auc, c.log_loss
+FROM a LEFT JOIN b USING (run_id) LEFT JOIN c USING (run_id)"""
     q["first_metric"] = f"""WITH {SCORED}
 SELECT run_id, CASE WHEN version_num % 5 = 0 THEN 'f1_score' ELSE 'accuracy' END AS metric_name,
        round(CASE WHEN version_num % 5 = 0 THEN f1 WHEN version_num % 7 = 3 THEN NULL ELSE accuracy END, 6) AS metric_value

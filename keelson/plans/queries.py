@@ -248,7 +248,7 @@ def _runs(spark, d):
 
 def _registry(spark, d):
     runs = _runs(spark, d)
-    versions = fx.model_versions(runs).checkpoint(eager=True)
+    versions = fx.model_versions(runs)
     return runs, versions, fx.model_aliases(versions)
 
 
@@ -267,6 +267,17 @@ def q_auc_rank(spark, d):
     return metrics.roc_auc(_scored(spark, d), group_cols=["run_id"])
 
 
+@query("eval_bundle")
+def q_eval_bundle(spark, d):
+    """Evaluation bundle per run: threshold metrics + AUC + log-loss."""
+    sc = _scored(spark, d).withColumn("probability", F.col("score") / (F.col("score") + F.lit(2000.0)))
+    cm = metrics.classification_metrics(sc, group_cols=["run_id"]).select(
+        "run_id", "accuracy", "precision", "recall", F.col("f1").alias("f1_score"))
+    auc = metrics.roc_auc(sc, group_cols=["run_id"]).select("run_id", F.col("auc").alias("roc_auc"))
+    ll = metrics.log_loss(sc, "label", "probability", ["run_id"]).select("run_id", "log_loss")
+    return cm.join(auc, "run_id", "left").join(ll, "run_id", "left")
+
+
 @query("log_loss")
 def q_log_loss(spark, d):
     sc = _scored(spark, d).withColumn("probability", F.col("score") / (F.col("score") + F.lit(2000.0)))
