@@ -79,7 +79,8 @@ def _count_below(df: DataFrame, n: int, bounds: Column, key: Column, out: str) -
 
 def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
                    group_cols: Sequence[str] = (), *, buckets: int = 128,
-                   accuracy: int | None = None, prefix: str = "cum_") -> DataFrame:
+                   accuracy: int | None = None, prefix: str = "cum_",
+                   keep_bucket: bool = False) -> DataFrame:
     """Adds ``prefix + c`` = inclusive running sum of ``c`` for each ``sum_cols``.
 
     ``order_cols`` must order rows totally within a group (ties would be
@@ -129,5 +130,5 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[
     # inner join: every (group, bucket) of `local` has an offset row, and the two
     # sides then carry the same inferred filters, so the shuffle of `local` is reused
     out = local.join(offsets, [*group_cols, "__bucket"], "inner")
-    return out.select(*df.columns,
+    return out.select(*df.columns, *(["__bucket"] if keep_bucket else []),
                       *[(F.col(f"__off_{c}") + F.col(f"__loc_{c}")).alias(prefix + c) for c in sum_cols])
