@@ -184,9 +184,12 @@ def q_json_parse(spark, d):
     p = monitor.parse_payload(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA)
     recs = F.col("parsed_request.dataframe_records")
     preds = F.col("parsed_response.predictions")
-    return p.select("request_id", F.size(recs).alias("n_records"),
+    def size_or_null(a):  # null list -> null, whatever the legacy sizeOfNull setting
+        return F.when(a.isNotNull(), F.size(a))
+
+    return p.select("request_id", size_or_null(recs).alias("n_records"),
                     F.get(recs, 0)["event_id"].alias("first_event_id"),
-                    F.size(preds).alias("n_predictions"),
+                    size_or_null(preds).alias("n_predictions"),
                     F.get(preds, 0).alias("first_prediction"),
                     F.col("parsed_response.output.request_id").alias("echo_request_id"))
 
