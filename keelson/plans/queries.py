@@ -504,7 +504,7 @@ def q_tenant_layers(spark, d):
     names = [f"{root}/{t}" for t in ("bronze_raw", "silver_clean", "gold_features")]
     workflows.load_tenant_layers(fx.landing_lines(T(spark, d, "events")), fx.LANDING_SCHEMA, _gold_exprs(),
                                  *names, as_of=F.lit(AS_OF).cast("timestamp"))
-    return spark.read.parquet(names[2])
+    return spark.read.parquet(names[2]).drop("tenant_bucket")
 
 
 # ------------------------------------------------------------ tables / profiles

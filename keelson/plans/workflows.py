@@ -132,16 +132,26 @@ def onboard_tenants(spark: SparkSession, feed: DataFrame, master_table: str, *,
 
 def load_tenant_layers(raw: DataFrame, schema: T.StructType, features: Mapping[str, Column],
                        bronze_table: str, silver_table: str, gold_table: str, *,
-                       tenant_col: str = "customer_id", as_of: Column | None = None) -> None:
+                       tenant_col: str = "customer_id", buckets: int = tables.TENANT_BUCKETS,
+                       as_of: Column | None = None) -> None:
     """Landed lines of all tenants -> bronze -> silver -> gold, each appended to
-    ONE table partitioned by tenant (no per-tenant schema or DDL).  Silver is
-    written before gold reads it, so each layer is a committed table."""
+    ONE table partitioned by a hash bucket of the tenant (no per-tenant schema
+    or DDL; a bounded number of folders however many tenants there are), rows
+    sorted by tenant inside the files.  Each layer is a committed table before
+    the next one reads it."""
     keep = [tenant_col]
-    b = medallion.bronze(raw, as_of=as_of, with_stamp=True, keep_cols=keep)
-    tables.append(b, bronze_table, partition_by=keep)
-    s = medallion.silver_clean(tables.read_table(raw.sparkSession, bronze_table), schema, as_of=as_of,
+    spark = raw.sparkSession
+
+    def write(df: DataFrame, table: str) -> None:
+        df = df.withColumn("tenant_bucket", tables.tenant_bucket(tenant_col, buckets))
+        w = (df.hint("rebalance", "tenant_bucket").sortWithinPartitions(tenant_col)
+             .write.mode("append").partitionBy("tenant_bucket"))
+        w.parquet(table) if "/" in table else w.saveAsTable(table)
+
+    write(medallion.bronze(raw, as_of=as_of, with_stamp=True, keep_cols=keep), bronze_table)
+    s = medallion.silver_clean(tables.read_table(spark, bronze_table), schema, as_of=as_of,
                                with_stamp=True, keep_cols=keep)
-    tables.append(s, silver_table, partition_by=keep)
-    g = medallion.gold_features(tables.read_table(raw.sparkSession, silver_table), schema, features,
+    write(s, silver_table)
+    g = medallion.gold_features(tables.read_table(spark, silver_table), schema, features,
                                 as_of=as_of, with_stamp=True, keep_cols=keep)
-    tables.append(g, gold_table, partition_by=keep)
+    write(g, gold_table)

@@ -48,7 +48,7 @@ def test_provision_layers_idempotent(spark):
     tables.provision_layers(spark, "tenant_layers")
     assert names == ["tenant_layers.bronze_raw", "tenant_layers.silver_clean", "tenant_layers.gold_features"]
     cols = spark.table("tenant_layers.gold_features").columns
-    assert cols == ["feature_1", "feature_2", "label", "train_ts", "customer_id"]
+    assert cols == ["feature_1", "feature_2", "label", "train_ts", "customer_id", "tenant_bucket"]
 
 
 def test_snapshot_manifest(spark, tmp_dir):
@@ -136,3 +136,15 @@ def test_synthetic_distributions(spark):
     d = synth.inject_drift(out.withColumn("g", F.lit(None).cast("string")), "k", ["x"], "g", ["M", "F"])
     share_m = d.agg(F.avg((F.col("g") == "M").cast("double"))).first()[0]
     assert abs(share_m - 0.7) < 0.02
+
+
+def test_tenant_layers_bucketed_and_tenant_read(spark, tmp_dir):
+    from keelson.plans.queries import _gold_exprs
+    raw = fx.landing_lines(fx.table(spark, SF_SMOKE, "events"))
+    names = [os.path.join(tmp_dir, n) for n in ("b", "s", "g")]
+    workflows.load_tenant_layers(raw, fx.LANDING_SCHEMA, _gold_exprs(), *names, buckets=8)
+    gold = spark.read.parquet(names[2])
+    assert gold.select("tenant_bucket").distinct().count() <= 8
+    one = tables.tenant_rows(gold, "c7", buckets=8)
+    assert one.count() == gold.where("customer_id = 'c7'").count() > 0
+    assert "tenant_bucket" in one._jdf.queryExecution().executedPlan().toString()
