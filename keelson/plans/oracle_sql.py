@@ -498,6 +498,7 @@ SELECT customer_id, customer_name, schema_name, cloud_provider, data_path, coale
     # ---- streaming (results equal the batch operators)
     q["stream_flatten"] = f"WITH {PAYLOAD}\nSELECT {FLAT_POS_COLS} FROM recs"
     q["stream_dedup"] = q["stream_flatten"]
+    q["stream_dedup_exact"] = q["stream_flatten"]
     q["stream_window"] = q["window_profile"]
     q["stream_onboard"] = f"""WITH {FEED}
 SELECT customer_id, customer_name, schema_name, cloud_provider, data_path, coalesce(is_active, true) AS is_active,

@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,23 +51,43 @@ def run(query: StreamingQuery, timeout_s: float | None = None) -> StreamingQuery
 
 def flatten_stream(spark: SparkSession, landing_dir: str, payload_schema: T.StructType,
                    request_schema: T.StructType, response_schema: T.StructType, out_dir: str,
-                   checkpoint: str, *, dedup_key: str | None = None, time_col: str = "request_time",
-                   watermark: str = "2 hours", align: str = "position", model_name: str = "model",
-                   passthrough: Sequence[str] = (), max_files_per_trigger: int | None = None,
-                   available_now: bool = True, interval: str | None = None) -> StreamingQuery:
+                   checkpoint: str, *, dedup_key: str | None = None, dedup_mode: str = "watermark",
+                   time_col: str = "request_time", watermark: str = "2 hours", align: str = "position",
+                   model_name: str = "model", passthrough: Sequence[str] = (),
+                   max_files_per_trigger: int | None = None, available_now: bool = True,
+                   interval: str | None = None) -> StreamingQuery:
     """Payload files -> monitoring rows in parquet (append, exactly-once).
 
-    With ``dedup_key``, requests re-delivered within ``watermark`` are dropped
-    before the explode (``dropDuplicatesWithinWatermark``); older re-deliveries
-    fall behind the watermark and are dropped as late data."""
+    ``dedup_key`` drops re-delivered requests before the explode:
+
+    * ``dedup_mode="watermark"`` -- ``dropDuplicatesWithinWatermark``: state is
+      bounded by the watermark delay, and requests arriving later than the
+      delay are dropped as late data (the standard late-data bound);
+    * ``dedup_mode="sink"`` -- exact: each micro-batch keeps the first row per
+      key and anti-joins the keys already in the sink, so nothing is lost
+      however late or out of order files land, and a replayed batch writes
+      nothing twice.  Costs one join per batch against the sink's key column.
+    """
     reader = spark.readStream.schema(payload_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(landing_dir)
+    kw = dict(align=align, model_name=model_name, passthrough=passthrough, time_col=time_col)
+    if dedup_key and dedup_mode == "sink":
+        def body(batch: DataFrame, batch_id: int) -> None:
+            fresh = onboard.first_per_key(batch, dedup_key, [time_col])
+            try:
+                seen = spark.read.parquet(out_dir).select(dedup_key).distinct()
+                fresh = fresh.join(seen, dedup_key, "left_anti")
+            except AnalysisException:  # nothing written yet
+                pass
+            flat = monitor.flatten_payload(fresh, request_schema, response_schema, **kw)
+            flat.write.mode("append").parquet(out_dir)
+        w = src.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+        return _trigger(w, available_now, interval).start()
     if dedup_key:
         src = src.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark([dedup_key])
-    flat = monitor.flatten_payload(src, request_schema, response_schema, align=align,
-                                   model_name=model_name, passthrough=passthrough, time_col=time_col)
+    flat = monitor.flatten_payload(src, request_schema, response_schema, **kw)
     w = (flat.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).option("path", out_dir))
     return _trigger(w, available_now, interval).start()

@@ -54,6 +54,29 @@ def q_stream_dedup(spark, d):
     return spark.read.parquet(out)
 
 
+@query("stream_dedup_exact")
+def q_stream_dedup_exact(spark, d):
+    """Exact de-dup: payload files land out of time order (one file per
+    micro-batch) and are then all re-delivered; the sink-keyed mode writes
+    every record exactly once and drops nothing as late."""
+    root = scratch_path(spark, "stream_dedup_exact")
+    pay = fx.payload_table(T(spark, d, "events"))
+    landing = os.path.join(root, "landing")
+    out, ck = os.path.join(root, "out"), os.path.join(root, "ck")
+
+    def drain():
+        jobs.run(jobs.flatten_stream(
+            spark, landing, pay.schema, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, ck,
+            dedup_key="request_id", dedup_mode="sink", align="position", model_name="events-model",
+            passthrough=["request_id", "execution_duration_ms"], max_files_per_trigger=1))
+
+    pay.repartition(4).write.parquet(os.path.join(landing, "copy=0"))
+    drain()
+    pay.repartition(2).write.parquet(os.path.join(landing, "copy=1"))
+    drain()
+    return spark.read.parquet(out)
+
+
 @query("stream_window")
 def q_stream_window(spark, d):
     root = scratch_path(spark, "stream_window")

@@ -60,8 +60,8 @@ def test_matches_oracle_sf0001(spark, duck, key):
     assert _bag([tuple(r) for r in sdf.collect()], sdf.columns) == _bag(res.fetchall(), dcols)
 
 
-@pytest.mark.parametrize("key", ["stream_flatten", "stream_dedup", "stream_window", "stream_onboard",
-                                 "stream_approvals"])
+@pytest.mark.parametrize("key", ["stream_flatten", "stream_dedup", "stream_dedup_exact", "stream_window",
+                                 "stream_onboard", "stream_approvals"])
 def test_stream_equals_oracle(spark, duck, key):
     sdf = E.queries()[key](spark, SF_SMOKE)
     res = duck.execute(E.oracle_sql()[key])

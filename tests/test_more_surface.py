@@ -112,3 +112,43 @@ def test_stateful_sink_replay_is_idempotent(spark, tmp_dir):
     body(b1, 1)
     body(b1, 1)  # replay after a failure between sink commit and checkpoint commit
     assert rows(tables.latest_snapshot(spark, state)) == [("a", 3), ("b", 5)]
+
+
+def _landed_payloads(spark, tmp_dir, ordered):
+    pay = fx.payload_table(fx.table(spark, SF_SMOKE, "events"))
+    landing = os.path.join(tmp_dir, "landing")
+    if ordered:   # files land in time order, one slice after another, as a serving log does
+        edges = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2099-01-01"]
+        for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            t = F.col("request_time")
+            (pay.where((t >= F.lit(lo).cast("timestamp")) & (t < F.lit(hi).cast("timestamp")))
+             .coalesce(1).write.parquet(os.path.join(landing, f"slice={i}")))
+    else:         # files land in arbitrary time order
+        pay.repartition(6).write.parquet(landing)
+    return pay, landing
+
+
+def _stream_rows(spark, tmp_dir, pay, landing, mode):
+    from keelson.operators import monitor
+    out, ck = os.path.join(tmp_dir, f"out-{mode}"), os.path.join(tmp_dir, f"ck-{mode}")
+    kw = dict(dedup_key="request_id", dedup_mode=mode, model_name="m", passthrough=["request_id"],
+              max_files_per_trigger=1)
+    q = jobs.flatten_stream(spark, landing, pay.schema, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, ck, **kw)
+    jobs.run(q)
+    assert len(q.recentProgress) >= 2          # several micro-batches
+    batch = monitor.flatten_payload(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, model_name="m",
+                                    passthrough=["request_id"])
+    cols = ["request_id", "event_id", "prediction"]
+    return rows(spark.read.parquet(out), *cols), rows(batch, *cols)
+
+
+def test_exact_dedup_stream_out_of_order_equals_batch(spark, tmp_dir):
+    pay, landing = _landed_payloads(spark, tmp_dir, ordered=False)
+    got, want = _stream_rows(spark, tmp_dir, pay, landing, "sink")
+    assert got == want
+
+
+def test_watermark_dedup_stream_in_time_order_equals_batch(spark, tmp_dir):
+    pay, landing = _landed_payloads(spark, tmp_dir, ordered=True)
+    got, want = _stream_rows(spark, tmp_dir, pay, landing, "watermark")
+    assert got == want
