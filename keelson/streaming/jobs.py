@@ -5,7 +5,8 @@ The original refreshes by re-reading every payload and re-appending all of it
 feed every minute.  Here each is an incremental stream with a checkpoint:
 
 * ``flatten_stream``  -- landed payload files -> monitoring rows (file sink,
-  exactly-once), optional de-dup of re-delivered requests inside a watermark;
+  exactly-once), optional de-dup of re-delivered requests, either inside a
+  watermark (bounded state) or exactly against the sink's keys;
 * ``profile_stream``  -- tumbling-window profile per model with a watermark;
 * ``onboard_stream``  -- new tenants only, appended per micro-batch;
 * ``ledger_stream``   -- approval ledger folded into latest-per-key state.
