@@ -57,6 +57,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not shared by executors: refuse rather
+            # than write checkpoints that other machines cannot read back
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder shared by the "
+                               "cluster (checkpoints, stream sinks and scratch tables go there)")
         configured = tempfile.mkdtemp(prefix="keelson-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
