@@ -19,6 +19,12 @@ def test_entry_smoke(spark):
     assert df.columns[:3] == ["window_start", "window_end", "model_name"]
 
 
+def test_entry_schema_is_stable(spark):
+    a, b = E.entry(spark), E.entry(spark)
+    assert a.schema == b.schema
+    assert [f.dataType.simpleString() for f in a.schema.fields][:4] == ["timestamp", "timestamp", "string", "bigint"]
+
+
 def test_every_query_has_an_oracle_or_is_rows_only():
     q, s = E.queries(), E.oracle_sql()
     assert set(q) - set(s) == ROWS_ONLY
