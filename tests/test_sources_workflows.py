@@ -148,3 +148,17 @@ def test_tenant_layers_bucketed_and_tenant_read(spark, tmp_dir):
     one = tables.tenant_rows(gold, "c7", buckets=8)
     assert one.count() == gold.where("customer_id = 'c7'").count() > 0
     assert "tenant_bucket" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deployment_decision_matches_deployable_query(spark):
+    import __spark_entry__ as E
+    from pyspark.sql import functions as F2
+    scored = fx.scored_docs(fx.table(spark, SF_SMOKE, "documents"), fx.table(spark, SF_SMOKE, "labels"))
+    runs = fx.model_runs(scored)
+    versions = fx.model_versions(runs)
+    cands = fx.candidates(runs).select("candidate_run_id", "model_name")
+    dec = workflows.deployment_decision(cands, runs, versions, fx.model_aliases(versions),
+                                        fx.approval_ledger(fx.table(spark, SF_SMOKE, "events")))
+    want = E.queries()["deployable"](spark, SF_SMOKE)
+    assert rows(dec, "candidate_run_id", "decision") == rows(want, "candidate_run_id", "decision")
+    assert dec.where(F2.col("skip_deploy")).count() == 0
