@@ -71,3 +71,19 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
 FROM turns GROUP BY conv_id
 """
+
+ORACLES["op7_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []
+        WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' ')) END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM g),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+      FROM x a JOIN x b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM o WHERE 100 * c >= 80 * (na + nb - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM g UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT g.doc_id, len(s)::BIGINT AS n_shingles, m.c::BIGINT AS component_id
+FROM g JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON g.doc_id = m.a
+"""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import chat, langid, mixing, oracles, packing, quality, repair
+from keelson.llm import chat, jaccard, langid, mixing, oracles, packing, quality, repair
 from keelson.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op6(spark, d):
     return repair.read_token_files(spark, path)
 
 
+@_register("op7_ngram_jaccard")
+def op7(spark, d):
+    return jaccard.near_copy_components(_table(spark, d, "documents"))
+
+
 @_register("op8_line_frequency_quality")
 def op8(spark, d):
     judged = quality.judge_documents(_table(spark, d, "documents"))
