@@ -44,7 +44,7 @@ CAPACITY = 2048
 END_ID = 1
 GRID = 8               # lengths are planned in multiples of this many ids
 GAP = 5e-4             # columns are generated until the plan is this close to its lower bound
-MAX_COLUMNS = 4_000    # ... or so many have been priced (the plan is valid at any point)
+COLUMNS_PER_SIZE = 12  # ... or so many per length have been priced (the plan is valid at any point)
 
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
                 "bin int, part int, local_rank long")
@@ -99,16 +99,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grid
 def _best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack: the pattern of sizes 1.. with the largest value."""
     best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    sizes = np.flatnonzero(value > 1e-12) + 1
-    worth = value[sizes - 1]
     for c in range(1, capacity + 1):
-        k = int(np.searchsorted(sizes, c, "right"))
+        gain = best[:c][::-1] + value[:c]        # a piece of size 1..c, then the best of the rest
+        j = int(gain.argmax())
         best[c] = best[c - 1]
-        if k:
-            gain = best[c - sizes[:k]] + worth[:k]
-            j = int(np.argmax(gain))
-            if gain[j] > best[c] + 1e-12:
-                best[c], take[c] = gain[j], sizes[j]
+        if gain[j] > best[c] + 1e-12:
+            best[c], take[c] = gain[j], j + 1
     pattern, c = np.zeros(len(value)), capacity
     while c > 0:
         if take[c]:
@@ -131,7 +127,7 @@ def generate_patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarra
     true_d, d = d, d * (1 + 1e-3 * np.modf(np.arange(1, m + 1) * 0.618034)[0])   # ties would make the simplex stall
     x, reached, stalled = d / np.diag(basis), np.inf, 0
     bound = float(d @ sizes) / capacity                   # no plan wastes less than nothing
-    for step in range(MAX_COLUMNS):
+    for _ in range(COLUMNS_PER_SIZE * m):
         dual = inverse.sum(axis=0)                        # every column costs one sequence
         value = np.zeros(capacity)
         value[sizes - 1] = np.maximum(dual, 0)
@@ -144,7 +140,7 @@ def generate_patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarra
         if stalled > 2 * m:
             break
         column = pattern[sizes - 1]
-        direction = inverse @ column
+        direction = (inverse * column).sum(axis=1)
         up = direction > 1e-9
         if not up.any():
             break
@@ -154,14 +150,10 @@ def generate_patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarra
         x = np.maximum(x - t * direction, 0)
         x[leave] = t
         basis[:, leave] = column
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ d, 0)
-        else:
-            row = inverse[leave] / direction[leave]
-            inverse -= np.outer(direction, row)
-            inverse[leave] = row
-    x = np.maximum(np.linalg.inv(basis) @ true_d, 0)
+        row = inverse[leave] / direction[leave]
+        inverse -= direction[:, None] * row
+        inverse[leave] = row
+    x = np.maximum((inverse * true_d).sum(axis=1), 0)
     plan, left = [], demand.astype(np.int64).copy()
     for j in range(m):
         n = int(np.floor(x[j] + 1e-9))
