@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import chat, jaccard, langid, mixing, oracles, packing, quality, repair, suffixes
+from keelson.llm import chat, jaccard, langid, mixing, oracles, packing, passages, quality, repair, suffixes
 from keelson.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op1(spark, d):
     return suffixes.repeated_bytes(_table(spark, d, "documents"))
 
 
+@_register("op2_passage_chains")
+def op2(spark, d):
+    return passages.shared_passages(_table(spark, d, "documents"))
+
+
 @_register("op4_ppm_language")
 def op4(spark, d):
     docs = _table(spark, d, "documents")
