@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.llm import mixing, quality
+from keelson.llm import mixing, quality, search
 
 _ESC = "replace(replace({x}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
 
@@ -87,3 +87,13 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM g UNION SELECT r.a, l.b FROM reach r
 SELECT g.doc_id, len(s)::BIGINT AS n_shingles, m.c::BIGINT AS component_id
 FROM g JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON g.doc_id = m.a
 """
+
+ORACLES["op3_multi_index_search"] = f"""
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS neighbor_id,
+         list_sum(list_transform(range(1, {search.BITS + 1}), lambda i: ((q.embedding[i] > 0) <> (x.embedding[i] > 0))::INT))::INTEGER
+           AS distance
+  FROM embeddings q JOIN embeddings x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= {search.K}
+"""

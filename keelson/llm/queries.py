@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keelson.llm import chat, jaccard, langid, mixing, oracles, packing, passages, quality, repair, suffixes
+from keelson.llm import chat, jaccard, langid, mixing, oracles, packing, passages, quality, repair, search, suffixes
 from keelson.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +46,12 @@ def op2(spark, d):
     return passages.shared_passages(_table(spark, d, "documents"))
 
 
+@_register("op3_multi_index_search")
+def op3(spark, d):
+    codes = search.binary_codes(_table(spark, d, "embeddings"), "vec_id", "embedding")
+    return search.nearest_codes(codes, codes.where(F.col("id") % 100 == 0))
+
+
 @_register("op4_ppm_language")
 def op4(spark, d):
     docs = _table(spark, d, "documents")
