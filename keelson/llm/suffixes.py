@@ -39,16 +39,16 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.textops import ByteHasher, TextSlice, mix64, pad_documents, text_slices
+from keelson.llm.blocks import (BLOCK_BYTES, ENTRY_SCHEMA, NULL_ID, Block, blocks_of, by_bucket, deltas, entry_rows,
+                                key_edges, pack, unpack, write_blocks)
+from keelson.llm.textops import ByteHasher, mix64
 from keelson.session import scratch_path
 
 __all__ = ["DIFFERENCE_COVER", "COVER_PERIOD", "repeated_bytes", "remove_repeats"]
@@ -57,92 +57,15 @@ WIDTH = 100
 COVER_PERIOD = 57
 #: Every difference modulo 57 occurs between two of these (a perfect difference set).
 DIFFERENCE_COVER = (1, 6, 7, 9, 19, 38, 42, 49)
-BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20   # bytes of text per bucket: bounds the suffixes that one task sorts
 SPARE_BITS = 10           # sample keys: log2(bytes) + this many bits
-_NULL_ID = np.iinfo(np.int64).min
 
-BLOCK_SCHEMA = "block_id long, n_bytes long, doc_ids binary, lengths binary, body binary"
-ENTRY_SCHEMA = "bucket int, block_id long, entries binary"
 BITS_SCHEMA = "block_id long, bucket int, bits binary"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-# ------------------------------------------------------------------ encoding
-
-def _pack(*columns: np.ndarray) -> bytes:
-    """Unsigned columns of one length as compressed byte planes."""
-    import zstandard
-    out = [np.array([len(columns[0]) if columns else 0, len(columns)], "<u4").tobytes()]
-    for c in columns:
-        c = np.ascontiguousarray(c, dtype="<u8")
-        wide = max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1
-        out.append(bytes([wide]))
-        out.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    import zstandard
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, k = np.frombuffer(raw, "<u4", 2)
-    at, out = 8, []
-    for _ in range(int(k)):
-        wide = raw[at]
-        planes = np.frombuffer(raw, np.uint8, int(n) * wide, at + 1).reshape(wide, int(n))
-        full = np.zeros((int(n), 8), dtype=np.uint8)
-        full[:, :wide] = planes.T
-        out.append(full.view("<u8").reshape(-1))
-        at += 1 + int(n) * wide
-    return out
-
-
-# -------------------------------------------------------------------- blocks
-
-def _block_batches(block_bytes: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        part, nth = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for rows, text in text_slices(batch, max_bytes=block_bytes):
-                ids = np.asarray(rows.column(0).fill_null(_NULL_ID))
-                order = np.argsort(ids, kind="stable")
-                if (order[1:] < order[:-1]).any():
-                    rows = rows.take(pa.array(order))
-                    text, ids = TextSlice(rows.column(1)), ids[order]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(part << 32) + nth], pa.int64()), pa.array([len(text.data)], pa.int64()),
-                     pa.array([ids.astype("<i8").tobytes()], pa.binary()),
-                     pa.array([text.lengths().astype("<i8").tobytes()], pa.binary()),
-                     pa.array([zstandard.ZstdCompressor(level=3).compress(text.data.tobytes())], pa.binary())],
-                    names=["block_id", "n_bytes", "doc_ids", "lengths", "body"])
-                nth += 1
-    return run
-
-
-def _write_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """The corpus as a table of compressed blocks, bucketed by block_id so that
-    joins on block_id read it in place."""
-    spark = docs.sparkSession
-    name = f"suffix_blocks_{uuid.uuid4().hex[:12]}"
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (pad_documents(docs).mapInArrow(_block_batches(block_bytes), BLOCK_SCHEMA)
-     .write.format("parquet").option("path", scratch_path(spark, "suffix_blocks"))
-     .bucketBy(buckets, "block_id").saveAsTable(name))
-    return spark.table(name)
-
-
-class _Block:
-    def __init__(self, doc_ids: bytes, lengths: bytes, body: bytes, dropped: list[int] | None):
-        import zstandard
-        self.ids = np.frombuffer(doc_ids, "<i8")
-        self.lengths = np.frombuffer(lengths, "<i8")
-        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
-        self.ends = np.cumsum(self.lengths)
-        self.starts = self.ends - self.lengths
-        self.dropped = np.zeros(len(self.ids), dtype=bool)
-        if dropped:
-            self.dropped[dropped] = True
+class _Block(Block):
+    """A block with the positions of its suffixes."""
 
     def runs(self, width: int) -> np.ndarray:
         """Flags of the positions where ``width`` bytes of a live document start."""
@@ -170,59 +93,23 @@ def _sample_keys(block: _Block, hasher: ByteHasher, bits: int) -> tuple[np.ndarr
     return at, block.keys(hasher, at, WIDTH - COVER_PERIOD + 1) >> np.uint64(64 - bits)
 
 
-def _edges(keys: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the key ranges, and where each range begins in sorted keys."""
-    lower = np.array([(k << bits) // buckets for k in range(buckets)], dtype=np.uint64)
-    return lower, np.concatenate([np.searchsorted(keys, lower, "left"), [len(keys)]])
-
-
-def _entry_rows(block_id: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([block_id] * len(rows), pa.int64()),
-         pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block_id", "entries"])
-
-
-def _deltas(keys: np.ndarray, lower: np.uint64) -> np.ndarray:
-    return np.diff(np.concatenate([[lower], keys]).astype(np.uint64))
-
-
 # ------------------------------------------------- pass 1: ranks of the samples
 
-def _blocks_of(batch: pa.RecordBatch, columns: int) -> Iterator[list]:
-    for i in range(batch.num_rows):   # one block in memory at a time
-        yield [batch.column(k)[i].as_py() for k in range(columns)]
-
-
 def _sample_batches(bits: int, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block_id, doc_ids, lengths, body, dropped in _blocks_of(batch, 5):
+            for block_id, doc_ids, lengths, body, dropped in blocks_of(batch, 5):
                 block = _Block(doc_ids, lengths, body, dropped)
                 _, keys = _sample_keys(block, ByteHasher(block.data), bits)
                 keys = np.unique(keys)
-                lower, edge = _edges(keys, bits, buckets)
-                rows = [(k, _pack(_deltas(keys[edge[k]:edge[k + 1]], lower[k])))
+                lower, edge = key_edges(keys, bits, buckets)
+                rows = [(k, pack(deltas(keys[edge[k]:edge[k + 1]], lower[k])))
                         for k in range(buckets) if edge[k + 1] > edge[k]]
                 if rows:
-                    yield _entry_rows(block_id, rows)
+                    yield entry_rows(block_id, rows)
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes]]]:
-    """Rows sorted by bucket, one bucket at a time."""
-    now, blocks, entries = None, [], []
-    for batch in batches:
-        for bucket, block_id, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if bucket != now and blocks:
-                yield now, blocks, entries
-                blocks, entries = [], []
-            now = bucket
-            blocks.append(block_id)
-            entries.append(blob)
-    if blocks:
-        yield now, blocks, entries
-
-
 def _bits_batch(bucket: int, blocks: list[int], sizes: list[int], flags: np.ndarray) -> pa.RecordBatch:
     cut = np.cumsum([0] + sizes)
     return pa.RecordBatch.from_arrays(
@@ -233,8 +120,8 @@ def _bits_batch(bucket: int, blocks: list[int], sizes: list[int], flags: np.ndar
 
 def _rank_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: which sample keys stand in two blocks or more."""
-    for bucket, blocks, entries in _by_bucket(batches):
-        parts = [np.cumsum(_unpack(blob)[0]) for blob in entries]   # from the lower bound: same for all
+    for bucket, blocks, entries in by_bucket(batches):
+        parts = [np.cumsum(unpack(blob)[0]) for blob in entries]   # from the lower bound: same for all
         sizes = [len(p) for p in parts]
         keys = np.concatenate(parts)
         order = np.argsort(keys, kind="stable")
@@ -263,7 +150,7 @@ def _long_ties(block: _Block, hasher: ByteHasher, bits: int, buckets: int, answe
     """Positions whose WIDTH-byte prefix may occur elsewhere."""
     at, keys = _sample_keys(block, hasher, bits)
     distinct, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-    _, edge = _edges(distinct, bits, buckets)
+    _, edge = key_edges(distinct, bits, buckets)
     tied = (_answers(edge, answers) | (count > 1))[inverse]
     step = np.zeros(len(block.data) + 1, dtype=np.int32)
     hit = at[tied]
@@ -282,14 +169,14 @@ def _suffix_keys(block: _Block, hasher: ByteHasher, at: np.ndarray, buckets: int
     new[1:] = s[1:] != s[:-1]
     which = np.empty(len(s), dtype=np.int64)
     which[order] = np.cumsum(new) - 1
-    lower, edge = _edges(s[new], 64, buckets)
+    lower, edge = key_edges(s[new], 64, buckets)
     return s[new], at[order[new]], which, lower, edge
 
 
 def _tie_batches(bits: int, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block_id, doc_ids, lengths, body, dropped, answers in _blocks_of(batch, 6):
+            for block_id, doc_ids, lengths, body, dropped, answers in blocks_of(batch, 6):
                 block = _Block(doc_ids, lengths, body, dropped)
                 hasher = ByteHasher(block.data)
                 at = _long_ties(block, hasher, bits, buckets, answers)
@@ -300,22 +187,22 @@ def _tie_batches(bits: int, buckets: int) -> Callable:
                     a, b = edge[k], edge[k + 1]
                     if b > a:
                         used, local = np.unique(doc[a:b], return_inverse=True)
-                        body_part = _pack(_deltas(keys[a:b], lower[k]), local.astype(np.uint64))
-                        ids = _pack((block.ids[used].astype(np.int64) - _NULL_ID).view(np.uint64))
+                        body_part = pack(deltas(keys[a:b], lower[k]), local.astype(np.uint64))
+                        ids = pack((block.ids[used].astype(np.int64) - NULL_ID).view(np.uint64))
                         rows.append((k, len(body_part).to_bytes(4, "little") + body_part + ids))
                 if rows:
-                    yield _entry_rows(block_id, rows)
+                    yield entry_rows(block_id, rows)
     return run
 
 
 def _sort_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: which entries are not the first suffix of their tie."""
-    for bucket, blocks, entries in _by_bucket(batches):
+    for bucket, blocks, entries in by_bucket(batches):
         keys, docs, owner, sizes = [], [], [], []
         for block_id, blob in zip(blocks, entries):
             n = int.from_bytes(blob[:4], "little")
-            delta, local = _unpack(blob[4:4 + n])
-            ids = _unpack(blob[4 + n:])[0]
+            delta, local = unpack(blob[4:4 + n])
+            ids = unpack(blob[4 + n:])[0]
             keys.append(np.cumsum(delta))
             docs.append(ids[local.astype(np.int64)])
             owner.append(np.full(len(delta), block_id, dtype=np.int64))
@@ -345,7 +232,7 @@ def _covered(block: _Block, at: np.ndarray) -> np.ndarray:
 def _result_batches(bits: int, buckets: int, keep_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block_id, doc_ids, lengths, body, dropped, answers, verdicts in _blocks_of(batch, 7):
+            for block_id, doc_ids, lengths, body, dropped, answers, verdicts in blocks_of(batch, 7):
                 block = _Block(doc_ids, lengths, body, dropped)
                 hasher = ByteHasher(block.data)
                 at = _long_ties(block, hasher, bits, buckets, answers)
@@ -362,7 +249,7 @@ def _result_batches(bits: int, buckets: int, keep_text: bool) -> Callable:
                 for a, b in zip(block.starts.tolist(), block.ends.tolist()):
                     part = block.data[a:b]
                     kept.append((part if total[a] == total[b] else part[~gone[a:b]]).tobytes())
-                cols = [pa.array(block.ids, mask=block.ids == _NULL_ID), pa.array(block.lengths),
+                cols = [pa.array(block.ids, mask=block.ids == NULL_ID), pa.array(block.lengths),
                         pa.array(total[block.ends] - total[block.starts]),
                         pa.array(spans[block.ends] - spans[block.starts]),
                         pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
@@ -375,7 +262,7 @@ def _result_batches(bits: int, buckets: int, keep_text: bool) -> Callable:
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block_id, doc_ids, lengths, body in _blocks_of(batch, 4):
+        for block_id, doc_ids, lengths, body in blocks_of(batch, 4):
             block = _Block(doc_ids, lengths, body, None)
             one = ByteHasher(block.data, 11).ranges(block.starts, block.ends).view(np.int64)
             two = mix64(ByteHasher(block.data, 12).ranges(block.starts, block.ends)).view(np.int64)
@@ -404,7 +291,7 @@ def repeated_bytes(docs: DataFrame, keep_text: bool = False, block_bytes: int =
     remaining bytes, on request)."""
     spark = docs.sparkSession
     path = scratch_path(spark, "suffixes")
-    blocks = _write_blocks(docs, block_bytes)
+    blocks = write_blocks(docs, block_bytes)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     bits = min(62 - buckets.bit_length(), max(16, int(total).bit_length() + SPARE_BITS))
@@ -413,7 +300,7 @@ def repeated_bytes(docs: DataFrame, keep_text: bool = False, block_bytes: int =
         df.write.parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    def by_bucket(entries: DataFrame, fn: Callable) -> DataFrame:
+    def through_buckets(entries: DataFrame, fn: Callable) -> DataFrame:
         sorted_rows = entries.repartition("bucket").sortWithinPartitions("bucket", "block_id")
         return sorted_rows.mapInArrow(fn, BITS_SCHEMA)
 
@@ -424,10 +311,10 @@ def repeated_bytes(docs: DataFrame, keep_text: bool = False, block_bytes: int =
     with_copies = blocks.join(copies.hint("shuffle_hash"), "block_id", "left")
     body = ["block_id", "doc_ids", "lengths", "body", "dropped"]
     samples = with_copies.select(*body).mapInArrow(_sample_batches(bits, buckets), ENTRY_SCHEMA)
-    ranks = written(by_bucket(samples, _rank_samples), "ranks")
+    ranks = written(through_buckets(samples, _rank_samples), "ranks")
     with_ranks = with_copies.join(per_block(ranks, "answers").hint("shuffle_hash"), "block_id", "left")
     ties = with_ranks.select(*body, "answers").mapInArrow(_tie_batches(bits, buckets), ENTRY_SCHEMA)
-    verdicts = written(by_bucket(ties, _sort_ties), "verdicts")
+    verdicts = written(through_buckets(ties, _sort_ties), "verdicts")
     last = with_ranks.join(per_block(verdicts, "verdicts").hint("shuffle_hash"), "block_id", "left")
     return last.select(*body, "answers", "verdicts").mapInArrow(
         _result_batches(bits, buckets, keep_text), RESULT_SCHEMA + (", kept binary" if keep_text else ""))
