@@ -16,7 +16,7 @@ def make_docs(seed=1, n=60):
     shared passages, nulls, empty and long texts and repeated rows."""
     rng = random.Random(seed)
     texts = [" ".join(words(rng, rng.randint(15, 120), 5000)) for _ in range(n)]
-    passage = " ".join(words(rng, 60, 5000))
+    texts[3], passage = " ".join(words(rng, 80, 5000)), " ".join(words(rng, 60, 5000))
     for i in range(4, n, 9):
         texts[i] = texts[i] + "\n" + passage + "\n" + " ".join(words(rng, 20, 5000))
     for i in range(10, n, 13):
