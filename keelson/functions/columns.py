@@ -118,8 +118,8 @@ def approval_decision(flag: str | Column, pending: str = "PENDING") -> Column:
 
 
 def action_to_flag(action: str | Column) -> Column:
-    """APPROVE -> 'TRUE', REJECT -> 'FALSE', else null (the caller rejects the row)."""
-    a = as_col(action)
+    """APPROVE or absent -> 'TRUE', REJECT -> 'FALSE', else null (the caller rejects the row)."""
+    a = F.coalesce(as_col(action), F.lit("APPROVE"))
     return F.when(a == "APPROVE", F.lit("TRUE")).when(a == "REJECT", F.lit("FALSE"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.operators.ordered import running_totals
+from keelson.session import landed
 
 __all__ = ["fit_category_map", "apply_category_map", "encode_categories", "assemble"]
 
@@ -26,12 +27,13 @@ def fit_category_map(df: DataFrame, col: str) -> DataFrame:
     global ``row_number()`` window, so a high-cardinality column is fine."""
     distinct = df.where(F.col(col).isNotNull()).select(col).distinct().withColumn("__one", F.lit(1))
     numbered = running_totals(distinct, [col], ["__one"])
-    return numbered.select(col, (F.col("cum___one") - 1).cast("int").alias("code"))
+    return landed(numbered.select(col, (F.col("cum___one") - 1).cast("int").alias("code")), "category_map")
 
 
 def apply_category_map(df: DataFrame, col: str, mapping: DataFrame, out_col: str | None = None) -> DataFrame:
-    """Left join to the fitted map; unseen / null -> -1.  The map has one row
-    per category: AQE broadcasts it when it is small, else sort-merge joins."""
+    """Left join to the fitted map; unseen / null -> -1.  A fitted map is a
+    landed table: its measured size decides between a broadcast and a
+    sort-merge join."""
     out_col = out_col or f"{col}_code"
     m = mapping.select(F.col(col).alias("__cat"), F.col("code").alias("__code"))
     j = df.join(m, df[col] == m["__cat"], "left")

@@ -85,7 +85,7 @@ def confusion_matrix(df: DataFrame, label_col: str = "label", pred_col: str = "p
 
 
 def roc_auc(df: DataFrame, label_col: str = "label", score_col: str = "score",
-            group_cols: Sequence[str] = (), decimals: int | None = 6, buckets: int = 128) -> DataFrame:
+            group_cols: Sequence[str] = (), decimals: int | None = 6, buckets: int | None = None) -> DataFrame:
     """ROC-AUC by the Mann-Whitney rank sum, ties counted half.
 
     Rows are first reduced to one row per distinct (group, score) with

@@ -3,132 +3,69 @@
 ``sum(x) OVER (ORDER BY v)`` with no PARTITION BY runs in a single task; a
 per-group window puts a hot group in one task.  Instead:
 
-1. bucket rows by approximate quantiles of the order key (per group), so
-   every bucket holds ~1/B of the group's rows;
-2. running sum inside each (group, bucket) -- a window over a bounded slice;
-3. bucket totals -> per-group prefix over at most B rows -> offsets;
-4. offset + in-bucket running sum.
-
-The quantile bounds are fixed before use -- checkpointed per group, or a
-literal array of at most B-1 doubles when there is no group -- so the bucket of
-a row is the same in steps 2 and 3 even if a stage is recomputed after an
-executor loss (``percentile_approx`` may merge partial sketches in another
-order).
-Callers aggregate to distinct order keys first, so a hot *value* is one row.
+1. range-partition the rows on (group, order key) and land them once, each with
+   the number of its range.  Spark samples the whole key, so long shared
+   prefixes, outliers and hot groups still spread; the number of ranges follows
+   the number of rows;
+2. running sum inside each (range, group) -- a window over a bounded slice;
+3. totals per (range, group) -> prefix over the ranges -> offsets;
+4. offset + in-range running sum.
+
+The landed table fixes the ranges, so steps 2 and 3 agree even if a stage is
+recomputed after an executor loss.  Callers aggregate to distinct order keys
+first, so a hot *value* is one row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-__all__ = ["running_totals", "coarse_key"]
-
-
-def _is_string(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.StringType, T.VarcharType, T.CharType))
-
 
-def _common_prefix_len(df: DataFrame, col: str, cap: int = 1024) -> int:
-    """Length of the prefix every value shares = common prefix of min and max
-    (only their first ``cap`` characters come back to the driver)."""
-    row = df.agg(F.substring(F.min(col), 1, cap), F.substring(F.max(col), 1, cap)).first()
-    lo, hi = row[0] or "", row[1] or ""
-    n = 0
-    while n < min(len(lo), len(hi)) and lo[n] == hi[n]:
-        n += 1
-    return n
+from keelson.session import scratch_path
 
+__all__ = ["running_totals", "ROWS_PER_RANGE"]
 
-def coarse_key(dtype: T.DataType, col: Column, skip_chars: int = 0) -> Column:
-    """A double that never decreases when ``col`` increases (ties allowed)."""
-    if _is_string(dtype):
-        # 6 bytes of UTF-8 after the shared prefix, big-endian: byte order ==
-        # string order, and values sharing a long prefix still spread out
-        tail = F.substring(col, skip_chars + 1, 6) if skip_chars else col
-        hx = F.rpad(F.substring(F.hex(tail), 1, 12), 12, "0")
-        return F.conv(hx, 16, 10).cast("double")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(dtype, T.BooleanType):
-        return col.cast("int").cast("double")
-    return col.cast("double")
-
-
-def _count_below(df: DataFrame, n: int, bounds: Column, key: Column, out: str) -> DataFrame:
-    """``out`` = number of the ``n`` sorted ``bounds`` strictly below ``key``
-    (null key -> 0), by binary lifting: log2(n) small projections, each
-    ``lo = bounds[lo + s - 1] < key ? lo + s : lo`` -- no lambda functions and
-    an expression size independent of n."""
-    k = F.coalesce(key, F.lit(float("-inf")))
-    df = df.withColumn(out, F.lit(0))
-    step = 1 << max(n.bit_length() - 1, 0) if n else 0
-    while step >= 1:
-        lo = F.col(out)
-        cand = F.get(bounds, lo + F.lit(step - 1))
-        df = df.withColumn(out, F.when((lo + F.lit(step) <= F.lit(n)) & (cand < k), lo + F.lit(step))
-                           .otherwise(lo))
-        step //= 2
-    return df
+ROWS_PER_RANGE = 250_000
 
 
 def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
-                   group_cols: Sequence[str] = (), *, buckets: int = 128,
-                   accuracy: int | None = None, prefix: str = "cum_",
+                   group_cols: Sequence[str] = (), *, buckets: int | None = None, prefix: str = "cum_",
                    keep_bucket: bool = False) -> DataFrame:
     """Adds ``prefix + c`` = inclusive running sum of ``c`` for each ``sum_cols``.
 
     ``order_cols`` must order rows totally within a group (ties would be
-    summed in an arbitrary order).  Rows with a null group key are dropped."""
+    summed in an arbitrary order).  A null group key is a group of its own.
+    ``buckets`` asks for so many ranges in the largest group; by default a
+    range holds about ROWS_PER_RANGE rows."""
     order_cols, sum_cols, group_cols = list(order_cols), list(sum_cols), list(group_cols)
-    for g in group_cols:  # null groups have no total order to share; stated up front so
-        df = df.where(F.col(g).isNotNull())  # both plan branches below stay identical
-    first = order_cols[0]
-    dtype = df.schema[first].dataType
-    skip = _common_prefix_len(df, first) if _is_string(dtype) else 0
-    key = coarse_key(dtype, F.col(first), skip)
-    fracs = [i / buckets for i in range(1, buckets)]
-    # rank error 1/accuracy well under the bucket width 1/buckets keeps buckets
-    # balanced; a larger sketch only costs time
-    accuracy = accuracy or max(4 * buckets, 1000)
-    keyed = df.withColumn("__key", key)
-    quant = F.percentile_approx("__key", fracs, accuracy).alias("__bounds")
-    if group_cols:
-        bounds = keyed.groupBy(*group_cols).agg(quant).checkpoint(eager=True)
-        keyed = keyed.join(bounds, group_cols, "left")
-        # percentile_approx returns a sorted array of exactly buckets-1 values
-        b = _count_below(keyed, len(fracs), F.col("__bounds"), F.col("__key"), "__bucket")
+    spark = df.sparkSession
+    path = scratch_path(spark, "running_totals")
+    # one non-null column names the group, so joins on it keep null keys
+    name = (F.to_json(F.struct(*group_cols), {"ignoreNullFields": "false"}) if group_cols else F.lit(""))
+    rows = df.withColumn("__group", name)
+    rows.write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    if buckets is None:
+        ranges = math.ceil(rows.count() / ROWS_PER_RANGE)
     else:
-        # at most buckets-1 doubles: a proven-small control value, inlined as
-        # a literal array
-        row = keyed.agg(quant).first()
-        vals = sorted({float(x) for x in (row[0] or [])})
-        arr = F.array(*[F.lit(x) for x in vals]) if vals else F.array().cast("array<double>")
-        b = _count_below(keyed, len(vals), arr, F.col("__key"), "__bucket")
-
-    # one WindowExec gives the in-bucket running sum and the bucket total, so
-    # the input is shuffled once; bucket totals are read off that output
-    part = Window.partitionBy(*group_cols, "__bucket").orderBy(*order_cols)
-    w_in = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    local = b.select(*df.columns, "__bucket",
-                     *[F.sum(c).over(w_in).alias(f"__loc_{c}") for c in sum_cols],
-                     *[F.sum(c).over(w_all).alias(f"__all_{c}") for c in sum_cols])
-
-    totals = local.groupBy(*group_cols, "__bucket").agg(
-        *[F.first(f"__all_{c}").alias(f"__tot_{c}") for c in sum_cols])
-    w_off = (Window.partitionBy(*group_cols).orderBy("__bucket")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*group_cols, "__bucket",
+        size = rows.groupBy("__group").count().agg(F.sum("count").alias("all"), F.max("count").alias("top")).first()
+        ranges = math.ceil(buckets * (size["all"] or 0) / (size["top"] or 1))
+    (rows.repartitionByRange(max(1, ranges), "__group", *order_cols)
+     .withColumn("__bucket", F.spark_partition_id()).write.parquet(f"{path}/ranges"))
+    landed = spark.read.parquet(f"{path}/ranges")
+
+    w_in = (Window.partitionBy("__bucket", "__group").orderBy(*order_cols)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = landed.select("*", *[F.sum(c).over(w_in).alias(f"__loc_{c}") for c in sum_cols])
+    totals = landed.groupBy("__bucket", "__group").agg(*[F.sum(c).alias(f"__tot_{c}") for c in sum_cols])
+    # at most one row per range and group
+    w_off = (Window.partitionBy("__group").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("__bucket", "__group",
                             *[F.coalesce(F.sum(f"__tot_{c}").over(w_off), F.lit(0)).alias(f"__off_{c}")
                               for c in sum_cols])
-    # inner join: every (group, bucket) of `local` has an offset row, and the two
-    # sides then carry the same inferred filters, so the shuffle of `local` is reused
-    out = local.join(offsets, [*group_cols, "__bucket"], "inner")
+    out = local.join(offsets, ["__bucket", "__group"], "inner")
     return out.select(*df.columns, *(["__bucket"] if keep_bucket else []),
                       *[(F.col(f"__off_{c}") + F.col(f"__loc_{c}")).alias(prefix + c) for c in sum_cols])

@@ -2,9 +2,9 @@
 
 Every step is a column expression except the rare-category fold, which needs
 value counts: a partial hash aggregate (one row per category) joined back on
-the category.  The count side is one row per distinct value; AQE turns the
-join into a broadcast when its measured size is under the broadcast threshold
-and keeps a sort-merge join (with skew splitting) when it is not.
+the category.  The count side is one row per distinct value, landed first: it
+is broadcast when its measured size is under the broadcast threshold and
+sort-merge joined (with skew splitting) when it is not.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from keelson.functions.columns import (
     allow_or_other, binary_target, contains_any, fill_unknown, first_match_class,
     presence_flag, replace_values,
 )
+from keelson.operators.metrics import value_counts
+from keelson.session import landed
 
-__all__ = ["PrepSpec", "rename_columns", "fold_rare", "feature_prep", "value_counts_for"]
+__all__ = ["PrepSpec", "rename_columns", "fold_rare", "feature_prep"]
 
 
 # --- fixed values of the original feature job (kept verbatim, in order) ---
@@ -81,19 +83,14 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(present)
 
 
-def value_counts_for(df: DataFrame, col: str, count_col: str = "n") -> DataFrame:
-    """``value -> count``; nulls are not counted (pandas ``value_counts``)."""
-    return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(count_col))
-
-
 def fold_rare(df: DataFrame, col: str, min_count: int, other: str = "Other") -> DataFrame:
     """Replace categories seen fewer than ``min_count`` times by ``other``.
 
-    Counts are over *all* rows of ``df``.  Group-count + equi-join back; no
-    window over the category, so a category holding a third of the rows does
-    not end up in one task."""
+    Counts are over *all* rows of ``df``.  The counts are landed and read back,
+    so their measured size picks the join: a broadcast moves no row of ``df``,
+    and beyond the threshold a sort-merge join splits a hot category."""
     tmp = f"__n_{col}"
-    counts = value_counts_for(df, col, tmp)
+    counts = landed(value_counts(df.select(col), col, tmp), "category_counts")
     joined = df.join(counts, on=col, how="left")
     return joined.withColumn(
         col, F.when(F.col(tmp) < F.lit(min_count), F.lit(other)).otherwise(F.col(col))

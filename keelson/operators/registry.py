@@ -84,10 +84,27 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], update_cols
     return j.select(*out)
 
 
+def current_aliases(aliases: DataFrame, model_col: str = "model_name") -> DataFrame:
+    """Newest row per (model, alias) of the alias log (greatest ``updated_at``
+    where the table has it, then the greatest version number)."""
+    order = [c for c in ("updated_at",) if c in aliases.columns] + ["__number"]
+    return latest_by_key(aliases.withColumn("__number", F.col("version").cast("int")), [model_col, "alias"],
+                         order, ["version"])
+
+
+def current_runs(runs: DataFrame) -> DataFrame:
+    """Newest log row of every run (a run that was logged again counts once)."""
+    if "start_time" not in runs.columns:
+        return runs.select("run_id", "metrics")
+    return latest_by_key(runs, ["run_id"], ["start_time"], ["metrics"])
+
+
 def resolve_deployed(models: DataFrame, versions: DataFrame, aliases: DataFrame,
                      alias: str = DEFAULT_ALIAS, model_col: str = "model_name") -> DataFrame:
-    """Deployed (version, run) per model: alias -> highest version -> ("0", UNKNOWN)."""
-    a = (aliases.where(F.col("alias") == alias)
+    """Deployed (version, run) per model: alias -> highest version -> ("0", UNKNOWN).
+
+    ``aliases`` is a log: the newest row of a model's alias counts."""
+    a = (current_aliases(aliases, model_col).where(F.col("alias") == alias)
          .select(model_col, F.col("version").alias("__alias_version")))
     a_run = a.join(versions.select(model_col, F.col("version").alias("__alias_version"),
                                    F.col("run_id").alias("__alias_run")),
@@ -118,7 +135,7 @@ def gate_decision(cands: DataFrame, runs: DataFrame, versions: DataFrame, aliase
     metric independently (original behaviour).  Missing metric -> not
     skipped.  ``enforce=False`` never sets skip_deploy (original bypass)."""
     dep = resolve_deployed(cands, versions, aliases, alias)
-    m = runs.select("run_id", "metrics")
+    m = current_runs(runs)
     j = (dep.join(m.withColumnRenamed("run_id", "candidate_run_id")
                   .withColumnRenamed("metrics", "__cm"), "candidate_run_id", "left")
          .join(m.withColumnRenamed("run_id", "deployed_run_id")
@@ -149,17 +166,20 @@ def gate_decision(cands: DataFrame, runs: DataFrame, versions: DataFrame, aliase
 def gate_improved(cands: DataFrame, runs: DataFrame, versions: DataFrame, aliases: DataFrame,
                   metric: str = "f1_score", *, tie_passes: bool = True,
                   alias: str = DEFAULT_ALIAS) -> DataFrame:
-    """Champion/challenger on one metric: first run, missing metric or a
-    failed lookup pass; otherwise new >= old (ties pass by default)."""
-    dep = resolve_deployed(cands, versions, aliases, alias)
-    m = runs.select("run_id", metric_value("metrics", metric).alias("__v"))
+    """Champion/challenger on one metric: a first run, a model without the
+    alias, and a missing metric pass; otherwise new >= old (ties pass by
+    default)."""
+    named = (current_aliases(aliases).where(F.col("alias") == alias)
+             .select("model_name", F.lit(True).alias("__named")))
+    dep = resolve_deployed(cands, versions, aliases, alias).join(named, "model_name", "left")
+    m = current_runs(runs).select("run_id", metric_value("metrics", metric).alias("__v"))
     j = (dep.join(m.select(F.col("run_id").alias("candidate_run_id"), F.col("__v").alias("new_metric")),
                   "candidate_run_id", "left")
          .join(m.select(F.col("run_id").alias("deployed_run_id"), F.col("__v").alias("old_metric")),
                "deployed_run_id", "left"))
     cmp = (F.col("new_metric") >= F.col("old_metric")) if tie_passes else \
         (F.col("new_metric") > F.col("old_metric"))
-    improved = F.when(F.col("deployed_version") == NO_VERSION, F.lit(True)) \
+    improved = F.when(F.col("__named").isNull() | (F.col("deployed_version") == NO_VERSION), F.lit(True)) \
         .when(F.col("new_metric").isNull() | F.col("old_metric").isNull(), F.lit(True)) \
         .otherwise(cmp)
     return j.select("candidate_run_id", "model_name", "deployed_version", "new_metric", "old_metric",
@@ -174,6 +194,7 @@ def register_versions(versions: DataFrame, new_runs: DataFrame, *, model_col: st
     Numbering is a distributed running count per model (no single-task
     window), so a model with a huge backlog of runs is still spread out."""
     fresh = new_runs.join(versions.select("run_id"), "run_id", "left_anti")
+    fresh = latest_by_key(fresh, [model_col, "run_id"], order_cols[:1], [c for c in order_cols if c != "run_id"])
     base = versions.groupBy(model_col).agg(F.max(F.col("version").cast("int")).alias("__base"))
     numbered = running_totals(fresh.withColumn("__one", F.lit(1)), list(order_cols), ["__one"], [model_col])
     out = numbered.join(base, model_col, "left").select(
@@ -202,13 +223,15 @@ def resolve_approvals(requests: DataFrame, ledger: DataFrame, *, key_cols: Seque
     return j.select(*requests.columns, flag.alias("flag"), approval_decision(flag).alias("decision"))
 
 
-def map_actions(df: DataFrame, action_col: str = "action") -> DataFrame:
-    """Approve/reject action -> sheet flag; other actions are rejected rows."""
+def map_actions(df: DataFrame, action_col: str = "action", run_col: str = "run_id") -> DataFrame:
+    """Approve/reject action -> sheet flag (an absent action approves); other
+    actions, and rows without a run id, are rejected rows."""
     flag = action_to_flag(F.col(action_col))
-    return df.withColumns({
-        "approved_flag": flag,
-        "error": F.when(flag.isNull(), F.lit("Invalid action")),
-    })
+    error = F.when(flag.isNull(), F.lit("Invalid action"))
+    if run_col in df.columns:
+        run = F.trim(F.coalesce(F.col(run_col).cast("string"), F.lit("")))
+        error = F.when(run == "", F.lit("Missing run_id")).otherwise(error)
+    return df.withColumns({"approved_flag": flag, "error": error})
 
 
 def deployable(gates: DataFrame, approvals: DataFrame, run_col: str = "run_id") -> DataFrame:

@@ -16,14 +16,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.functions.columns import missing_fields
 from keelson.operators import (
     encode, medallion, metrics, monitor, onboard, prep, registry, split, train,
 )
+from keelson.session import scratch_path
 from keelson.sources import tables
 
 __all__ = ["prepare_training_data", "refresh_monitoring", "train_and_register",
@@ -41,26 +42,31 @@ def prepare_training_data(spark: SparkSession, raw: DataFrame, spec: prep.PrepSp
 def refresh_monitoring(payload: DataFrame, request_schema: T.StructType, response_schema: T.StructType,
                        monitoring_table: str, *, model_name: str, align: str = "position",
                        passthrough: Sequence[str] = (), write: bool = True,
-                       dedup_keys: Sequence[str] | None = None) -> dict:
+                       dedup_keys: Sequence[str] | None = ("request_id", "pos")) -> dict:
     """Flatten, apply the fallback rule, append once.  Returns the observed
     counts of the rows written (no extra job).
 
-    ``dedup_keys`` (e.g. ``["request_id", "pos"]``) makes the refresh
-    incremental: records already in the monitoring table are not appended
-    again (the original re-appended every payload on each run).  It is a
-    left-anti join on the keys; the streaming form (``flatten_stream``) avoids
-    even that by tracking processed files in its checkpoint."""
-    keep_pos = bool(dedup_keys) and "pos" in dedup_keys
+    The refresh is incremental: of the records of a payload delivered twice
+    one is kept, and records already in the monitoring table are not appended
+    again (the original re-appended every payload on each run).  Records with
+    a null key cannot be told apart and all stay.  ``dedup_keys=None`` appends
+    everything.  The streaming form (``flatten_stream``) avoids the anti-join
+    by tracking processed files in its checkpoint."""
+    keys = list(dedup_keys or ())
+    spark = payload.sparkSession
+    carried = list(passthrough) + [c for c in keys if c != "pos" and c not in passthrough]
     flat = monitor.flatten_payload(payload, request_schema, response_schema, align=align,
-                                   model_name=model_name, passthrough=passthrough, keep_pos=keep_pos)
-    # the fallback rule looks at the whole refresh, then already-written records drop out
+                                   model_name=model_name, passthrough=carried, keep_pos="pos" in keys)
+    # the fallback rule looks at the whole refresh, then repeats and already-written records drop out
     kept = monitor.prediction_fallback(flat)
-    if dedup_keys:
-        try:
-            seen = tables.read_table(payload.sparkSession, monitoring_table).select(*dedup_keys)
-            kept = kept.join(seen, list(dedup_keys), "left_anti")
-        except AnalysisException:  # first refresh: nothing written yet
-            pass
+    if keys:
+        keyed = F.lit(True)
+        for c in keys:
+            keyed = keyed & F.col(c).isNotNull()
+        fresh = kept.where(keyed).dropDuplicates(keys)
+        if tables.table_exists(spark, monitoring_table):
+            fresh = fresh.join(tables.read_table(spark, monitoring_table).select(*keys), keys, "left_anti")
+        kept = fresh.select(*kept.columns).unionByName(kept.where(~keyed))
     obs = Observation("monitoring_refresh")
     observed = kept.observe(obs, F.count(F.lit(1)).alias("n_written"),
                             F.count("prediction").alias("n_with_prediction"))
@@ -98,6 +104,8 @@ def train_and_register(spark: SparkSession, train_df: DataFrame, test_df: DataFr
     new = (gate.where("improved")
            .join(runs.select(F.col("run_id").alias("candidate_run_id"), "start_time"), "candidate_run_id")
            .select(F.col("candidate_run_id").alias("run_id"), "start_time", "model_name"))
+    # landed before the tables it was judged by grow; the gate row is a result, so it is fixed too
+    gate = gate.checkpoint(eager=True)
     reg = registry.register_versions(versions, new).checkpoint(eager=True)
     tables.append(reg.select("model_name", F.col("version").cast("string").alias("version"), "run_id",
                              F.current_timestamp().alias("created_at")), versions_table)
@@ -116,42 +124,71 @@ def deployment_decision(candidates: DataFrame, runs: DataFrame, versions: DataFr
 
 
 def onboard_tenants(spark: SparkSession, feed: DataFrame, master_table: str, *,
-                    key: str = "customer_id", as_of: Column | None = None) -> DataFrame:
-    """New tenants (first per id, not stored yet) appended to the master table.
-    Returns the rejected feed rows (missing fields / duplicates / existing)."""
+                    key: str = "customer_id", order_cols: Sequence[str] | None = None,
+                    as_of: Column | None = None) -> DataFrame:
+    """New tenants appended to the master table: of the valid rows of an id the
+    first by ``order_cols`` (by default the order of arrival: the feed's file
+    order), unless the id is stored.  Validity is judged row by row, so an
+    invalid row neither enters nor hides a valid one of the same id.
+
+    Returns the rejected feed rows (key, reason): missing fields, repeats in
+    the feed, ids already stored."""
     stored = tables.read_table(spark, master_table).select(key)
-    checked = onboard.reject_reasons(feed)
-    valid = feed.join(checked.where("valid").select(key), key, "left_semi")
-    status = onboard.classify_ids(valid.withColumn("__seq", F.lit(0)), stored, key, ["__seq"])
-    new = status.where(F.col("status") == "ok").drop("status", "__seq")
-    new = onboard.first_per_key(new, key, [key])
-    rows = onboard.master_rows(new, as_of=as_of, with_stamps=True).checkpoint(eager=True)
-    tables.append(rows, master_table)
-    return checked.where(~F.col("valid"))
+    order = list(order_cols or ["__arrival"])
+    rows = feed if order_cols else feed.withColumn("__arrival", F.monotonically_increasing_id())
+    # one landing fixes the arrival order and the verdicts before the table grows
+    rows = rows.withColumn("__missing", missing_fields(list(onboard.REQUIRED_FIELDS)))
+    path = scratch_path(spark, "onboarding")
+    rows.write.parquet(f"{path}/feed")
+    rows = spark.read.parquet(f"{path}/feed")
+    onboard.classify_ids(rows.where("__missing is null"), stored, key, order).write.parquet(f"{path}/status")
+    status = spark.read.parquet(f"{path}/status")
+    new = status.where(F.col("status") == "ok").drop("status", "__arrival", "__missing")
+    tables.append(onboard.master_rows(new, as_of=as_of, with_stamps=True), master_table)
+    reasons = F.when(F.col("status") == "exists", F.lit("Existing id")).otherwise(F.lit("Duplicate id"))
+    return (rows.where("__missing is not null")
+            .select(key, F.concat(F.lit("Missing field: "), F.col("__missing")).alias("reason"))
+            .unionByName(status.where(F.col("status") != "ok").select(key, reasons.alias("reason"))))
 
 
 def load_tenant_layers(raw: DataFrame, schema: T.StructType, features: Mapping[str, Column],
                        bronze_table: str, silver_table: str, gold_table: str, *,
-                       tenant_col: str = "customer_id", buckets: int = tables.TENANT_BUCKETS,
-                       as_of: Column | None = None) -> None:
-    """Landed lines of all tenants -> bronze -> silver -> gold, each appended to
-    ONE table partitioned by a hash bucket of the tenant (no per-tenant schema
-    or DDL; a bounded number of folders however many tenants there are), rows
-    sorted by tenant inside the files.  Each layer is a committed table before
-    the next one reads it."""
+                       tenant_col: str = "customer_id", as_of: Column | None = None) -> None:
+    """One batch of landed lines of all tenants -> bronze -> silver -> gold, each
+    appended to ONE table partitioned by a hash bucket of the tenant (no
+    per-tenant schema or DDL; a bounded number of folders however many tenants
+    there are), rows sorted by tenant inside the files.
+
+    Incremental: bronze keeps every delivery, silver and gold get the batch's
+    records that they don't hold yet, so a batch loaded again, or a record
+    delivered again in a later batch, adds nothing to them.  The look-ups join
+    on the bucket too, so only the batch's buckets are read."""
     keep = [tenant_col]
     spark = raw.sparkSession
+    ident = ["tenant_bucket", tenant_col, "record_id"]
+    path = scratch_path(spark, "tenant_layers")
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.withColumn("tenant_bucket", tables.tenant_bucket(tenant_col))
 
     def write(df: DataFrame, table: str) -> None:
-        df = df.withColumn("tenant_bucket", tables.tenant_bucket(tenant_col, buckets))
         w = (df.hint("rebalance", "tenant_bucket").sortWithinPartitions(tenant_col)
              .write.mode("append").partitionBy("tenant_bucket"))
         w.parquet(table) if "/" in table else w.saveAsTable(table)
 
-    write(medallion.bronze(raw, as_of=as_of, with_stamp=True, keep_cols=keep), bronze_table)
-    s = medallion.silver_clean(tables.read_table(spark, bronze_table), schema, as_of=as_of,
-                               with_stamp=True, keep_cols=keep)
-    write(s, silver_table)
-    g = medallion.gold_features(tables.read_table(spark, silver_table), schema, features,
-                                as_of=as_of, with_stamp=True, keep_cols=keep)
-    write(g, gold_table)
+    def unseen(df: DataFrame, table: str) -> DataFrame:
+        if not tables.table_exists(spark, table):
+            return df
+        held = tables.read_table(spark, table).select(*ident)
+        return df.join(held, ident, "left_anti").select(*df.columns)
+
+    landed = medallion.bronze(raw, as_of=as_of, with_stamp=True, keep_cols=keep)
+    landed.write.parquet(f"{path}/batch")
+    batch = spark.read.parquet(f"{path}/batch")
+    write(bucketed(batch), bronze_table)
+    silver = bucketed(medallion.silver_clean(batch, schema, as_of=as_of, with_stamp=True, keep_cols=keep))
+    silver.write.parquet(f"{path}/silver")
+    silver = spark.read.parquet(f"{path}/silver")
+    write(unseen(silver, silver_table), silver_table)
+    gold = bucketed(medallion.gold_features(silver, schema, features, as_of=as_of, with_stamp=True, keep_cols=keep))
+    write(unseen(gold, gold_table), gold_table)

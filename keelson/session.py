@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults a Spark user would set for this workload.  Only applied when the
 # caller builds the session through ``build_session``; an existing session is
@@ -67,6 +67,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """A small side written to the scratch folder and read back: joins then see
+    its measured size, so a small one is broadcast without shuffling the large
+    side and a big one goes to a sort-merge join that AQE can split."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local
     on a cluster)."""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 __all__ = [
-    "read_table", "scan_csv", "read_json_feed", "stamp", "save_overwrite", "save_split", "append",
+    "read_table", "table_exists", "scan_csv", "read_json_feed", "stamp", "save_overwrite", "save_split", "append",
     "insert_row", "ensure_schema", "ensure_table", "provision_layers", "control_set", "control_get",
     "require_columns", "write_snapshot", "latest_snapshot", "snapshot_manifest", "log_run",
     "record_inputs", "schema_json", "check_signature", "LAYER_DDL", "TENANT_BUCKETS", "tenant_bucket",
@@ -36,6 +36,20 @@ def read_table(spark: SparkSession, name_or_path: str) -> DataFrame:
     return spark.table(name_or_path)
 
 
+def table_exists(spark: SparkSession, name_or_path: str) -> bool:
+    """Is there such a table, or such a parquet path with data?  Any other
+    reason that a read fails is raised."""
+    if not ("/" in name_or_path or name_or_path.endswith(".parquet")):
+        return spark.catalog.tableExists(name_or_path)
+    try:
+        spark.read.parquet(name_or_path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+
+
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True,
              mode: str = "PERMISSIVE") -> DataFrame:
     """CSV with a header row.  The schema is given (inference would scan the
@@ -107,23 +121,24 @@ LAYER_DDL = {
                   "tenant_bucket INT",
     "silver_clean": "record_id STRING, clean_payload STRING, process_ts TIMESTAMP, customer_id STRING, "
                     "tenant_bucket INT",
-    "gold_features": "feature_1 DOUBLE, feature_2 DOUBLE, label INT, train_ts TIMESTAMP, customer_id STRING, "
+    "gold_features": "record_id STRING, feature_1 DOUBLE, feature_2 DOUBLE, label INT, train_ts TIMESTAMP, customer_id STRING, "
                      "tenant_bucket INT",
 }
 TENANT_BUCKETS = 64
 
 
 def tenant_bucket(col: str | Column, buckets: int = TENANT_BUCKETS) -> Column:
-    """Stable hash bucket of a tenant id (the partition column of the layers)."""
+    """Stable hash bucket of a tenant id (the partition column of the layers).
+    The layers always use TENANT_BUCKETS, so a reader cannot prune by another
+    count than the writer's."""
     c = F.col(col) if isinstance(col, str) else col
     return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
 
-def tenant_rows(df: DataFrame, tenant_id: str, key: str = "customer_id",
-                buckets: int = TENANT_BUCKETS) -> DataFrame:
+def tenant_rows(df: DataFrame, tenant_id: str, key: str = "customer_id") -> DataFrame:
     """One tenant's rows: the bucket predicate prunes to one partition folder,
     the key predicate skips row groups (files are sorted by tenant)."""
-    return df.where((F.col("tenant_bucket") == tenant_bucket(F.lit(tenant_id), buckets))
+    return df.where((F.col("tenant_bucket") == tenant_bucket(F.lit(tenant_id)))
                     & (F.col(key) == tenant_id))
 
 

@@ -34,13 +34,38 @@ def test_running_totals_strings_with_long_shared_prefix(spark):
     df = spark.createDataFrame([(v, 1) for v in vals], "s string, one int")
     got = running_totals(df, ["s"], ["one"], buckets=16)
     assert sorted((r["s"], r["cum_one"]) for r in got.collect()) == [(v, i + 1) for i, v in enumerate(sorted(vals))]
-    # the bucketing key skips the shared prefix, so the values stay distinguishable
-    from pyspark.sql import types as T
-    from keelson.operators.ordered import _common_prefix_len, coarse_key
-    skip = _common_prefix_len(df, "s")
-    assert skip == len("https://example.com/items/00")  # min 000000, max 001999
-    keys = df.select(coarse_key(T.StringType(), F.col("s"), skip).alias("k"))
-    assert keys.distinct().count() == 2000
+    # one value outside the shared prefix must not put the others into one range
+    odd = df.unionByName(spark.createDataFrame([("a", 1)], "s string, one int"))
+    spread = running_totals(odd, ["s"], ["one"], buckets=16, keep_bucket=True)
+    sizes = [r["count"] for r in spread.groupBy("__bucket").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 3 * 2001 / 16
+
+
+def test_running_totals_ranges_follow_the_rows(spark, monkeypatch):
+    from keelson.operators import ordered
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 100)
+    for n in (1000, 10_000):
+        df = spark.range(n).select("id", F.lit(1).alias("one"))
+        out = running_totals(df, ["id"], ["one"], keep_bucket=True)
+        assert abs(out.select("__bucket").distinct().count() - n / 100) <= n / 1000
+        assert out.where("cum_one <> id + 1").count() == 0
+
+
+def test_null_and_one_sided_groups_stay(spark):
+    base = spark.createDataFrame([("a", float(i)) for i in range(50)] + [(None, float(i)) for i in range(20)]
+                                 + [("gone", 1.0), ("empty", None)], "g string, v double")
+    cur = spark.createDataFrame([("a", float(i + 5)) for i in range(50)] + [(None, float(i)) for i in range(20)]
+                                + [("new", 2.0)], "g string, v double")
+    psi = {r["g"]: r for r in drift.binned_divergence(base, cur, "v", ["g"]).collect()}
+    ks = {r["g"]: r for r in drift.ks_statistic(base, cur, "v", ["g"]).collect()}
+    for got, stat in ((psi, "psi"), (ks, "ks")):
+        assert set(got) == {"a", None, "gone", "new", "empty"}
+        assert got["a"][stat] > 0 and got[None][stat] == 0.0 and got[None]["n_baseline"] == 20
+        assert got["gone"][stat] is None and (got["gone"]["n_baseline"], got["gone"]["n_current"]) == (1, 0)
+        assert got["new"][stat] is None and got["new"]["n_current"] == 1 and got["empty"]["n_baseline"] == 0
+    scored = spark.createDataFrame([(None, 1, 0.9), (None, 0, 0.1), ("r", 1, 0.2), ("r", 0, 0.8)],
+                                   "run string, label int, score double")
+    assert {r["run"]: r["auc"] for r in metrics.roc_auc(scored, group_cols=["run"]).collect()} == {None: 1.0, "r": 0.0}
 
 
 def test_category_codes_sorted_and_unseen(spark):

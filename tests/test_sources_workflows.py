@@ -48,7 +48,7 @@ def test_provision_layers_idempotent(spark):
     tables.provision_layers(spark, "tenant_layers")
     assert names == ["tenant_layers.bronze_raw", "tenant_layers.silver_clean", "tenant_layers.gold_features"]
     cols = spark.table("tenant_layers.gold_features").columns
-    assert cols == ["feature_1", "feature_2", "label", "train_ts", "customer_id", "tenant_bucket"]
+    assert cols == ["record_id", "feature_1", "feature_2", "label", "train_ts", "customer_id", "tenant_bucket"]
 
 
 def test_snapshot_manifest(spark, tmp_dir):
@@ -114,7 +114,9 @@ def test_onboard_tenants_twice_adds_nothing(spark, tmp_dir):
     n1 = spark.read.parquet(master).count()
     workflows.onboard_tenants(spark, feed, master)
     assert spark.read.parquet(master).count() == n1
-    assert rej.count() == feed.join(onboard.reject_reasons(feed).where("not valid"), "customer_id").count()
+    assert (rej.where("reason like 'Missing field%'").count()
+            == feed.join(onboard.reject_reasons(feed).where("not valid"), "customer_id").count())
+    assert rej.where("reason = 'Existing id'").count() > 0
     ids = spark.read.parquet(master).groupBy("customer_id").count().where("count > 1")
     assert ids.count() == 0
 
@@ -142,10 +144,10 @@ def test_tenant_layers_bucketed_and_tenant_read(spark, tmp_dir):
     from keelson.plans.queries import _gold_exprs
     raw = fx.landing_lines(fx.table(spark, SF_SMOKE, "events"))
     names = [os.path.join(tmp_dir, n) for n in ("b", "s", "g")]
-    workflows.load_tenant_layers(raw, fx.LANDING_SCHEMA, _gold_exprs(), *names, buckets=8)
+    workflows.load_tenant_layers(raw, fx.LANDING_SCHEMA, _gold_exprs(), *names)
     gold = spark.read.parquet(names[2])
-    assert gold.select("tenant_bucket").distinct().count() <= 8
-    one = tables.tenant_rows(gold, "c7", buckets=8)
+    assert gold.select("tenant_bucket").distinct().count() <= tables.TENANT_BUCKETS
+    one = tables.tenant_rows(gold, "c7")
     assert one.count() == gold.where("customer_id = 'c7'").count() > 0
     assert "tenant_bucket" in one._jdf.queryExecution().executedPlan().toString()
 
@@ -162,3 +164,82 @@ def test_deployment_decision_matches_deployable_query(spark):
     want = E.queries()["deployable"](spark, SF_SMOKE)
     assert rows(dec, "candidate_run_id", "decision") == rows(want, "candidate_run_id", "decision")
     assert dec.where(F2.col("skip_deploy")).count() == 0
+
+
+def test_tenant_layers_repeat_loads_add_nothing(spark, tmp_dir):
+    from keelson.plans.queries import _gold_exprs
+    events = fx.table(spark, SF_SMOKE, "events")
+    names = [os.path.join(tmp_dir, n) for n in ("b", "s", "g")]
+    halves = [events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), events, events]
+    for part in halves:
+        workflows.load_tenant_layers(fx.landing_lines(part), fx.LANDING_SCHEMA, _gold_exprs(), *names)
+    once = [os.path.join(tmp_dir, n) for n in ("b1", "s1", "g1")]
+    workflows.load_tenant_layers(fx.landing_lines(events), fx.LANDING_SCHEMA, _gold_exprs(), *once)
+    for k in (1, 2):
+        ids = ["customer_id", "record_id"]
+        assert rows(spark.read.parquet(names[k]), *ids) == rows(spark.read.parquet(once[k]), *ids)
+
+
+def test_provisioned_layers_load(spark):
+    exprs = {"feature_1": F.col("r.value_cents") / 100.0, "feature_2": F.col("r.k").cast("double"),
+             "label": (F.col("r.k") > 2).cast("int")}
+    names = tables.provision_layers(spark, "tenant_load")
+    raw = fx.landing_lines(fx.table(spark, SF_SMOKE, "events"))
+    for _ in range(2):
+        workflows.load_tenant_layers(raw, fx.LANDING_SCHEMA, exprs, *names)
+    gold = spark.table(names[2])
+    assert gold.count() == gold.select("customer_id", "record_id").distinct().count() > 0
+
+
+def test_monitoring_refresh_repeats_in_a_batch_and_other_errors(spark, tmp_dir):
+    import pytest
+    from pyspark.errors import AnalysisException
+    pay = fx.payload_table(fx.table(spark, SF_SMOKE, "events"))
+    out = os.path.join(tmp_dir, "mon")
+    kw = dict(model_name="m", passthrough=["request_id"])
+    first = workflows.refresh_monitoring(pay.unionByName(pay), fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, **kw)
+    got = spark.read.parquet(out)
+    assert first["n_written"] == got.count() == got.select("request_id", "pos").distinct().count() > 0
+    for _ in range(2):
+        again = workflows.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, **kw)
+        assert again["n_written"] == 0
+    other = os.path.join(tmp_dir, "other")
+    got.drop("pos").write.parquet(other)
+    with pytest.raises(AnalysisException):       # not "first refresh": the table is there but has no such column
+        workflows.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, other, **kw)
+
+
+def test_onboarding_arrival_order_and_reasons(spark, tmp_dir):
+    from keelson.operators import onboard
+    cols = "customer_id string, customer_name string, schema_name string, cloud_provider string, data_path string, is_active boolean, n int"
+    feed = spark.createDataFrame([
+        ("1", None, "s", "c", "d", True, 0), ("1", "first", "s", "c", "d", True, 1), ("1", "second", "s", "c", "d", True, 2),
+        ("2", "stored", "s", "c", "d", True, 3), ("3", None, "s", "c", "d", True, 4)], cols)
+    for order in (["n"], None):
+        master = os.path.join(tmp_dir, "by_n" if order else "by_arrival")
+        onboard.master_rows(feed.where("customer_id = '2'"), with_stamps=True).write.parquet(master)
+        rej = workflows.onboard_tenants(spark, feed.coalesce(1) if order is None else feed, master, order_cols=order)
+        assert rows(spark.read.parquet(master), "customer_id", "customer_name") == [("1", "first"), ("2", "stored")]
+        assert rows(rej, "customer_id", "reason") == [
+            ("1", "Duplicate id"), ("1", "Missing field: customer_name"), ("2", "Existing id"),
+            ("3", "Missing field: customer_name")]
+
+
+def test_alias_log_newest_row_counts(spark):
+    from keelson.operators import registry
+    runs = spark.createDataFrame([(f"r{i}", f"2024-01-0{i}", {"f1_score": str(f)}) for i, f in ((1, 0.5), (2, 0.9), (3, 0.7))],
+                                 "run_id string, start_time string, metrics map<string,string>")
+    versions = spark.createDataFrame([("m", "1", "r1"), ("m", "2", "r2")], "model_name string, version string, run_id string")
+    aliases = spark.createDataFrame([("m", "latest-model", "1", "2024-01-01"), ("m", "latest-model", "2", "2024-01-02")],
+                                    "model_name string, alias string, version string, updated_at string")
+    cand = spark.createDataFrame([("r3", "m")], "candidate_run_id string, model_name string")
+    gate = registry.gate_decision(cand, runs.unionByName(runs), versions, aliases)
+    assert [(r["deployed_version"], r["better"]) for r in gate.collect()] == [("2", False)]
+    assert [r["improved"] for r in registry.gate_improved(cand, runs, versions, aliases).collect()] == [False]
+    # without the alias the lookup fails and the candidate counts as improved
+    none = aliases.where("version = '9'")
+    assert [r["improved"] for r in registry.gate_improved(cand, runs, versions, none).collect()] == [True]
+    acts = registry.map_actions(spark.createDataFrame([("r1", None), ("r1", "REJECT"), ("r1", "x"), (" ", "APPROVE")],
+                                                      "run_id string, action string")).collect()
+    assert [(a["approved_flag"], a["error"]) for a in acts] == [
+        ("TRUE", None), ("FALSE", None), (None, "Invalid action"), ("TRUE", "Missing run_id")]
