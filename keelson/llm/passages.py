@@ -178,8 +178,10 @@ class _PrefixMax:
 
 def chain_matches(pos: np.ndarray, src: np.ndarray, weight: int = K, gap_cost: float = GAP_COST,
                   max_gap: int = MAX_GAP) -> list[list[tuple[int, int]]]:
-    """Ordered chains of matches (pos, src), both strictly rising, that best
-    trade matched words against skipped ones; every match is in one chain."""
+    """Ordered chains of matches (pos, src), both strictly rising; every match
+    is in one chain, the best one first.  A chain scores ``weight`` per match
+    less ``gap_cost`` per word from match to match in either text.  Chains are
+    cut where they skip more than ``max_gap`` words."""
     order = np.lexsort((src, pos))
     p, s = pos[order].tolist(), src[order].tolist()
     ranks = {v: i + 1 for i, v in enumerate(sorted(set(s)))}
@@ -193,11 +195,9 @@ def chain_matches(pos: np.ndarray, src: np.ndarray, weight: int = K, gap_cost: f
             waiting = []
         value, j = tree.query(ranks[s[i]] - 1)
         score[i] = float(weight)
-        if j >= 0 and p[i] - p[j] <= max_gap and s[i] - s[j] <= max_gap:
-            gain = min(weight, p[i] - p[j], s[i] - s[j])
-            linked = value - gap_cost * (p[i] + s[i]) + gain
-            if linked > score[i]:
-                score[i], back[i] = linked, j
+        linked = value - gap_cost * (p[i] + s[i])
+        if j >= 0 and linked > 0:
+            score[i], back[i] = weight + linked, j
         waiting.append(i)
     used, chains = [False] * len(p), []
     for i in sorted(range(len(p)), key=lambda i: -score[i]):
@@ -207,7 +207,13 @@ def chain_matches(pos: np.ndarray, src: np.ndarray, weight: int = K, gap_cost: f
             chain.append((p[i], s[i]))
             i = back[i]
         if chain:
-            chains.append(chain[::-1])
+            chain, piece = chain[::-1], []
+            for match in chain:
+                if piece and max(match[0] - piece[-1][0], match[1] - piece[-1][1]) > max_gap:
+                    chains.append(piece)
+                    piece = []
+                piece.append(match)
+            chains.append(piece)
     return chains
 
 
