@@ -495,6 +495,19 @@ rows_ AS (SELECT customer_id, customer_name, schema_name, cloud_provider, data_p
 SELECT customer_id, customer_name, schema_name, cloud_provider, data_path, coalesce(is_active, true) AS is_active,
        'ACTIVE' AS onboarding_status, CAST(NULL AS TIMESTAMP) AS last_pipeline_run, 'feed_onboarding' AS created_by,
        TIMESTAMP '2024-03-01 00:00:00' AS created_at, TIMESTAMP '2024-03-01 00:00:00' AS updated_at FROM rows_"""
+    q["monitoring_refresh_twice"] = q["monitoring_refresh"]
+    q["tenant_layers_two_loads"] = q["tenant_layers"]
+    q["onboard_rejects"] = f"""WITH {FEED},
+g AS (SELECT customer_id, c_custkey,
+             CASE WHEN c_custkey % 11 = 0 THEN 'customer_name' WHEN c_custkey % 13 = 0 THEN 'cloud_provider'
+                  WHEN c_custkey % 17 = 0 THEN 'data_path' END AS first_gap,
+             concat_ws(',', CASE WHEN c_custkey % 11 = 0 THEN 'customer_name' END,
+                       CASE WHEN c_custkey % 13 = 0 THEN 'cloud_provider' END,
+                       CASE WHEN c_custkey % 17 = 0 THEN 'data_path' END) AS gaps FROM feed),
+twice AS (SELECT *, 0 AS seq FROM g UNION ALL SELECT *, 1 FROM g WHERE c_custkey % 7 = 0)
+SELECT customer_id, CASE WHEN first_gap IS NOT NULL THEN 'Missing field: ' || gaps
+                         WHEN c_custkey % 2 = 1 THEN 'Existing id' ELSE 'Duplicate id' END AS reason
+FROM twice WHERE first_gap IS NOT NULL OR c_custkey % 2 = 1 OR seq = 1"""
     # ---- streaming (results equal the batch operators)
     q["stream_flatten"] = f"WITH {PAYLOAD}\nSELECT {FLAT_POS_COLS} FROM recs"
     q["stream_dedup"] = q["stream_flatten"]

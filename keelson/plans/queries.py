@@ -659,3 +659,38 @@ def q_onboard_run(spark, d):
     onboard.master_rows(fx.stored_tenants(c), as_of=ts, with_stamps=True).write.parquet(master)
     workflows.onboard_tenants(spark, fx.tenant_feed_with_gaps(c), master, as_of=ts)
     return spark.read.parquet(master)
+
+
+@query("monitoring_refresh_twice")
+def q_monitoring_refresh_twice(spark, d):
+    """Payloads delivered twice in a batch, then the batch again: every record once."""
+    pay = fx.payload_table(T(spark, d, "events"))
+    out = scratch_path(spark, "model_monitoring")
+    for batch in (pay.unionByName(pay), pay):
+        workflows.refresh_monitoring(batch, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, model_name="events-model",
+                                     passthrough=["request_id", "execution_duration_ms"])
+    return spark.read.parquet(out)
+
+
+@query("tenant_layers_two_loads")
+def q_tenant_layers_two_loads(spark, d):
+    """Two overlapping batches, the second one loaded twice: every record once."""
+    root = scratch_path(spark, "tenant_layers")
+    names = [f"{root}/{t}" for t in ("bronze_raw", "silver_clean", "gold_features")]
+    events = T(spark, d, "events")
+    for batch in (events.where("event_id % 3 < 2"), events.where("event_id % 3 > 0"), events.where("event_id % 3 > 0")):
+        workflows.load_tenant_layers(fx.landing_lines(batch), fx.LANDING_SCHEMA, _gold_exprs(), *names,
+                                     as_of=F.lit(AS_OF).cast("timestamp"))
+    return spark.read.parquet(names[2]).drop("tenant_bucket")
+
+
+@query("onboard_rejects")
+def q_onboard_rejects(spark, d):
+    """Rejected feed rows with their reasons: gaps, repeats, ids already stored."""
+    c = T(spark, d, "customer")
+    master = scratch_path(spark, "customers_master")
+    ts = F.lit(AS_OF).cast("timestamp")
+    onboard.master_rows(fx.stored_tenants(c), as_of=ts, with_stamps=True).write.parquet(master)
+    gaps = fx.tenant_feed_with_gaps(c).withColumn("seq", F.lit(0))
+    again = fx.tenant_feed_with_gaps(c.where(F.col("c_custkey") % 7 == 0)).withColumn("seq", F.lit(1))
+    return workflows.onboard_tenants(spark, gaps.unionByName(again), master, order_cols=["seq"], as_of=ts)
