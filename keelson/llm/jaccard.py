@@ -6,9 +6,10 @@ rows link when ``100 * overlap >= 80 * union``.  The product is never formed
 whole; size-derived bounds keep it sparse:
 
 * columns: in any fixed order of the shingles, linked rows of n shingles share
-  one of their first ``n - ceil(0.8 n) + 1``.  Shingles are ordered from rare to
-  frequent by a fixed-size count sketch of the whole corpus, so a passage that a
-  third of all documents hold is not among those unless it is the document;
+  one of their first ``n - ceil(0.8 n) + 1``.  Shingles are ordered by their
+  exact document frequency, rare ones first, and a shingle of one document only
+  meets nobody: most rows have enough of those and send nothing, and a passage
+  that a third of all documents hold is no reason to meet;
 * rows of one column are sorted by size and cut where a row is more than 1.25
   times larger than the one before: no link crosses such a gap.
 
@@ -19,14 +20,16 @@ accumulated column chunk by column chunk, pairs under the bound are discarded
 and only a spanning forest of the links found leaves the task.  So a group of
 thousands of near copies costs its blocks, never a row per pair.
 
-Three passes read the text: set sizes with the sketch, prefix columns, and the
-sets of the candidate rows.  Nothing corpus-sized meets on the driver; the
-sketch (SLOTS counters) is broadcast and has the same size for every corpus.
+The text lies packed in blocks (a bucketed table).  Frequencies are counted by
+sending every block's distinct shingles as sorted, delta-coded keys, one row per
+(block, bucket), and come back as one small class per key.  Documents with the
+same set as an earlier one leave before that.  Nothing is collected on the
+driver.
 
 Edge cases: a text with fewer words than a shingle is one shingle of all its
 words; null, empty or blank text has no shingles and no links; rows that repeat
-a doc_id count as one document in links; a null doc_id has the component of its
-copies, else null; an empty table gives an empty
+a doc_id count as one document in links; rows without a doc_id count as one that
+sorts before all others, and its component is null; an empty table gives an empty
 result; columns other than doc_id and text are ignored.
 """
 
@@ -40,22 +43,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.blocks import (ENTRY_SCHEMA, NULL_ID, Block, blocks_of, by_bucket, deltas, entry_rows, key_edges, pack,
+                                unpack, write_blocks)
 from keelson.llm.components import connected_components
-from keelson.llm.textops import TextSlice, mix64, pad_documents, text_slices, word_windows
+from keelson.llm.textops import TextSlice, mix64, word_windows
 from keelson.session import scratch_path
 
 __all__ = ["shingle_sets", "similarity_links", "near_copy_components", "keep_one_of_each"]
 
 SHINGLE = 5
 PERCENT = 80
-SLOTS_BITS = 20
-CHUNK = 1 << 12        # counters per row of the sketch
-BLOCK = 256            # rows of the matrix per block
+BLOCK = 512            # rows of the matrix per block
 CHUNK_COLUMNS = 4096   # columns per partial product
 
-SET_SCHEMA = "doc_id long, n long, sig1 long, sig2 long, chunk int, counts binary"
-COLUMN_SCHEMA = "token long, doc_id long, n long, sig1 long"
-EDGE_SCHEMA = "doc_id long, n long, sig1 long, hub long, hub_n long, hub_sig long"
+BUCKET_BYTES = 16 << 20
+EXACT_CLASSES = 128    # frequencies below are their own class, above in eighths of powers of two
+
+SET_SCHEMA = "doc_id long, block_id long, nth int, n long, sig1 long, sig2 long"
+CLASS_SCHEMA = "block_id long, bucket int, classes binary"
+ROW = "doc_id long, block_id long, nth int, n long"
+COLUMN_SCHEMA = "token long, " + ROW
+EDGE_SCHEMA = ROW + ", hub long, hub_block long, hub_nth int, hub_n long"
 LINK_SCHEMA = "a long, b long"
 
 
@@ -93,125 +101,140 @@ def _signatures(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return np.bincount(doc, minlength=n).astype(np.int64), one.view(np.int64), two.view(np.int64)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
-
-
 def _set_batches(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "sig1", "sig2", "chunk", "counts"]
-        sketch = np.zeros(1 << SLOTS_BITS, dtype=np.int64)
         for batch in batches:
-            for rows, text in text_slices(batch):
-                h, doc = shingle_sets(text, size)
-                sketch += np.bincount(_slot(h), minlength=len(sketch))
-                n, one, two = _signatures(h, doc, len(text))
+            for block_id, doc_ids, lengths, body in blocks_of(batch, 4):
+                block = Block(doc_ids, lengths, body)
+                count = len(block.ids)
+                n, one, two = _signatures(*shingle_sets(block.text(), size), count)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(n), pa.array(one), pa.array(two),
-                     pa.nulls(len(text), pa.int32()), pa.nulls(len(text), pa.binary())], names=names)
-        used = [k for k in range(len(sketch) // CHUNK) if sketch[k * CHUNK:(k + 1) * CHUNK].any()]
-        if used:
-            none = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(used, pa.int32()),
-                 pa.array([sketch[k * CHUNK:(k + 1) * CHUNK].astype("<i8").tobytes() for k in used], pa.binary())],
-                names=names)
+                    [pa.array(block.ids), pa.array(np.full(count, block_id)), pa.array(np.arange(count, dtype=np.int32)),
+                     pa.array(n), pa.array(one), pa.array(two)],
+                    names=["doc_id", "block_id", "nth", "n", "sig1", "sig2"])
     return run
 
 
-def _add_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts = np.frombuffer(raw, "<i8")
-            total[k] = total[k] + counts if k in total else counts
-    if total:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
-            names=["chunk", "counts"])
+def _live_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
+    h, doc = shingle_sets(block.text(), size)
+    live = ~block.dropped[doc]
+    return h[live], doc[live]
 
 
-def _levels(sets: DataFrame) -> np.ndarray:
-    """Frequency class of every sketch slot (half powers of two)."""
-    counts = np.zeros(1 << SLOTS_BITS, dtype=np.int64)
-    partial = sets.where("chunk is not null").select("chunk", "counts")
-    # fixed size: SLOTS / CHUNK rows whatever the corpus
-    for row in partial.repartition("chunk").mapInArrow(_add_batches, "chunk int, counts binary").collect():
-        counts[row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], "<i8")
-    return np.floor(2 * np.log2(counts + 1)).astype(np.uint8)
+def _key_batches(size: int, buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block_id, doc_ids, lengths, body, dropped in blocks_of(batch, 5):
+                h, _ = _live_sets(Block(doc_ids, lengths, body, dropped), size)
+                keys, count = np.unique(h, return_counts=True)
+                lower, edge = key_edges(keys, 64, buckets)
+                # 44 bits tell shingles apart well enough to order them: a shared
+                # class only moves a shingle back in everybody's order alike
+                rows = [(k, pack(deltas(keys[edge[k]:edge[k + 1]] >> np.uint64(20), lower[k] >> np.uint64(20)),
+                                 count[edge[k]:edge[k + 1]].astype(np.uint64)))
+                        for k in range(buckets) if edge[k + 1] > edge[k]]
+                if rows:
+                    yield entry_rows(block_id, rows)
+    return run
 
 
-def _column_batches(shared, size: int, percent: int) -> Callable:
+def _frequency_class(df: np.ndarray) -> np.ndarray:
+    high = EXACT_CLASSES + np.floor(8 * np.log2(np.maximum(df, 1) / EXACT_CLASSES))
+    return np.minimum(np.where(df < EXACT_CLASSES, df, high), 255).astype(np.uint8)
+
+
+def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per bucket: the frequency class of every block's keys."""
+    for bucket, blocks, entries in by_bucket(batches):
+        keys, counts, sizes = [], [], []
+        for blob in entries:
+            delta, count = unpack(blob)
+            keys.append(np.cumsum(delta))
+            counts.append(count)
+            sizes.append(len(delta))
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        s = key[order]
+        new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), new)
+        classes = np.empty(len(s), dtype=np.uint8)
+        classes[order] = np.repeat(_frequency_class(total), np.diff(np.concatenate([new, [len(s)]])))
+        cut = np.cumsum([0] + sizes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(blocks, pa.int64()), pa.array([bucket] * len(blocks), pa.int32()),
+             pa.array([pack(classes[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
+            names=["block_id", "bucket", "classes"])
+
+
+def _column_batches(size: int, buckets: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
-        smallest: dict[tuple[int, int], int] = {}   # rows of the matrix sent by this task
         for batch in batches:
-            for rows, text in text_slices(batch):
-                h, doc = shingle_sets(text, size)
-                n, one, _ = _signatures(h, doc, len(text))
-                ids = np.asarray(rows.column(0).fill_null(np.iinfo(np.int64).max))
-                send = np.zeros(len(text), dtype=bool)
-                for i, key in enumerate(zip(one.tolist(), n.tolist())):
-                    if key[1] and ids[i] < smallest.get(key, np.iinfo(np.int64).max):
-                        smallest[key] = int(ids[i])
-                        send[i] = True
-                order = np.lexsort((h, level[_slot(h)], doc))
-                h, doc = h[order], doc[order]
-                first = np.searchsorted(doc, np.arange(len(text)))
+            for block_id, doc_ids, lengths, body, dropped, answers in blocks_of(batch, 6):
+                block = Block(doc_ids, lengths, body, dropped)
+                h, doc = _live_sets(block, size)
+                keys, which = np.unique(h, return_inverse=True)
+                _, edge = key_edges(keys, 64, buckets)
+                classes = np.zeros(len(keys), dtype=np.uint8)
+                for row in answers or []:
+                    a, b = edge[row["bucket"]], edge[row["bucket"] + 1]
+                    classes[a:b] = unpack(row["classes"])[0].astype(np.uint8)
+                level = classes[which]
+                order = np.lexsort((h, level, doc))
+                h, doc, level = h[order], doc[order], level[order]
+                n = np.bincount(doc, minlength=len(block.ids)).astype(np.int64)
+                first = np.searchsorted(doc, np.arange(len(block.ids)))
                 prefix = n - (percent * n + 99) // 100 + 1
-                take = send[doc] & (np.arange(len(h)) - first[doc] < prefix[doc])
+                take = (level > 1) & (np.arange(len(h)) - first[doc] < prefix[doc])
                 h, doc = h[take], doc[take]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(n[doc]), pa.array(one[doc])],
-                    names=["token", "doc_id", "n", "sig1"])
+                    [pa.array(h.view(np.int64)), pa.array(block.ids[doc]), pa.array(np.full(len(doc), block_id)),
+                     pa.array(doc.astype(np.int32)), pa.array(n[doc])],
+                    names=["token", "doc_id", "block_id", "nth", "n"])
     return run
 
 
 def _meet_batches(percent: int) -> Callable:
-    """Rows sorted by (token, n, sig1, doc_id): each row but the first of a run
-    meets the run's first row, its hub."""
+    """Rows sorted by (token, n, doc_id, block_id, nth): each row but the first
+    of a run of linkable sizes meets the run's first row, its hub."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None       # (token, n, sig1) of the row before
-        hub = None        # (doc_id, n, sig1)
+        last, hub = None, None       # (token, n) of the row before; its hub
         for batch in batches:
-            token, doc, n, sig = (np.asarray(batch.column(i)) for i in range(4))
+            token, n, *row = (np.asarray(batch.column(i)) for i in (0, 4, 1, 2, 3))
             if not len(token):
                 continue
-            if last is None:
-                last = (token[0] ^ 1, 0, 0)
-            pt = np.concatenate([[last[0]], token[:-1]])
-            pn = np.concatenate([[last[1]], n[:-1]])
-            ps = np.concatenate([[last[2]], sig[:-1]])
-            fresh = (token != pt) | (percent * n > 100 * pn)
-            copy = ~fresh & (n == pn) & (sig == ps)
+            fresh = np.ones(len(token), dtype=bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (percent * n[1:] > 100 * n[:-1])
+            if last is not None:
+                fresh[0] = token[0] != last[0] or percent * n[0] > 100 * last[1]
             start = np.maximum.accumulate(np.where(fresh, np.arange(len(token)), -1))
-            old = start < 0
-            h = np.where(old, hub[0] if hub else 0, doc[start])
-            hn = np.where(old, hub[1] if hub else 0, n[start])
-            hs = np.where(old, hub[2] if hub else 0, sig[start])
-            out = ~fresh & ~copy & ~((hs == sig) & (hn == n))
+            hubs = [x[start] for x in (*row, n)]
+            if hub is not None:
+                for x, old in zip(hubs, hub):
+                    x[start < 0] = old
+            out = ~fresh
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[out]) for x in (doc, n, sig, h, hn, hs)],
-                names=["doc_id", "n", "sig1", "hub", "hub_n", "hub_sig"])
-            last, hub = (token[-1], n[-1], sig[-1]), (h[-1], hn[-1], hs[-1])
+                [pa.array(x[out]) for x in (*row, n, *hubs)],
+                names=["doc_id", "block_id", "nth", "n", "hub", "hub_block", "hub_nth", "hub_n"])
+            last, hub = (token[-1], n[-1]), [x[-1] for x in hubs]
     return run
 
 
 def _rows_batches(size: int) -> Callable:
-    """Shingle sets of the candidate rows (text, node, sig1, ...) -> binary."""
+    """Shingle sets of the wanted rows of a block, once for every unit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, text in text_slices(batch):
-                h, doc = shingle_sets(text, size)
-                n, one, _ = _signatures(h, doc, len(text))
-                edge = np.searchsorted(doc, np.arange(len(text) + 1)) * 8
+            for doc_ids, lengths, body, wanted in blocks_of(batch, 4):
+                block = Block(doc_ids, lengths, body)
+                h, doc = shingle_sets(block.text(), size)
+                edge = np.searchsorted(doc, np.arange(len(block.ids) + 1)) * 8
                 raw = h.view(np.uint8)
-                same = one == np.asarray(rows.column(2))
-                keep = pa.array(np.flatnonzero(same))
-                sets = pa.array([raw[edge[i]:edge[i + 1]].tobytes() for i in np.flatnonzero(same)], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(keep), rows.column(3).take(keep), rows.column(4).take(keep), sets],
-                    names=["node", "cluster", "unit", "shingles"])
+                for k in range(0, len(wanted), 500):
+                    part = wanted[k:k + 500]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([w["node"] for w in part], pa.int64()), pa.array([w["cluster"] for w in part], pa.int64()),
+                         pa.array([w["unit"] for w in part], pa.string()),
+                         pa.array([raw[edge[w["nth"]]:edge[w["nth"] + 1]].tobytes() for w in part], pa.binary())],
+                        names=["node", "cluster", "unit", "shingles"])
     return run
 
 
@@ -274,7 +297,7 @@ def _product_batches(percent: int) -> Callable:
 
 
 def _units(nodes: DataFrame, percent: int, block: int) -> DataFrame:
-    """(node, sig1, cluster, unit): the block pairs every row takes part in."""
+    """(node, block_id, nth, cluster, unit): the block pairs every row takes part in."""
     step = math.log(100 / percent) * 1.01   # linked sizes lie in one stratum or two neighbours
     stratum = F.floor(F.log("n") / F.lit(step)).cast("int")
     nodes = nodes.withColumn("stratum", stratum)
@@ -285,7 +308,7 @@ def _units(nodes: DataFrame, percent: int, block: int) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("stratum", F.ceil(F.col("rows") / block).cast("int").alias("k")))).alias("blocks"))
     both = nodes.join(per, "cluster")
     small = both.where(F.col("rows") <= block).select(
-        "node", "sig1", "cluster", F.concat(F.lit("s"), F.xxhash64("cluster").cast("string")).alias("unit"))
+        "node", "block_id", "nth", "cluster", F.concat(F.lit("s"), F.xxhash64("cluster").cast("string")).alias("unit"))
     here = F.col("stratum")
 
     def own(s):
@@ -305,32 +328,52 @@ def _units(nodes: DataFrame, percent: int, block: int) -> DataFrame:
         pairs(here, lambda j: name(here, F.least(me, j), here, F.greatest(me, j))),
         pairs(here + 1, lambda j: name(here, me, here + 1, j)),
         pairs(here - 1, lambda j: name(here - 1, j, here, me)))))
-    return small.unionByName(big.select("node", "sig1", "cluster", F.explode("units").alias("unit")))
+    return small.unionByName(big.select("node", "block_id", "nth", "cluster", F.explode("units").alias("unit")))
 
 
-def similarity_links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
-                     block: int = BLOCK) -> DataFrame:
+def _same_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first row of every distinct set, (block_id, dropped): the other rows)."""
+    key = ["n", "sig1", "sig2"]
+    first = sets.where("n > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "block_id", "nth")).alias("first"),
+                                                  F.count(F.lit(1)).alias("copies"))
+    later = (sets.where("n > 0").join(first.where("copies > 1"), key)
+             .where(F.struct("doc_id", "block_id", "nth") != F.col("first")))
+    return first, later.groupBy("block_id").agg(F.collect_list("nth").alias("dropped"))
+
+
+def similarity_links(blocks: DataFrame, dropped: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
+                     row_block: int = BLOCK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Links (a, b) between documents with different sets, as a spanning forest
-    of every block pair; ``sets`` is the written first pass."""
-    spark = docs.sparkSession
+    of every block pair.  ``dropped`` names rows to leave out."""
+    spark = blocks.sparkSession
     path = scratch_path(spark, "jaccard_links")
-    text = pad_documents(docs)
-    level = spark.sparkContext.broadcast(_levels(sets))   # fixed size: one byte per slot
-    columns = text.mapInArrow(_column_batches(level, size, percent), COLUMN_SCHEMA)
-    meet = (columns.repartition("token").sortWithinPartitions("token", "n", "sig1", "doc_id")
-            .mapInArrow(_meet_batches(percent), EDGE_SCHEMA))
-    meet.write.parquet(f"{path}/meet")
-    meet = spark.read.parquet(f"{path}/meet")
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(1, math.ceil(total / bucket_bytes))
+    body = ["doc_ids", "lengths", "body"]
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    live = blocks.join(dropped.hint("shuffle_hash"), "block_id", "left")
+    keys = live.select("block_id", *body, "dropped").mapInArrow(_key_batches(size, buckets), ENTRY_SCHEMA)
+    classes = written(keys.repartition("bucket").sortWithinPartitions("bucket", "block_id")
+                      .mapInArrow(_count_keys, CLASS_SCHEMA), "classes")
+    answers = classes.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "classes")).alias("answers"))
+    columns = (live.join(answers.hint("shuffle_hash"), "block_id", "left").select("block_id", *body, "dropped", "answers")
+               .mapInArrow(_column_batches(size, buckets, percent), COLUMN_SCHEMA))
+    meet = written(columns.repartition("token").sortWithinPartitions("token", "n", "doc_id", "block_id", "nth")
+                   .mapInArrow(_meet_batches(percent), EDGE_SCHEMA).distinct(), "meet")
     clusters = connected_components(meet.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
-    nodes = (meet.select(F.col("doc_id").alias("node"), "n", "sig1")
-             .unionByName(meet.select(F.col("hub").alias("node"), F.col("hub_n").alias("n"), F.col("hub_sig").alias("sig1")))
-             .distinct().join(clusters.select("node", F.col("component").alias("cluster")), "node"))
-    nodes.write.parquet(f"{path}/nodes")
-    units = _units(spark.read.parquet(f"{path}/nodes"), percent, block)
-    rows = (text.join(units, text["doc_id"] == units["node"])
-            .select("node", "text", "sig1", "cluster", "unit").mapInArrow(
-                _rows_batches(size), "node long, cluster long, unit string, shingles binary"))
-    return (rows.repartition("unit").sortWithinPartitions("unit", "cluster", "node")
+    rows = meet.select("doc_id", "block_id", "nth", "n").unionByName(meet.select(
+        F.col("hub").alias("doc_id"), F.col("hub_block").alias("block_id"), F.col("hub_nth").alias("nth"),
+        F.col("hub_n").alias("n"))).distinct().withColumnRenamed("doc_id", "node")
+    nodes = written(rows.join(clusters.select("node", F.col("component").alias("cluster")), "node"), "nodes")
+    wanted = (_units(nodes, percent, row_block).groupBy("block_id")        # at most the rows of a block and their units
+              .agg(F.collect_list(F.struct("nth", "node", "cluster", "unit")).alias("wanted")))
+    sets = (blocks.join(wanted.hint("shuffle_hash"), "block_id").select(*body, "wanted")
+            .mapInArrow(_rows_batches(size), "node long, cluster long, unit string, shingles binary"))
+    return (sets.repartition("unit").sortWithinPartitions("unit", "cluster", "node")
             .mapInArrow(_product_batches(percent), LINK_SCHEMA))
 
 
@@ -338,16 +381,19 @@ def near_copy_components(docs: DataFrame, percent: int = PERCENT, size: int = SH
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     path = scratch_path(spark, "jaccard")
-    pad_documents(docs).mapInArrow(_set_batches(size), SET_SCHEMA).write.parquet(f"{path}/sets")
+    blocks = write_blocks(docs)
+    blocks.select("block_id", "doc_ids", "lengths", "body").mapInArrow(_set_batches(size), SET_SCHEMA).write.parquet(f"{path}/sets")
     sets = spark.read.parquet(f"{path}/sets")
-    similarity_links(docs, sets, percent, size).write.parquet(f"{path}/links")
-    rows = sets.where("chunk is null").select("doc_id", "n", "sig1", "sig2")
-    first = rows.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("first"))
+    first, dropped = _same_sets(sets)
+    dropped.write.parquet(f"{path}/dropped")
+    similarity_links(blocks, spark.read.parquet(f"{path}/dropped"), percent, size).write.parquet(f"{path}/links")
     found = connected_components(spark.read.parquet(f"{path}/links"))
-    groups = (first.join(found, first["first"] == found["node"], "left")
-              .select("n", "sig1", "sig2", F.coalesce("component", "first").alias("group")))
-    return (rows.join(groups, ["n", "sig1", "sig2"], "left")   # a set's copies: one row on the right
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("group", "doc_id").alias("component_id")))
+    groups = (first.join(found, first["first.doc_id"] == found["node"], "left")
+              .select("n", "sig1", "sig2", F.coalesce("component", "first.doc_id").alias("group")))
+    null = F.lit(NULL_ID)
+    return (sets.join(groups, ["n", "sig1", "sig2"], "left")   # a set's copies: one row on the right
+            .select(F.nullif("doc_id", null).alias("doc_id"), F.col("n").alias("n_shingles"),
+                    F.nullif(F.coalesce("group", "doc_id"), null).alias("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -355,5 +401,6 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGL
     one row each; rows without a doc_id stay as they are."""
     kept = (near_copy_components(docs, percent, size).where("doc_id = component_id")
             .select(F.col("doc_id").alias("_kept")).distinct())
-    one = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    one = (docs.alias("d").join(kept.alias("k"), F.col("d.doc_id") == F.col("k._kept"), "left_semi")
+           .dropDuplicates(["doc_id"]))
     return one.unionByName(docs.where("doc_id is null"))
