@@ -508,6 +508,24 @@ twice AS (SELECT *, 0 AS seq FROM g UNION ALL SELECT *, 1 FROM g WHERE c_custkey
 SELECT customer_id, CASE WHEN first_gap IS NOT NULL THEN 'Missing field: ' || gaps
                          WHEN c_custkey % 2 = 1 THEN 'Existing id' ELSE 'Duplicate id' END AS reason
 FROM twice WHERE first_gap IS NOT NULL OR c_custkey % 2 = 1 OR seq = 1"""
+    for key, keys, price, status in (
+            ("synth_table", "SELECT o_orderkey AS k FROM orders", "round(x, 3)", "st.cat"),
+            ("synth_test_rows", "SELECT range AS k FROM range(100)", "round(round(x, 3) * 1.5::DOUBLE, 4)",
+             f"CASE WHEN {_u('k', '#drift')} < 0.7::DOUBLE THEN 'P' ELSE 'F' END")):
+        q[key] = f"""WITH keys AS ({keys}),
+prof AS (SELECT avg(o_totalprice) AS mu, stddev_samp(o_totalprice) AS sd, epoch_us(min(o_orderdate)) AS lo,
+                epoch_us(max(o_orderdate)) AS hi FROM orders),
+iv AS (SELECT col, cat, (sum(n) OVER (PARTITION BY col ORDER BY cat) - n) / sum(n) OVER (PARTITION BY col) AS lo,
+              sum(n) OVER (PARTITION BY col ORDER BY cat) / sum(n) OVER (PARTITION BY col) AS hi
+       FROM (SELECT 'p' AS col, o_orderpriority AS cat, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 2
+             UNION ALL SELECT 's', o_orderstatus, count(*) FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 2)),
+u AS (SELECT k, greatest(0.1::DOUBLE, mu + sd * (sqrt(-2.0::DOUBLE * ln({_u_open('k', '#42a')}))
+                                      * cos(2 * pi() * {_u('k', '#42b')}))) AS x,
+             make_timestamp(lo + floor({_u('k', '#o_orderdate')} * (hi - lo))::BIGINT) AS ts,
+             {_u('k', '#o_orderpriority')} AS up, {_u('k', '#o_orderstatus')} AS us FROM keys CROSS JOIN prof)
+SELECT CAST(1700000000000 + k AS VARCHAR) AS Id, {price} AS o_totalprice, u.ts AS o_orderdate,
+       pr.cat AS o_orderpriority, {status} AS o_orderstatus
+FROM u JOIN iv pr ON pr.col = 'p' AND up >= pr.lo AND up < pr.hi JOIN iv st ON st.col = 's' AND us >= st.lo AND us < st.hi"""
     # ---- streaming (results equal the batch operators)
     q["stream_flatten"] = f"WITH {PAYLOAD}\nSELECT {FLAT_POS_COLS} FROM recs"
     q["stream_dedup"] = q["stream_flatten"]

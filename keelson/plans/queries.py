@@ -694,3 +694,24 @@ def q_onboard_rejects(spark, d):
     gaps = fx.tenant_feed_with_gaps(c).withColumn("seq", F.lit(0))
     again = fx.tenant_feed_with_gaps(c.where(F.col("c_custkey") % 7 == 0)).withColumn("seq", F.lit(1))
     return workflows.onboard_tenants(spark, gaps.unionByName(again), master, order_cols=["seq"], as_of=ts)
+
+
+# ------------------------------------------------------------ composed generator
+
+def _synth_orders(spark, d, keys, drift=False):
+    return synth.synthesize_table(
+        T(spark, d, "orders"), keys, "k", numeric=["o_totalprice"], categories=["o_orderpriority"],
+        timestamps=["o_orderdate"], others=["o_orderstatus"], id_base=fx.ID_BASE, decimals=3, drift=drift,
+        drift_category="o_orderstatus", drift_values=["P", "F"])
+
+
+@query("synth_table")
+def q_synth_table(spark, d):
+    """A synthetic row for every order, all columns."""
+    return _synth_orders(spark, d, T(spark, d, "orders").select(F.col("o_orderkey").alias("k")))
+
+
+@query("synth_test_rows")
+def q_synth_test_rows(spark, d):
+    """The 100-row test variant with drift."""
+    return _synth_orders(spark, d, synth.synthetic_keys(spark, synth.DEFAULT_TEST_ROWS), drift=True)
