@@ -24,3 +24,21 @@ def test_scan_reads_only_needed_columns(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
     assert schemas and all("props" not in s and "value" not in s for s in schemas)
+
+
+def test_small_side_join_moves_no_raw_row(spark):
+    """Counts and maps are landed: by their measured size they are broadcast
+    without an exchange of the raw rows, and beyond the threshold the join is a
+    sort-merge join that adaptive execution can split."""
+    from keelson.operators import encode, prep
+    raw = spark.range(20_000).selectExpr("id", "concat('c', id % 50) as cat", "repeat('x', 200) as wide")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold, join, moved in (("20k", "BroadcastHashJoin", False), ("-1", "SortMergeJoin", True)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            for df in (prep.fold_rare(raw, "cat", 10), encode.apply_category_map(raw, "cat", encode.fit_category_map(raw, "cat"))):
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert join in plan and ("Exchange hashpartitioning" in plan) == moved
+                assert df.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
