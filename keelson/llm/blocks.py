@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from keelson.llm.textops import TextSlice, pad_documents, text_slices
 from keelson.session import scratch_path
 
-__all__ = ["BLOCK_BYTES", "NULL_ID", "ENTRY_SCHEMA", "pack", "unpack", "write_blocks", "Block", "key_edges", "deltas",
+__all__ = ["BLOCK_BYTES", "NULL_ID", "ENTRY_SCHEMA", "pack", "unpack", "write_blocks", "Block", "KeyRuns", "deltas",
            "entry_rows", "blocks_of", "by_bucket"]
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20   # a worker holds about 60 bytes for every byte of a block
 NULL_ID = np.iinfo(np.int64).min
 BLOCK_SCHEMA = "block_id long, n_bytes long, doc_ids binary, lengths binary, body binary"
 ENTRY_SCHEMA = "bucket int, block_id long, entries binary"
@@ -109,10 +109,28 @@ class Block:
         return out
 
 
-def key_edges(keys: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the key ranges, and where each range begins in sorted keys."""
-    lower = np.array([(k << bits) // buckets for k in range(buckets)], dtype=np.uint64)
-    return lower, np.concatenate([np.searchsorted(keys, lower, "left"), [len(keys)]])
+class KeyRuns:
+    """Sorted keys cut into buckets, equal ranges of the key space; only buckets
+    that hold a key are listed, so the work follows the keys."""
+
+    def __init__(self, keys: np.ndarray, bits: int, buckets: int):
+        wide = min(bits, 32)
+        top = keys >> np.uint64(bits - wide)
+        bucket = ((top * np.uint64(buckets)) >> np.uint64(wide)).astype(np.int64)
+        self.total = len(keys)
+        self.start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.end = np.concatenate([self.start[1:], [len(keys)]]).astype(np.int64) if len(keys) else self.start
+        self.bucket = bucket[self.start]
+        self._bits, self._wide, self._buckets = bits, wide, buckets
+
+    def __iter__(self) -> Iterator[tuple[int, int, int, np.uint64]]:
+        """(bucket, first key, past last key, lower bound of the bucket)."""
+        for b, lo, hi in zip(self.bucket.tolist(), self.start.tolist(), self.end.tolist()):
+            yield b, lo, hi, np.uint64(-(-(b << self._wide) // self._buckets) << (self._bits - self._wide))
+
+    def find(self, bucket: int) -> tuple[int, int]:
+        i = int(np.searchsorted(self.bucket, bucket))
+        return int(self.start[i]), int(self.end[i])
 
 
 def entry_rows(block_id: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.blocks import (ENTRY_SCHEMA, NULL_ID, Block, blocks_of, by_bucket, deltas, entry_rows, key_edges, pack,
+from keelson.llm.blocks import (ENTRY_SCHEMA, NULL_ID, Block, KeyRuns, blocks_of, by_bucket, deltas, entry_rows, pack,
                                 unpack, write_blocks)
 from keelson.llm.components import connected_components
 from keelson.llm.textops import TextSlice, mix64, word_windows
@@ -127,12 +127,11 @@ def _key_batches(size: int, buckets: int) -> Callable:
             for block_id, doc_ids, lengths, body, dropped in blocks_of(batch, 5):
                 h, _ = _live_sets(Block(doc_ids, lengths, body, dropped), size)
                 keys, count = np.unique(h, return_counts=True)
-                lower, edge = key_edges(keys, 64, buckets)
                 # 44 bits tell shingles apart well enough to order them: a shared
                 # class only moves a shingle back in everybody's order alike
-                rows = [(k, pack(deltas(keys[edge[k]:edge[k + 1]] >> np.uint64(20), lower[k] >> np.uint64(20)),
-                                 count[edge[k]:edge[k + 1]].astype(np.uint64)))
-                        for k in range(buckets) if edge[k + 1] > edge[k]]
+                cut = np.uint64(20)
+                rows = [(k, pack(deltas(keys[a:b] >> cut, lower >> cut), count[a:b].astype(np.uint64)))
+                        for k, a, b, lower in KeyRuns(keys, 64, buckets)]
                 if rows:
                     yield entry_rows(block_id, rows)
     return run
@@ -173,10 +172,10 @@ def _column_batches(size: int, buckets: int, percent: int) -> Callable:
                 block = Block(doc_ids, lengths, body, dropped)
                 h, doc = _live_sets(block, size)
                 keys, which = np.unique(h, return_inverse=True)
-                _, edge = key_edges(keys, 64, buckets)
+                runs = KeyRuns(keys, 64, buckets)
                 classes = np.zeros(len(keys), dtype=np.uint8)
                 for row in answers or []:
-                    a, b = edge[row["bucket"]], edge[row["bucket"] + 1]
+                    a, b = runs.find(row["bucket"])
                     classes[a:b] = unpack(row["classes"])[0].astype(np.uint8)
                 level = classes[which]
                 order = np.lexsort((h, level, doc))

@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.blocks import (BLOCK_BYTES, ENTRY_SCHEMA, NULL_ID, Block, blocks_of, by_bucket, deltas, entry_rows,
-                                key_edges, pack, unpack, write_blocks)
+from keelson.llm.blocks import (BLOCK_BYTES, ENTRY_SCHEMA, NULL_ID, Block, KeyRuns, blocks_of, by_bucket, deltas, entry_rows,
+                                pack, unpack, write_blocks)
 from keelson.llm.textops import word_windows
 from keelson.session import scratch_path
 
@@ -105,16 +105,12 @@ def _seed_batches(buckets: int) -> Callable:
                 block = Block(doc_ids, lengths, body)
                 seeds = _Seeds(block)
                 keys, first, _ = seeds.first_of_each()
-                lower, edge = key_edges(keys, 64, buckets)
                 rows = []
-                for k in range(buckets):
-                    a, b = edge[k], edge[k + 1]
-                    if b > a:
-                        used, local = np.unique(seeds.doc[first[a:b]], return_inverse=True)
-                        main = pack(deltas(keys[a:b], lower[k]), local.astype(np.uint64),
-                                    seeds.pos[first[a:b]].astype(np.uint64))
-                        side = pack((block.ids[used].astype(np.int64) - NULL_ID).view(np.uint64), used.astype(np.uint64))
-                        rows.append((k, len(main).to_bytes(4, "little") + main + side))
+                for k, a, b, lower in KeyRuns(keys, 64, buckets):
+                    used, local = np.unique(seeds.doc[first[a:b]], return_inverse=True)
+                    main = pack(deltas(keys[a:b], lower), local.astype(np.uint64), seeds.pos[first[a:b]].astype(np.uint64))
+                    side = pack((block.ids[used].astype(np.int64) - NULL_ID).view(np.uint64), used.astype(np.uint64))
+                    rows.append((k, len(main).to_bytes(4, "little") + main + side))
                 if rows:
                     yield entry_rows(block_id, rows)
     return run
@@ -239,10 +235,10 @@ def _block_chains(block: Block, block_id: int, replies: list[dict] | None, bucke
     src_block = np.full(len(keys), block_id, dtype=np.int64)
     src_nth, src_pos = seeds.doc[first].astype(np.int64), seeds.pos[first].astype(np.int64)
     src_doc = block.ids[src_nth].copy()
-    _, edge = key_edges(keys, 64, buckets)
+    runs = KeyRuns(keys, 64, buckets)
     for row in replies or []:
         at, doc, owner, nth, pos = unpack(row["reply"])
-        at = at.astype(np.int64) + edge[row["bucket"]]
+        at = at.astype(np.int64) + runs.find(row["bucket"])[0]
         src_block[at], src_nth[at], src_pos[at] = owner.astype(np.int64), nth.astype(np.int64), pos.astype(np.int64)
         src_doc[at] = doc.view(np.int64) + NULL_ID
     b, n, p, d = src_block[which], src_nth[which], src_pos[which], src_doc[which]

@@ -46,8 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.blocks import (BLOCK_BYTES, ENTRY_SCHEMA, NULL_ID, Block, blocks_of, by_bucket, deltas, entry_rows,
-                                key_edges, pack, unpack, write_blocks)
+from keelson.llm.blocks import (BLOCK_BYTES, ENTRY_SCHEMA, NULL_ID, Block, KeyRuns, blocks_of, by_bucket, deltas, entry_rows,
+                                pack, unpack, write_blocks)
 from keelson.llm.textops import ByteHasher, mix64
 from keelson.session import scratch_path
 
@@ -57,7 +57,7 @@ WIDTH = 100
 COVER_PERIOD = 57
 #: Every difference modulo 57 occurs between two of these (a perfect difference set).
 DIFFERENCE_COVER = (1, 6, 7, 9, 19, 38, 42, 49)
-BUCKET_BYTES = 16 << 20   # bytes of text per bucket: bounds the suffixes that one task sorts
+BUCKET_BYTES = 8 << 20   # bytes of text per bucket: bounds the suffixes that one task sorts
 SPARE_BITS = 10           # sample keys: log2(bytes) + this many bits
 
 BITS_SCHEMA = "block_id long, bucket int, bits binary"
@@ -102,9 +102,7 @@ def _sample_batches(bits: int, buckets: int) -> Callable:
                 block = _Block(doc_ids, lengths, body, dropped)
                 _, keys = _sample_keys(block, ByteHasher(block.data), bits)
                 keys = np.unique(keys)
-                lower, edge = key_edges(keys, bits, buckets)
-                rows = [(k, pack(deltas(keys[edge[k]:edge[k + 1]], lower[k])))
-                        for k in range(buckets) if edge[k + 1] > edge[k]]
+                rows = [(k, pack(deltas(keys[a:b], lower))) for k, a, b, lower in KeyRuns(keys, bits, buckets)]
                 if rows:
                     yield entry_rows(block_id, rows)
     return run
@@ -137,12 +135,12 @@ def _rank_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 # ------------------------------------------------------- pass 2: the long ties
 
-def _answers(edge: np.ndarray, answers: list[dict] | None) -> np.ndarray:
+def _answers(runs: KeyRuns, answers: list[dict] | None) -> np.ndarray:
     """One flag per sorted distinct key from the buckets' bits."""
-    out = np.zeros(int(edge[-1]), dtype=bool)
+    out = np.zeros(runs.total, dtype=bool)
     for row in answers or []:
-        a, b = edge[row["bucket"]], edge[row["bucket"] + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=int(b - a)).astype(bool)
+        a, b = runs.find(row["bucket"])
+        out[a:b] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=b - a).astype(bool)
     return out
 
 
@@ -150,8 +148,7 @@ def _long_ties(block: _Block, hasher: ByteHasher, bits: int, buckets: int, answe
     """Positions whose WIDTH-byte prefix may occur elsewhere."""
     at, keys = _sample_keys(block, hasher, bits)
     distinct, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-    _, edge = key_edges(distinct, bits, buckets)
-    tied = (_answers(edge, answers) | (count > 1))[inverse]
+    tied = (_answers(KeyRuns(distinct, bits, buckets), answers) | (count > 1))[inverse]
     step = np.zeros(len(block.data) + 1, dtype=np.int32)
     hit = at[tied]
     np.add.at(step, np.maximum(hit - COVER_PERIOD + 1, 0), 1)
@@ -161,7 +158,7 @@ def _long_ties(block: _Block, hasher: ByteHasher, bits: int, buckets: int, answe
 
 def _suffix_keys(block: _Block, hasher: ByteHasher, at: np.ndarray, buckets: int):
     """Sorted distinct keys of the long ties, the first position of each, which
-    key each position has, and the bucket edges."""
+    key each position has, and the keys' buckets."""
     keys = block.keys(hasher, at, WIDTH)
     order = np.argsort(keys, kind="stable")
     s = keys[order]
@@ -169,8 +166,7 @@ def _suffix_keys(block: _Block, hasher: ByteHasher, at: np.ndarray, buckets: int
     new[1:] = s[1:] != s[:-1]
     which = np.empty(len(s), dtype=np.int64)
     which[order] = np.cumsum(new) - 1
-    lower, edge = key_edges(s[new], 64, buckets)
-    return s[new], at[order[new]], which, lower, edge
+    return s[new], at[order[new]], which, KeyRuns(s[new], 64, buckets)
 
 
 def _tie_batches(bits: int, buckets: int) -> Callable:
@@ -180,16 +176,14 @@ def _tie_batches(bits: int, buckets: int) -> Callable:
                 block = _Block(doc_ids, lengths, body, dropped)
                 hasher = ByteHasher(block.data)
                 at = _long_ties(block, hasher, bits, buckets, answers)
-                keys, first, _, lower, edge = _suffix_keys(block, hasher, at, buckets)
+                keys, first, _, runs = _suffix_keys(block, hasher, at, buckets)
                 doc = np.searchsorted(block.ends, first, "right")
                 rows = []
-                for k in range(buckets):
-                    a, b = edge[k], edge[k + 1]
-                    if b > a:
-                        used, local = np.unique(doc[a:b], return_inverse=True)
-                        body_part = pack(deltas(keys[a:b], lower[k]), local.astype(np.uint64))
-                        ids = pack((block.ids[used].astype(np.int64) - NULL_ID).view(np.uint64))
-                        rows.append((k, len(body_part).to_bytes(4, "little") + body_part + ids))
+                for k, a, b, lower in runs:
+                    used, local = np.unique(doc[a:b], return_inverse=True)
+                    body_part = pack(deltas(keys[a:b], lower), local.astype(np.uint64))
+                    ids = pack((block.ids[used].astype(np.int64) - NULL_ID).view(np.uint64))
+                    rows.append((k, len(body_part).to_bytes(4, "little") + body_part + ids))
                 if rows:
                     yield entry_rows(block_id, rows)
     return run
@@ -236,8 +230,8 @@ def _result_batches(bits: int, buckets: int, keep_text: bool) -> Callable:
                 block = _Block(doc_ids, lengths, body, dropped)
                 hasher = ByteHasher(block.data)
                 at = _long_ties(block, hasher, bits, buckets, answers)
-                _, first, which, _, edge = _suffix_keys(block, hasher, at, buckets)
-                repeat = _answers(edge, verdicts)[which] | (at != first[which])
+                _, first, which, runs = _suffix_keys(block, hasher, at, buckets)
+                repeat = _answers(runs, verdicts)[which] | (at != first[which])
                 gone = _covered(block, at[repeat])
                 total = np.concatenate([[0], np.cumsum(gone)])
                 begin = gone.copy()
