@@ -419,7 +419,7 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: in
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the words of their spans (the white space before a span
-    goes with it); null where no word is left."""
+    goes with it); null where no word is left.  Rows without spans pass."""
     from keelson.llm.textops import text_slices
     for batch in batches:
         for rows, text in text_slices(batch):
@@ -427,17 +427,20 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[str | None] = []
             spans = rows.column(1).to_pylist()
             for i, cut in enumerate(spans):
+                if not cut:
+                    out.append(rows.column(0)[i].as_py())
+                    continue
                 a, b = int(text.offsets[i]), int(text.offsets[i + 1])
                 parts, at, left = [], a, int(w.count[i])
                 first = int(w.first[i])
-                for span in sorted(cut or [], key=lambda x: x["start_word"]):
+                for span in sorted(cut, key=lambda x: x["start_word"]):
                     lo, hi = first + span["start_word"], first + span["start_word"] + span["n_words"] - 1
                     begin = int(w.end[lo - 1]) if lo > first else a
                     parts.append(text.data[at:begin].tobytes())
                     at = int(w.end[hi])
                     left -= span["n_words"]
                 parts.append(text.data[at:b].tobytes())
-                out.append(b"".join(parts).decode() if left or not cut else None)
+                out.append(b"".join(parts).decode() if left else None)
             arrays = list(rows.columns)
             arrays[0] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=rows.schema.names)
@@ -453,9 +456,8 @@ def remove_passages(docs: DataFrame, **options) -> DataFrame:
     k, s = keyed.alias("k"), spans.alias("s")
     both = k.join(s, F.col("k.id").eqNullSafe(F.col("s.id")) & (F.col("k.md5") == F.col("s.md5")), "left").select(
         "k.text", "s.spans", "k.row")
-    schema = both.schema
-    cut = both.where("spans is not null").mapInArrow(_cut_batches, schema).where("text is not null")
-    out = cut.unionByName(both.where("spans is null"))
+    # one pass over one join: the text is shuffled once
+    out = both.mapInArrow(_cut_batches, both.schema).where("text is not null or spans is null")
     return out.select(*[
         F.col("text") if c == "text" else
         (F.coalesce(F.length("text").cast(t), F.col(f"row.`{c}`")).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c))
