@@ -2,11 +2,12 @@
 
 A vector becomes a 64-bit code: the sign of every coordinate, or of 64 hashed
 +-1 projections where it has more.  Codes are cut into m segments of about
-log2(codes) bits, and every code is indexed under each segment's value.  Round r
+log2(codes) - 3 bits, and every code is indexed under each segment's value.  Round r
 probes, for every open query and segment, the values at Hamming distance exactly
 r; after it every code within m * (r + 1) - 1 of the query has been met
 (pigeonhole), so a query whose kth verified distance is no more than that is
-done, ties included.  Others go on to r + 1.
+done, ties included.  Others go on to r + 1, where a query with kth distance b
+so far needs only its first b - m * r + 1 segments: they cover distance b.
 
 Equal codes share one index entry with their k + 1 smallest ids (all that a
 top k can need), so a vector that a third of all rows repeat is one entry.
@@ -74,8 +75,9 @@ def binary_codes(vectors: DataFrame, id_col: str, vector_col: str, seed: int = 0
 
 
 def segment_widths(n_codes: int) -> list[int]:
-    """Widths of the segments: about log2(n_codes) bits each."""
-    want = min(MAX_SEGMENT, max(4, round(math.log2(max(2, n_codes)))))
+    """Widths of the segments: log2(n_codes) - 3 bits or so, which leaves several
+    codes to a value and far fewer values to probe."""
+    want = min(MAX_SEGMENT, max(4, round(math.log2(max(2, n_codes))) - 3))
     m = max(1, round(BITS / want))
     return [BITS * (i + 1) // m - BITS * i // m for i in range(m)]
 
@@ -115,6 +117,7 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame
         masks = spark.createDataFrame(_masks(widths, radius), "segment int, mask long")   # bounded by MAX_SEGMENT
         probes = (open_codes.select("query", "bound", F.explode(_segments("query", widths)).alias("s"))
                   .select("query", "bound", "s.segment", F.col("s.value").alias("own"))
+                  .where(F.col("segment") <= F.col("bound") - F.lit(len(widths) * radius))
                   .join(F.broadcast(masks), "segment")
                   .select("query", "bound", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value")).alias("p"))
         distance = F.bit_count(F.col("p.query").bitwiseXOR(F.col("x.code")))
@@ -130,7 +133,10 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame
         covered = len(widths) * (radius + 1) - 1
         state = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
         last = radius >= max(widths)
-        closed = state.where(F.lit(last) | ((F.col("n") >= keep) & (F.col("kth") <= covered)))
+        # covered by all segments, or by those that the bound before this round asked for
+        asked = open_codes.select("query", "bound")
+        closed = state.join(asked, "query").where(
+            F.lit(last) | ((F.col("n") >= keep) & ((F.col("kth") <= covered) | (F.col("bound") <= covered))))
         result = best.join(closed.select("query"), "query", "left_semi")
         done = result if done is None else done.unionByName(result)
         open_codes = (open_codes.select("query").join(closed.select("query"), "query", "left_anti")
