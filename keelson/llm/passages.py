@@ -8,9 +8,11 @@ occurrence.  The matches of a document with one source are chained in order of
 both positions, with a cost for gaps; the best predecessor is a prefix maximum
 in a Fenwick tree over source positions.  Each chain is then aligned word by
 word: exact blocks are joined across small gaps by edit distance and extended
-at both ends while the alignment pays.  Aligned pieces of one document that
-touch are merged, whatever their sources, and a merged piece of MIN_WORDS words
-or more is a shared passage.
+at both ends while the alignment pays.  It is broken where the other words of a
+gap cost more than the equal words on either side gain, and where fewer than
+SHARE of its words are equal.  Aligned pieces of one document that touch are
+merged, whatever their sources, under the same two rules, and a merged piece of
+MIN_WORDS words or more is a shared passage.
 
 Plan: the text lies packed in blocks (a bucketed table).  Seeds travel as one
 row per (block, bucket) with one entry per distinct seed of the block, so a hot
@@ -51,6 +53,7 @@ MERGE_GAP = 4          # pieces this close are one passage
 GAP_COST = 0.05        # per word skipped in either text
 MAX_GAP = 60           # chains break at wider gaps
 MATCH, MISMATCH, DROP = 1, -2, 6
+SHARE = 0.8            # equal words of a piece and of a passage, at least
 BUCKET_BYTES = 16 << 20
 CONTEXT = 40           # words around a chain that the alignment may extend into
 
@@ -58,7 +61,7 @@ REPLY_SCHEMA = "block_id long, bucket int, reply binary"
 CHAIN_SCHEMA = ("src_block long, src_nth int, src_doc long, doc_id long, block_id long, nth int, md5 string, "
                 "anchors binary, first int, words binary")
 PIECE_SCHEMA = ("doc_id long, block_id long, nth int, md5 string, start int, end int, src_doc long, src_start int, "
-                "n_matched int")
+                "same binary")
 PASSAGE_SCHEMA = ("doc_id long, md5 string, start_word int, n_words int, src_doc_id long, src_start_word int, "
                   "n_matched int")
 
@@ -265,55 +268,113 @@ def _block_chains(block: Block, block_id: int, replies: list[dict] | None, bucke
 
 # ------------------------------------------------------------------ alignment
 
-def _edit_matches(a: list[int], b: list[int]) -> int:
-    """Matched words of a best global alignment of two short word lists."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        prev, new = 0, [0]
-        for j, y in enumerate(b):
-            best = prev + 1 if x == y else max(row[j + 1], new[j])
-            prev = row[j + 1]
-            new.append(best)
-        row = new
-    return row[-1]
-
-
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(words, matches) of the best ungapped extension along both lists."""
+def _edit_matches(a: list[int], b: list[int]) -> list[int]:
+    """For every word of a the word of b that a best global alignment matches it
+    to, or -1 (longest common subsequence, one bit per word of a)."""
+    out = [-1] * len(a)
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rows = [full]
+    for y in b:
+        hit = rows[-1] & where.get(y, 0)
+        rows.append((rows[-1] + hit | rows[-1] - hit) & full)
+    i, j = len(a), len(b)
+    while i and j:
+        bit = 1 << (i - 1)
+        if rows[j] & bit:
+            i -= 1
+        elif not rows[j - 1] & bit:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out[i] = j
+    return out
+
+
+def _extend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which words match in the best ungapped extension along both lists."""
     n = min(len(a), len(b))
-    if not n:
-        return 0, 0
     same = a[:n] == b[:n]
     score = np.cumsum(np.where(same, MATCH, MISMATCH))
     peak = np.maximum.accumulate(np.maximum(score, 0))
     stop = np.flatnonzero(peak - score >= DROP)
     end = int(stop[0]) if len(stop) else n
     if not end or score[:end].max() <= 0:
-        return 0, 0
-    best = int(score[:end].argmax()) + 1
-    return best, int(same[:best].sum())
-
-
-def align_chain(anchors: np.ndarray, words: np.ndarray, first: int, src: np.ndarray) -> tuple[int, int, int, int]:
-    """(start, end, source start, matched words) of a chain's alignment; words
-    are those of the document from ``first`` on, src all of the source's."""
+        return same[:0]
+    return same[:int(score[:end].argmax()) + 1]
+
+
+def paying_parts(same: np.ndarray, skips: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(start, end) of the parts of an alignment that pay: ``same`` has one flag
+    per word, ``skips`` the source words left out before it.  A part starts and
+    ends with equal words; inside, no run of other words costs more than the
+    part gains on either side of it (a gain counts up to MIN_WORDS: more stands
+    alone), and at least SHARE of the words are equal."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    lo, hi = edge[::2], edge[1::2]
+    if skips is not None and skips.any():                # left-out words part two equal ones, too
+        more = np.flatnonzero(skips[1:].astype(bool) & same[1:] & same[:-1]) + 1
+        lo, hi = np.sort(np.concatenate([lo, more])), np.sort(np.concatenate([hi, more]))
+    between = lo[1:] - hi[:-1]
+    if skips is not None and len(between):
+        total = np.concatenate([[0], np.cumsum(skips)])
+        between = between + total[lo[1:] + 1] - total[hi[:-1]]
+    cost, gain = (-MISMATCH * between).tolist(), (MATCH * (hi - lo)).tolist()
+    todo, parts = [(0, len(gain))] if gain else [], []
+    while todo:
+        a, b = todo.pop()
+        cuts = set()
+        for step in (range(a, b - 1), range(b - 2, a - 1, -1)):      # gaps, from either end
+            right = step.step > 0
+            value = min(MIN_WORDS, gain[a if right else b - 1])
+            for g in step:
+                value -= cost[g]
+                if value < 0:
+                    cuts.add(g)
+                value = min(MIN_WORDS, max(value, 0) + gain[g + 1 if right else g])
+        if not cuts and sum(gain[a:b]) < SHARE * MATCH * int(hi[b - 1] - lo[a]):
+            cuts = {max(range(a, b - 1), key=cost.__getitem__)}
+        if cuts:
+            ends = [a, *(g + 1 for g in sorted(cuts)), b]
+            todo += zip(ends[:-1], ends[1:])
+        else:
+            parts.append((int(lo[a]), int(hi[b - 1])))
+    return sorted(parts)
+
+
+def align_chain(anchors: np.ndarray, words: np.ndarray, first: int,
+                src: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
+    """(start, end, source start, equal words as flags) of the parts of a
+    chain's alignment that pay; words are those of the document from ``first``
+    on, src all of the source's."""
     p, s = anchors[:, 0] - first, anchors[:, 1]
-    matched, at, src_at = 0, int(p[0]), int(s[0])
-    start, src_start = at, src_at
+    start, src_start = int(p[0]), int(s[0])
+    at, src_at = start, src_start
+    same, skips = np.zeros(len(words), bool), np.zeros(len(words) + 1, np.int64)
+    near = np.zeros(len(words), np.int64)                # source word that stands by a word
     for x, y in zip(p.tolist(), s.tolist()):
-        if x >= at and y >= src_at:                      # words between two blocks
-            gap, src_gap = words[at:x], src[src_at:y]
-            if len(gap) and len(src_gap):
-                matched += (int((gap == src_gap).sum()) if len(gap) == len(src_gap)
-                            else _edit_matches(gap.tolist(), src_gap.tolist()))
-            matched += K
-        else:                                            # overlapping seeds
-            matched += max(0, min(x + K - at, y + K - src_at))
-        at, src_at = max(at, x + K), max(src_at, y + K)
-    right, more = _extend(words[at:], src[src_at:])
-    at, matched = at + right, matched + more
-    left, more = _extend(words[:start][::-1], src[:src_start][::-1])
-    return first + start - left, first + at, src_start - left, matched + more
+        if x < at or y < src_at:                         # overlapping seeds
+            n = min(x + K - at, y + K - src_at)
+            x, y = x + K - n, y + K - n
+        else:
+            n = K
+        gap, src_gap = words[at:x], src[src_at:y]        # words between two blocks
+        if len(gap) and len(src_gap):
+            if len(gap) == len(src_gap) and (gap == src_gap).mean() >= SHARE:
+                to = np.where(gap == src_gap, np.arange(len(gap)), -1)
+            else:
+                to = np.array(_edit_matches(gap.tolist(), src_gap.tolist()))
+            same[at:x], near[at:x] = to >= 0, src_at + to
+        skips[x] += max(0, len(src_gap) - len(gap))
+        same[x:x + n], near[x:x + n] = True, np.arange(y, y + n)
+        at, src_at = x + n, y + n
+    right = _extend(words[at:], src[src_at:])
+    same[at:at + len(right)], near[at:at + len(right)] = right, np.arange(src_at, src_at + len(right))
+    left = _extend(words[:start][::-1], src[:src_start][::-1])[::-1]
+    same[start - len(left):start], near[start - len(left):start] = left, np.arange(src_start - len(left), src_start)
+    return [(first + a, first + b, int(near[a]), same[a:b]) for a, b in paying_parts(same, skips[:-1])]
 
 
 def _source_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,25 +389,25 @@ def _source_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-    names = ["doc_id", "block_id", "nth", "md5", "start", "end", "src_doc", "src_start", "n_matched"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["doc_id", "block_id", "nth", "md5", "start", "end", "src_doc", "src_start", "same"]
     for batch in batches:
         out = []
         for doc_id, block_id, nth, md5, src_doc, anchors, first, words, src in zip(
                 *(batch.column(i).to_pylist() for i in range(9))):
-            start, end, src_start, matched = align_chain(
-                np.frombuffer(anchors, "<i4").reshape(-1, 2), np.frombuffer(words, "<u4"), first,
-                np.frombuffer(src, "<u4"))
-            if end - start >= MIN_PIECE:
-                out.append((doc_id, block_id, nth, md5, start, end, src_doc, src_start, matched))
+            for start, end, src_start, same in align_chain(
+                    np.frombuffer(anchors, "<i4").reshape(-1, 2), np.frombuffer(words, "<u4"), first,
+                    np.frombuffer(src, "<u4")):
+                if end - start >= MIN_PIECE:
+                    out.append((doc_id, block_id, nth, md5, start, end, src_doc, src_start, np.packbits(same).tobytes()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)],
                                              names=names)
 
 
 def _merge_batches(min_words: int) -> Callable:
-    """Pieces sorted by (block, nth, start): touching ones are one passage,
-    credited to the source of its longest piece."""
+    """Pieces sorted by (block, nth, start): touching ones are one passage, or
+    the parts of it that pay, each credited to the source of its longest piece."""
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
     names = ["doc_id", "md5", "start_word", "n_words", "src_doc_id", "src_start_word", "n_matched"]
 
@@ -357,24 +418,30 @@ def _merge_batches(min_words: int) -> Callable:
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out = None, []      # [key, doc_id, md5, start, end, longest, src_doc, src_start, matched]
-
-        def close() -> None:
-            if now is not None and now[4] - now[3] >= min_words:
-                out.append((now[1], now[2], now[3], now[4] - now[3], now[6], now[7], min(now[8], now[4] - now[3])))
+        now, end_now, pieces, out = None, 0, [], []      # pieces: (start, end, src_doc, src_start, same)
+
+        def close() -> None:                             # the pieces at hand
+            if not pieces or end_now - pieces[0][0] < min_words:
+                return
+            base = pieces[0][0]
+            same = np.zeros(end_now - base, bool)
+            for start, end, _, _, bits in pieces:
+                same[start - base:end - base] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=end - start).astype(bool)
+            for lo, hi in paying_parts(same):
+                if hi - lo >= min_words:
+                    a, z = base + lo, base + hi
+                    start, _, src_doc, src_start, _ = max(pieces, key=lambda x: min(x[1], z) - max(x[0], a))
+                    out.append((*now[2:], a, hi - lo, src_doc, src_start + max(0, a - start), int(same[lo:hi].sum())))
 
         for batch in batches:
-            for doc_id, block_id, nth, md5, start, end, src_doc, src_start, matched in zip(
-                    *(batch.column(i).to_pylist() for i in range(9))):
-                key = (block_id, nth)
-                if now is None or now[0] != key or start > now[4] + MERGE_GAP:
+            for doc_id, block_id, nth, md5, start, end, *piece in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                key = (block_id, nth, doc_id, md5)
+                if now != key or start > end_now + MERGE_GAP:
                     close()
-                    now = [key, doc_id, md5, start, end, end - start, src_doc, src_start, matched]
-                    continue
-                now[8] += max(0, min(matched, end - max(start, now[4])))
-                now[4] = max(now[4], end)
-                if end - start > now[5]:
-                    now[5:8] = [end - start, src_doc, src_start]
+                    now, end_now = key, end
+                    pieces.clear()
+                pieces.append((start, end, *piece))
+                end_now = max(end_now, end)
             if len(out) >= 5000:
                 yield batch_of(out)
                 out.clear()

@@ -117,6 +117,42 @@ def test_passages_exact_fuzzy_and_hot(spark):
     assert set(cleaned) == set(text)
 
 
+def test_passages_phrases_far_apart_stay(spark):
+    rng = random.Random(12)
+    own = lambda n: words(rng, n, 10**6)
+    phrases, long, near = [own(20) for _ in range(6)], [own(45), own(45)], [own(30), own(30)]
+
+    def page(parts, gap):
+        return " ".join(own(20) + [w for part in parts for w in part + own(gap)])
+    rows = [(0, page(phrases, 40)), (1, page(phrases[:2], 40)), (2, page(phrases, 40)),     # a form, filled in
+            (3, page(long, 40)), (4, page(long, 40)),
+            (5, page(near, 8)), (6, page(near, 8))]
+    for i in range(10, 30, 2):
+        pair = [own(20), own(20)]
+        rows += [(i, page(pair, 50)), (i + 1, page(pair, 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start_word"], r["n_words"], r["src_doc_id"], r["src_start_word"], r["n_matched"])
+                 for r in passages.shared_passages(df).collect())
+    assert got == [(4, 20, 45, 3, 20, 45), (4, 105, 45, 3, 105, 45),      # the words between are its own
+                   (6, 20, 68, 5, 20, 60)]                                # eight other words in sixty equal ones
+    left = {r["doc_id"]: r["text"] for r in passages.remove_passages(df).collect()}
+    assert all(t == left[i] for i, t in rows if i not in (4, 6))
+    w = rows[4][1].split()
+    assert left[4].split() == w[:20] + w[65:105] + w[150:]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_edit_matches(seed):
+    rng = random.Random(seed)
+    a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 70))] for _ in "ab")
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    pairs = [(i, j) for i, j in enumerate(passages._edit_matches(a, b)) if j >= 0]
+    assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+    assert all(i < k and j < n for (i, j), (k, n) in zip(pairs, pairs[1:]))
+
+
 def test_passages_odd_input(odd_docs, no_docs):
     out = passages.remove_passages(odd_docs)
     assert out.columns == odd_docs.columns
