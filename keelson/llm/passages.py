@@ -62,8 +62,8 @@ CHAIN_SCHEMA = ("src_block long, src_nth int, src_doc long, doc_id long, block_i
                 "anchors binary, first int, words binary")
 PIECE_SCHEMA = ("doc_id long, block_id long, nth int, md5 string, start int, end int, src_doc long, src_start int, "
                 "same binary")
-PASSAGE_SCHEMA = ("doc_id long, md5 string, start_word int, n_words int, src_doc_id long, src_start_word int, "
-                  "n_matched int")
+PASSAGE_SCHEMA = ("doc_id long, block_id long, nth int, md5 string, start_word int, n_words int, src_doc_id long, "
+                  "src_start_word int, n_matched int")
 
 
 # ---------------------------------------------------------------------- seeds
@@ -408,12 +408,12 @@ def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _merge_batches(min_words: int) -> Callable:
     """Pieces sorted by (block, nth, start): touching ones are one passage, or
     the parts of it that pay, each credited to the source of its longest piece."""
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-    names = ["doc_id", "md5", "start_word", "n_words", "src_doc_id", "src_start_word", "n_matched"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["doc_id", "block_id", "nth", "md5", "start_word", "n_words", "src_doc_id", "src_start_word", "n_matched"]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-        for i in (0, 4):
+        for i in (0, 6):
             cols[i] = pa.array(np.asarray(cols[i]), mask=np.asarray(cols[i]) == NULL_ID)
         return pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -431,11 +431,11 @@ def _merge_batches(min_words: int) -> Callable:
                 if hi - lo >= min_words:
                     a, z = base + lo, base + hi
                     start, _, src_doc, src_start, _ = max(pieces, key=lambda x: min(x[1], z) - max(x[0], a))
-                    out.append((*now[2:], a, hi - lo, src_doc, src_start + max(0, a - start), int(same[lo:hi].sum())))
+                    out.append((*now, a, hi - lo, src_doc, src_start + max(0, a - start), int(same[lo:hi].sum())))
 
         for batch in batches:
             for doc_id, block_id, nth, md5, start, end, *piece in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                key = (block_id, nth, doc_id, md5)
+                key = (doc_id, block_id, nth, md5)
                 if now != key or start > end_now + MERGE_GAP:
                     close()
                     now, end_now = key, end
@@ -451,11 +451,16 @@ def _merge_batches(min_words: int) -> Callable:
     return run
 
 
-def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES,
-                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shared_passages(docs: DataFrame, **options) -> DataFrame:
     """Passages that stand earlier in another document, one row each: doc_id,
     md5 (of its text), start_word, n_words, src_doc_id, src_start_word,
     n_matched (words equal to the source)."""
+    return _packed_passages(docs, **options).drop("block_id", "nth")
+
+
+def _packed_passages(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES,
+                     bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Shared passages with the packed row (block_id, nth) that each stands in."""
     spark = docs.sparkSession
     path = scratch_path(spark, "passages")
     blocks = write_blocks(docs, block_bytes)
@@ -515,15 +520,39 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_passages(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, without their shared passages (``n_chars``,
-    where present, is counted anew); a document of nothing else goes."""
-    spans = (shared_passages(docs, **options).groupBy(F.col("doc_id").alias("id"), "md5")
-             .agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans")))
-    keyed = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("id"),
-                        F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("md5"), F.struct("*").alias("row"))
-    k, s = keyed.alias("k"), spans.alias("s")
-    both = k.join(s, F.col("k.id").eqNullSafe(F.col("s.id")) & (F.col("k.md5") == F.col("s.md5")), "left").select(
-        "k.text", "s.spans", "k.row")
+    where present, is counted anew); a document of nothing else goes.  Of rows
+    that repeat a doc_id and its text, one has the passages of the row packed
+    first, the others those that stand in it, too."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "remove_passages")
+    text, key = F.col("text").cast("string"), ["id", "md5"]
+    keyed = docs.select(text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"),
+                        F.md5(F.coalesce(text, F.lit(""))).alias("md5"), F.struct("*").alias("row"))
+    rows = (_packed_passages(docs, **options)
+            .groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "md5", "block_id", "nth")
+            .agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans")))
+    # all rows of one id and text but the first have the same passages: all that the first has and all seen in it
+    at = F.struct("block_id", "nth")
+    groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("cut"), F.min_by("spans", at).alias("first_spans"),
+                                    F.max_by("spans", at).alias("spans"))
+    copies = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
+    groups.join(copies, key).withColumn("first_spans", F.when(F.col("cut") == F.col("copies"), F.col("first_spans"))
+                                        ).write.parquet(f"{path}/groups")
+    groups = spark.read.parquet(f"{path}/groups")
+    repeated = groups.where("copies > 1").select(*key, "spans", "first_spans")
+    repeated.write.parquet(f"{path}/repeated")
+    repeated = spark.read.parquet(f"{path}/repeated")
+    # rows that repeat are told apart by a number of their own, kept with them
+    (keyed.join(repeated.select(*key), key).withColumn("nth_row", F.monotonically_increasing_id())
+     .write.parquet(f"{path}/rows"))
+    several = spark.read.parquet(f"{path}/rows")
+    first = several.groupBy(*key).agg(F.min("nth_row").alias("first_row")).join(repeated, key)
+    several = several.join(first, key).select(
+        "text", F.when(F.col("nth_row") == F.col("first_row"), F.col("first_spans")).otherwise(F.col("spans")).alias("spans"),
+        "row")
     # one pass over one join: the text is shuffled once
+    both = (keyed.join(groups.select(*key, "spans", "copies"), key, "left").where("copies is null or copies = 1")
+            .select("text", "spans", "row").unionByName(several))
     out = both.mapInArrow(_cut_batches, both.schema).where("text is not null or spans is null")
     return out.select(*[
         F.col("text") if c == "text" else

@@ -161,6 +161,21 @@ def test_passages_odd_input(odd_docs, no_docs):
     assert 0 in left and 49 not in left                  # 10, 23... are whole copies of 3
 
 
+def test_passages_keep_one_of_repeated_rows(spark):
+    rng = random.Random(13)
+    own = lambda n: words(rng, n, 10**6)
+    passage = own(50)
+    whole, part, other, mine = " ".join(own(60)), own(60), " ".join(own(70)), " ".join(own(20))
+    rows = ([(1, " ".join(passage + own(10)), "a")] + [(5, whole, f"c{i}") for i in range(4)]
+            + [(6, " ".join(passage + part), f"d{i}") for i in range(3)]       # a passage of row 1, repeated
+            + [(None, other, f"e{i}") for i in range(3)] + [(None, mine, "f"), (None, mine, "g")] + [(None, None, "h")] * 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(3)
+    left = passages.remove_passages(df, block_bytes=600).collect()
+    texts = sorted((r["doc_id"] or 0, (r["text"] or "").strip()) for r in left)
+    assert texts == sorted([(1, rows[0][1]), (5, whole), (6, " ".join(part)), (0, other), (0, mine), (0, mine), (0, ""), (0, "")])
+    assert {r["tag"] for r in left} >= {"a", "f", "g", "h"}
+
+
 # --------------------------------------------------------------------- op 3
 
 def brute_search(codes, k):
