@@ -100,7 +100,7 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame
     path = scratch_path(spark, "search")
     keep = k + 1                                          # the query itself may be among them
     nth = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    groups = (codes.withColumn("nth", nth).where(F.col("nth") <= keep)
+    groups = (codes.select("id", "code").distinct().withColumn("nth", nth).where(F.col("nth") <= keep)
               .groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     groups.write.parquet(f"{path}/codes")
     groups = spark.read.parquet(f"{path}/codes")

@@ -202,6 +202,13 @@ def test_search_matches_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == brute_search(held, 7)
 
 
+def test_search_counts_repeated_rows_once(spark):
+    rows = [(7, 1)] * 12 + [(8, 1)] + [(i, 1 << 40 | i << 8) for i in range(20, 32)] + [(100, 1)]
+    codes = spark.createDataFrame(rows, "id long, code long").repartition(3)
+    got = search.nearest_codes(codes, codes.where("id = 100"), k=10)
+    assert sorted(map(tuple, got.collect())) == brute_search(sorted(set(rows)), 10)
+
+
 def test_search_few_rows_and_projections(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, rng.normal(size=200).tolist()) for i in range(4)], "vec_id long, embedding array<double>")
