@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.llm import mixing, quality, search
+from keelson.llm import mixing, quality, search, spelling, turntrie
 
 _ESC = "replace(replace({x}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
 
@@ -97,3 +97,64 @@ WITH pairs AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INTEGER AS rank FROM pairs)
 SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= {search.K}
 """
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of ``text``: every byte enters with
+    its first of eight shifts."""
+    hexes = f"hex(encode({text}))"
+    byte = f"list_transform(range(0, length({hexes}) // 2), lambda i: ('0x' || substr({hexes}, 2 * i + 1, 2))::BIGINT)"
+    fed = f"flatten(list_transform({byte}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {fed}), {step}), 4294967295)"
+
+
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+                               '{spelling.UPPER}', '{spelling.LOWER}') AS run FROM documents),
+per_doc AS (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= {spelling.MIN_LENGTH} GROUP BY ALL),
+hashed AS MATERIALIZED (SELECT run, c, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM per_doc),
+edited AS (SELECT CASE WHEN h % {spelling.DROP_EVERY} = 0
+                  THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c
+           FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM edited WHERE length(word) >= {spelling.MIN_LENGTH}
+                       GROUP BY word HAVING sum(c) >= {spelling.MIN_COUNT}),
+cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest
+                     FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+         UNION SELECT a.word, w.word FROM cut a JOIN words w ON w.word = a.rest
+         UNION SELECT w.word, a.word FROM cut a JOIN words w ON w.word = a.rest),
+best AS (SELECT x.word, count(*) AS n_near, arg_min(o.word, (-o.n, o.word)) AS other, max(o.n) AS other_n
+         FROM near x JOIN words o ON o.word = x.other GROUP BY x.word),
+judged AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN other_n >= {spelling.FORM_FACTOR} * n THEN other END AS form,
+             CASE WHEN other_n >= {spelling.FORM_FACTOR} * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, coalesce(form, word) AS at FROM judged
+         UNION ALL SELECT w.word, j.form FROM walk w JOIN judged j ON j.word = w.at WHERE j.form IS NOT NULL AND w.at <> w.word),
+root AS (SELECT w.word, w.at AS root FROM walk w JOIN judged j ON j.word = w.at WHERE j.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM judged JOIN root USING (word)
+"""
+
+ORACLES["op13_conversation_trie"] = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_crc32("conv_id::VARCHAR")} % {turntrie.BRANCHES} AS h FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (SELECT c.conv_id, 0 AS part, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % {turntrie.FAMILY} WHERE p <= h
+            UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN t USING (conv_id) WHERE p > h),
+turns AS (SELECT conv_id, row_number() OVER w AS d, strlen(text) AS size, sha256(sha256(role) || sha256(text)) AS sig
+          FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, p)),
+member AS MATERIALIZED (
+    SELECT conv_id, d, size, sha256(string_agg(sig, '') OVER (PARTITION BY conv_id ORDER BY d)) AS node FROM turns
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+above AS (SELECT conv_id, d, node, lag(node) OVER (PARTITION BY conv_id ORDER BY d) AS up, max(d) OVER (PARTITION BY conv_id) AS len FROM member),
+nodes AS MATERIALIZED (SELECT m.node, m.d, min(m.conv_id) AS conv_id, count(*) AS n_convs, any_value(m.size) AS size, any_value(a.up) AS up,
+          sha256(coalesce(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (a.len = m.d), '')) AS ends_sha256
+          FROM member m JOIN above a USING (conv_id, d) GROUP BY m.node, m.d),
+children AS (SELECT up AS node, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+inside AS (SELECT m.node, sum(CASE WHEN k.n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved
+           FROM nodes n LEFT JOIN children k ON k.node = n.node JOIN member m ON m.conv_id = n.conv_id AND m.d <= n.d GROUP BY m.node)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       coalesce(k.n_children, 0)::BIGINT AS n_children, i.n_leaves::BIGINT AS n_leaves, i.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.node = n.up LEFT JOIN children k ON k.node = n.node JOIN inside i ON i.node = n.node
+"""

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import chat, jaccard, langid, mixing, oracles, packing, passages, quality, repair, search, suffixes
+from keelson.llm import (
+    chat, jaccard, langid, mixing, oracles, packing, passages, quality, repair, search, spelling, suffixes, turntrie,
+)
 from keelson.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,5 +100,15 @@ def op10(spark, d):
     return mixing.replicate_to_weights(_table(spark, d, "documents"))
 
 
+@_register("op12_spelling_variants")
+def op12(spark, d):
+    return spelling.spelling_variants(_table(spark, d, "documents"))
+
+
+@_register("op13_conversation_trie")
+def op13(spark, d):
+    return turntrie.conversation_trie(_table(spark, d, "conversations"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, sql in oracles.ORACLES.items() if name in QUERIES}
