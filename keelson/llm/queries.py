@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import (
-    chat, jaccard, langid, mixing, oracles, packing, passages, quality, repair, search, spelling, suffixes, turntrie,
+    chat, jaccard, langid, mixing, oracles, packing, partitions, passages, quality, repair, search, spelling, suffixes,
+    turntrie,
 )
 from keelson.session import prepare, scratch_path
 
@@ -100,6 +101,14 @@ def op10(spark, d):
     return mixing.replicate_to_weights(_table(spark, d, "documents"))
 
 
+@_register("op11_learned_partitions")
+def op11(spark, d):
+    path = scratch_path(spark, "vectors")
+    partitions.usable_vectors(_table(spark, d, "embeddings"), "vec_id", "embedding").write.parquet(path)
+    vectors = spark.read.parquet(path)
+    return partitions.nearest_vectors(vectors, vectors.where(F.col("id") % 20 == 0))
+
+
 @_register("op12_spelling_variants")
 def op12(spark, d):
     return spelling.spelling_variants(_table(spark, d, "documents"))
