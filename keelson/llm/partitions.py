@@ -51,6 +51,7 @@ MAX_PARTS = 256
 PART_ROWS = 1024          # distinct vectors wanted in a part
 LINKS = 16                # neighbours of a node of the graph
 CHUNK_FLOATS = 1 << 18    # of the vectors of a chunk, and of the queries of a pack
+HELD = 1 << 18            # candidates that a task holds before it passes them on
 CALIBRATION = 384         # queries whose exact neighbours are found among all vectors
 TARGET_RECALL = 0.95
 
@@ -317,15 +318,39 @@ def _route_batches(router: Router) -> Callable:
     return run
 
 
+def _reduced(rows: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
+    """The k best vectors of every query, with all that tie with the last."""
+    t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+    key, score = np.asarray(t.column(0)), np.asarray(t.column(1))
+    order = np.lexsort((-score, key))
+    sorted_key, sorted_score = key[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
+    size = np.diff(np.concatenate([first, [len(key)]]))
+    kth = sorted_score[first + np.minimum(size, k) - 1]
+    return t.take(pa.array(order[sorted_score >= np.repeat(kth, size)]))
+
+
 def _meet_batches(k: int) -> Callable:
+    """A task keeps the best of each query over all the chunks it meets, in a
+    bounded buffer, so a query leaves it with about k candidates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 asked, rows = batch.column(0)[i].values, batch.column(1)[i].values
                 q, r, score = _best(_matrix(asked.field("vec")), _matrix(rows.field("vec")), k)
-                yield pa.RecordBatch.from_arrays(
+                held.append(pa.RecordBatch.from_arrays(
                     [asked.field("key").take(pa.array(q)), pa.array(score), rows.field("ids").take(pa.array(r))],
-                    names=["key", "score", "ids"])
+                    names=["key", "score", "ids"]))
+                n += len(q)
+                if n > HELD:
+                    held = [_reduced(held, k)]
+                    n = held[0].num_rows
+                    if n > HELD // 2:
+                        yield from held
+                        held, n = [], 0
+        if n:
+            yield _reduced(held, k)
     return run
 
 
