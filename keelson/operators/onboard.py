@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from keelson.functions.columns import missing_fields
 
 __all__ = [
-    "new_entities", "first_per_key", "classify_ids", "reject_reasons", "active_entities",
+    "new_entities", "first_per_key", "classify_ids", "judge_feed", "reject_reasons", "active_entities",
     "master_rows", "soft_delete",
 ]
 
@@ -52,6 +52,18 @@ def classify_ids(feed: DataFrame, stored: DataFrame, key: str, order_cols: Seque
     return j.select(*feed.columns, status.alias("status"))
 
 
+def judge_feed(feed: DataFrame, stored: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
+    """Every feed row with its ``reason`` to be rejected, null for the rows that
+    enter: of the valid rows of an id the first by ``order_cols``, unless the id
+    is stored.  Validity is judged row by row, so an invalid row neither enters
+    nor hides a valid one of the same id.  ``feed`` must not change between reads."""
+    missing = missing_fields(list(REQUIRED_FIELDS))
+    lacking = feed.where(missing.isNotNull()).withColumn("reason", F.concat(F.lit("Missing field: "), missing))
+    status = classify_ids(feed.where(missing.isNull()), stored, key, list(order_cols))
+    reason = (F.when(F.col("status") == "exists", F.lit("Existing id")).when(F.col("status") == "duplicate", F.lit("Duplicate id")))
+    return status.withColumn("reason", reason).drop("status").unionByName(lacking)
+
+
 def reject_reasons(df: DataFrame, required: Sequence[str] = REQUIRED_FIELDS,
                    key: str = "customer_id") -> DataFrame:
     """Valid / rejected split with the names of missing required fields."""

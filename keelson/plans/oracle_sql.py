@@ -6,6 +6,8 @@ Doubles are rounded exactly where the Spark side rounds.
 
 from __future__ import annotations
 
+from keelson.plans.refresh_sql import LATE_ROWS, refresh_sql
+
 ENTITY = """entity AS (
   SELECT p_partkey AS PageID, p_retailprice AS "Height (m)", CAST(p_size AS DOUBLE) AS "Weight (kg)",
          nullif(p_brand, 'Brand#4') AS Universe,
@@ -257,6 +259,7 @@ SELECT c.model_name, c.window_start, c.n_rows, pr.n_rows AS prev_n_rows, c.mean_
        round(c.pos_rate, 6) AS pos_rate, round(pr.pos_rate, 6) AS prev_pos_rate,
        round(c.pos_rate - pr.pos_rate, 6) AS pos_rate_shift
 FROM cur c LEFT JOIN cur pr ON pr.model_name = c.model_name AND pr.window_start + INTERVAL 30 MINUTE = c.window_start"""
+    q.update(refresh_sql(q["window_profile"]))
     q["drift_psi"] = f"""WITH {BINNED}
 SELECT model_name, any_value(nb) AS n_baseline, any_value(nc) AS n_current,
        round(sum((q - p) * ln(q / p)), 6) AS psi FROM j GROUP BY model_name"""
@@ -531,6 +534,7 @@ FROM u JOIN iv pr ON pr.col = 'p' AND up >= pr.lo AND up < pr.hi JOIN iv st ON s
     q["stream_dedup"] = q["stream_flatten"]
     q["stream_dedup_exact"] = q["stream_flatten"]
     q["stream_window"] = q["window_profile"]
+    q["stream_late_rows"] = f"WITH {PAYLOAD},\npay AS (SELECT DISTINCT request_id, request_time FROM recs),{LATE_ROWS}"
     q["stream_onboard"] = f"""WITH {FEED}
 SELECT customer_id, customer_name, schema_name, cloud_provider, data_path, coalesce(is_active, true) AS is_active,
        'ACTIVE' AS onboarding_status, CAST(NULL AS TIMESTAMP) AS last_pipeline_run, 'feed_onboarding' AS created_by

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.functions.columns import missing_fields
 from keelson.operators import (
     encode, medallion, metrics, monitor, onboard, prep, registry, split, train,
 )
@@ -34,8 +33,11 @@ __all__ = ["prepare_training_data", "refresh_monitoring", "train_and_register",
 def prepare_training_data(spark: SparkSession, raw: DataFrame, spec: prep.PrepSpec, train_table: str,
                           test_table: str, *, test_fraction: float = 0.2, seed: int = 42,
                           as_of: Column | None = None) -> None:
-    feats = prep.feature_prep(raw, spec)
-    tr, te = split.split_frames(feats, spec.id_out, test_fraction, seed)
+    """The features are evaluated once: landed by side, then each side is saved."""
+    path = scratch_path(spark, "split")
+    split.assign_split(prep.feature_prep(raw, spec), spec.id_out, test_fraction, seed).write.partitionBy("split").parquet(path)
+    landed = spark.read.parquet(path)
+    tr, te = (landed.where(F.col("split") == side).drop("split") for side in ("train", "test"))
     tables.save_split(tr, te, train_table, test_table, as_of)
 
 
@@ -65,7 +67,13 @@ def refresh_monitoring(payload: DataFrame, request_schema: T.StructType, respons
             keyed = keyed & F.col(c).isNotNull()
         fresh = kept.where(keyed).dropDuplicates(keys)
         if tables.table_exists(spark, monitoring_table):
-            fresh = fresh.join(tables.read_table(spark, monitoring_table).select(*keys), keys, "left_anti")
+            held = tables.read_table(spark, monitoring_table)
+            if "timestamp" in held.columns:
+                # a record delivered again has its request's time: the batch's span skips
+                # row groups of the table, which is appended in time order
+                first, last = payload.agg(F.min("request_time"), F.max("request_time")).first()
+                held = held.where(F.col("timestamp").isNull() | F.col("timestamp").between(first, last))
+            fresh = fresh.join(held.select(*keys), keys, "left_anti")
         kept = fresh.select(*kept.columns).unionByName(kept.where(~keyed))
     obs = Observation("monitoring_refresh")
     observed = kept.observe(obs, F.count(F.lit(1)).alias("n_written"),
@@ -137,18 +145,13 @@ def onboard_tenants(spark: SparkSession, feed: DataFrame, master_table: str, *,
     order = list(order_cols or ["__arrival"])
     rows = feed if order_cols else feed.withColumn("__arrival", F.monotonically_increasing_id())
     # one landing fixes the arrival order and the verdicts before the table grows
-    rows = rows.withColumn("__missing", missing_fields(list(onboard.REQUIRED_FIELDS)))
     path = scratch_path(spark, "onboarding")
     rows.write.parquet(f"{path}/feed")
-    rows = spark.read.parquet(f"{path}/feed")
-    onboard.classify_ids(rows.where("__missing is null"), stored, key, order).write.parquet(f"{path}/status")
-    status = spark.read.parquet(f"{path}/status")
-    new = status.where(F.col("status") == "ok").drop("status", "__arrival", "__missing")
+    onboard.judge_feed(spark.read.parquet(f"{path}/feed"), stored, key, order).write.parquet(f"{path}/judged")
+    judged = spark.read.parquet(f"{path}/judged")
+    new = judged.where("reason is null").drop("reason", "__arrival")
     tables.append(onboard.master_rows(new, as_of=as_of, with_stamps=True), master_table)
-    reasons = F.when(F.col("status") == "exists", F.lit("Existing id")).otherwise(F.lit("Duplicate id"))
-    return (rows.where("__missing is not null")
-            .select(key, F.concat(F.lit("Missing field: "), F.col("__missing")).alias("reason"))
-            .unionByName(status.where(F.col("status") != "ok").select(key, reasons.alias("reason"))))
+    return judged.where("reason is not null").select(key, "reason")
 
 
 def load_tenant_layers(raw: DataFrame, schema: T.StructType, features: Mapping[str, Column],
@@ -161,8 +164,8 @@ def load_tenant_layers(raw: DataFrame, schema: T.StructType, features: Mapping[s
 
     Incremental: bronze keeps every delivery, silver and gold get the batch's
     records that they don't hold yet, so a batch loaded again, or a record
-    delivered again in a later batch, adds nothing to them.  The look-ups join
-    on the bucket too, so only the batch's buckets are read."""
+    delivered again in a later batch, adds nothing to them.  The look-ups filter
+    by the batch's buckets, so other folders are not read."""
     keep = [tenant_col]
     spark = raw.sparkSession
     ident = ["tenant_bucket", tenant_col, "record_id"]
@@ -180,7 +183,9 @@ def load_tenant_layers(raw: DataFrame, schema: T.StructType, features: Mapping[s
         if not tables.table_exists(spark, table):
             return df
         held = tables.read_table(spark, table).select(*ident)
-        return df.join(held, ident, "left_anti").select(*df.columns)
+        # at most TENANT_BUCKETS numbers: as literals they prune the folders read
+        buckets = [r[0] for r in df.select("tenant_bucket").distinct().collect()]
+        return df.join(held.where(F.col("tenant_bucket").isin(buckets)), ident, "left_anti").select(*df.columns)
 
     landed = medallion.bronze(raw, as_of=as_of, with_stamp=True, keep_cols=keep)
     landed.write.parquet(f"{path}/batch")

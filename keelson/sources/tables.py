@@ -195,14 +195,17 @@ def write_snapshot(spark: SparkSession, df: DataFrame, table_dir: str, version:
 
 
 def snapshot_manifest(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(os.path.join(table_dir, "_manifest"))
-    except AnalysisException:
-        return None
+    """The manifest, or None before the first commit; other errors rise."""
+    path = os.path.join(table_dir, "_manifest")
+    return spark.read.parquet(path) if table_exists(spark, path) else None
 
 
 def latest_snapshot(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
-    """Newest committed snapshot (optionally the newest older than ``before``)."""
+    """Newest committed snapshot (optionally the newest older than ``before``).
+    A state kept as deltas is folded to its newest rows."""
+    if table_exists(spark, os.path.join(table_dir, "_about")):
+        from keelson.sources.deltas import DeltaLog
+        return DeltaLog.open(spark, table_dir).latest(before)
     man = snapshot_manifest(spark, table_dir)
     if man is None:
         return None

@@ -11,13 +11,15 @@ import os
 
 from pyspark.sql import functions as F
 
+from keelson.operators import partials
 from keelson.plans import fixtures as fx
 from keelson.plans.queries import T, query
 from keelson.session import scratch_path
+from keelson.sources.deltas import DeltaLog
 from keelson.streaming import jobs
 
 
-def _land_payloads(spark, d, root, copies=1):
+def _land_payloads(spark, d, root):
     pay = fx.payload_table(T(spark, d, "events"))
     landing = os.path.join(root, "landing")
     pay.write.mode("overwrite").parquet(os.path.join(landing, "copy=0"))
@@ -51,7 +53,7 @@ def q_stream_dedup(spark, d):
     pay = fx.payload_table(T(spark, d, "events"))
     pay.write.mode("overwrite").parquet(os.path.join(landing, "copy=1"))
     out = _drain_flatten(spark, root, schema, landing, dedup=True)
-    return spark.read.parquet(out)
+    return jobs.flattened(spark, out)
 
 
 @query("stream_dedup_exact")
@@ -74,7 +76,28 @@ def q_stream_dedup_exact(spark, d):
     drain()
     pay.repartition(2).write.parquet(os.path.join(landing, "copy=1"))
     drain()
-    return spark.read.parquet(out)
+    return jobs.flattened(spark, out)
+
+
+LATE_SLICES = [("2024-01-08", "2024-01-15"), ("2024-01-01", "2024-01-08"), ("2024-01-15", "2024-01-22"),
+               ("2024-01-12", "2024-01-22"), ("2024-01-22", "2099-01-01")]
+
+
+@query("stream_late_rows")
+def q_stream_late_rows(spark, d):
+    """Payload files land out of time order, one with requests delivered before:
+    every row of a batch is on time, repeated or late."""
+    root = scratch_path(spark, "stream_late")
+    pay = fx.payload_table(T(spark, d, "events"))
+    landing, out = os.path.join(root, "landing"), os.path.join(root, "out")
+    for i, (first, end) in enumerate(LATE_SLICES):
+        t = F.col("request_time")
+        part = pay.where((t >= F.lit(first).cast("timestamp")) & (t < F.lit(end).cast("timestamp")))
+        part.coalesce(1).write.parquet(os.path.join(landing, f"slice={i}"))
+    jobs.run(jobs.flatten_stream(spark, landing, pay.schema, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out,
+                                 os.path.join(root, "ck"), dedup_key="request_id", watermark="2 days",
+                                 model_name="events-model", passthrough=["request_id"], max_files_per_trigger=1))
+    return jobs.batch_counts(spark, out)
 
 
 @query("stream_window")
@@ -83,9 +106,9 @@ def q_stream_window(spark, d):
     ev = T(spark, d, "events")
     src = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     mon = fx.monitoring_table(src)
-    out, ck = os.path.join(root, "out"), os.path.join(root, "ck")
-    jobs.run(jobs.profile_stream(mon, out, ck, feature_cols=["value"], complete=True))
-    return spark.read.parquet(out)
+    state, ck = os.path.join(root, "state"), os.path.join(root, "ck")
+    jobs.run(jobs.profile_state_stream(mon, state, ck, feature_cols=["value"]))
+    return partials.profile_of(partials.read_profile(DeltaLog(spark, state, ["day"]), ["value"]), ["value"])
 
 
 @query("stream_onboard")
