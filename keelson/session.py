@@ -77,6 +77,16 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder whose data has been used up.  Only folders that
+    ``scratch_path`` names are deleted."""
+    root = os.path.join(checkpoint_dir(spark), "keelson") + "/"
+    if not path.startswith(root) or not path[len(root):].strip("/.") or ".." in path[len(root):]:
+        raise ValueError(f"not a scratch folder: {path}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local
     on a cluster)."""
