@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from keelson.functions.columns import epoch_ms
 
 __all__ = [
-    "flatten_payload", "prediction_fallback", "stage_counts", "parse_payload",
+    "flatten_payload", "prediction_fallback", "stage_counts", "parse_payload", "parse_records",
     "window_profile", "window_drift",
 ]
 
@@ -29,6 +29,48 @@ def parse_payload(payload: DataFrame, request_schema: T.StructType, response_sch
             .withColumn("parsed_response", F.from_json(F.col(response_col), response_schema)))
 
 
+def parse_records(payload: DataFrame, fields: Sequence[tuple[str, str]], *, keep: Sequence[str] = (),
+                  records_field: str = "dataframe_records", predictions_field: str = "predictions",
+                  request_col: str = "request", response_col: str = "response") -> tuple[DataFrame, DataFrame]:
+    """Typed records and those that don't fit: (good, rejected).
+
+    JSON is parsed once into variants, so a number in a string or a prediction
+    like ``1.0`` is read as what it means, and one bad field costs its record, not
+    the request.  ``good`` has ``keep``, pos, the fields and prediction (null where
+    there is none); ``rejected`` has ``keep``, pos, reason and the record as text.  A
+    request that is no JSON or has no list of records is one rejected row with a null
+    pos.  Every record is in one of the two; an empty list has none."""
+    request, response = F.try_parse_json(request_col), F.try_parse_json(response_col)
+    parsed = payload.select(*keep, F.col(request_col).alias("__text"), request.alias("__request"),
+                            F.try_variant_get(response, f"$.{predictions_field}", "array<variant>").alias("__predictions"))
+    parsed = parsed.withColumn("__records", F.try_variant_get("__request", f"$.{records_field}", "array<variant>"))
+    broken = parsed.where(F.col("__records").isNull()).select(
+        *keep, F.lit(None).cast("int").alias("pos"),
+        F.when(F.col("__request").isNull(), F.lit("request is not JSON")).otherwise(F.lit("no list of records")).alias("reason"),
+        F.col("__text").alias("record"))
+    rows = parsed.select(*keep, "__predictions", F.posexplode("__records").alias("pos", "__record"))
+    typed = {name: F.try_variant_get("__record", f"$.{name}", kind) for name, kind in fields}
+    given = {name: F.try_variant_get("__record", f"$.{name}", "variant") for name, _ in fields}
+    score = F.get("__predictions", F.col("pos"))
+    number = F.try_variant_get(score, "$", "double")
+    rows = rows.withColumns({f"__t_{n}": c for n, c in typed.items()} | {f"__g_{n}": c for n, c in given.items()}
+                            | {"__score": score, "__number": number})
+
+    def there(c: Column) -> Column:
+        return c.isNotNull() & ~F.is_variant_null(c)
+
+    reason = F.when(~F.coalesce(F.schema_of_variant("__record").startswith("OBJECT"), F.lit(False)), F.lit("record is not an object"))
+    for name, kind in fields:
+        reason = reason.when(there(F.col(f"__g_{name}")) & F.col(f"__t_{name}").isNull(), F.lit(f"{name} is not {kind}"))
+    whole = F.col("__number").cast("int") == F.col("__number")
+    reason = reason.when(there(F.col("__score")) & ~F.coalesce(whole, F.lit(False)), F.lit("prediction is not a whole number"))
+    judged = rows.withColumn("reason", reason)
+    good = judged.where("reason is null").select(*keep, "pos", *[F.col(f"__t_{n}").alias(n) for n, _ in fields],
+                                                 F.col("__number").cast("int").alias("prediction"))
+    bad = judged.where("reason is not null").select(*keep, "pos", "reason", F.to_json("__record").alias("record"))
+    return good, bad.unionByName(broken)
+
+
 def flatten_payload(payload: DataFrame, request_schema: T.StructType, response_schema: T.StructType,
                     *, records_field: str = "dataframe_records", predictions_field: str = "predictions",
                     time_col: str = "request_time", passthrough: Sequence[str] = (),

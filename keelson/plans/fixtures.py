@@ -26,6 +26,8 @@ MODEL_NAME = "doc-quality"
 DEPLOYED_VERSION = "10"
 APPROVAL_BASE_URL = "https://approvals.example.com/approve"
 BASELINE_END = "2024-01-16 00:00:00"
+CHAMPION_CHARS, CANDIDATE_CHARS = 2000, 1500      # rules of the stored and the new model
+TRAINED_CHARS = (4000, 1500, 20000, 1000)         # rules of four runs in turn
 ID_BASE = 1700000000000
 
 
@@ -320,3 +322,52 @@ LANDING_SCHEMA = T.StructType([
     T.StructField("value_cents", T.LongType()),
     T.StructField("k", T.IntegerType()),
 ])
+
+
+# ------------------------------------------------------------ payloads of entities
+
+# --- fixed values: the ten fields of a served record ---
+ENTITY_FIELDS = [("Height", "double"), ("Weight", "double"), ("Universe", "string"), ("Identity", "string"), ("Gender", "string"),
+                 ("Marital_Status", "string"), ("Teams", "string"), ("Origin", "string"), ("Magic", "string"), ("Mutant", "string")]
+# --- end of fixed values ---
+
+
+def entity_payloads(part: DataFrame) -> DataFrame:
+    """Requests of at most 50 entities: all ten fields, with numbers in strings,
+    double predictions, and records, requests and responses that are broken."""
+    raw = entity_raw(part)
+    key, name = F.col("PageID"), F.col("p_name")
+    raw = raw.join(part.select(F.col("p_partkey").alias("PageID"), "p_name"), "PageID")
+    texts = F.to_json(F.struct(
+        "Universe", "Identity", "Gender", F.col("Marital Status").alias("Marital_Status"), "Teams", "Origin",
+        F.when(F.contains(name, F.lit("ring")), "True").otherwise("False").alias("Magic"),
+        F.when(F.contains(name, F.lit("anvil")), "True").otherwise("False").alias("Mutant")), {"ignoreNullFields": "false"})
+    height = F.col("Height (m)").cast("string")
+    height = F.when(key % 13 == 0, F.lit('"tall"')).when(key % 11 == 0, F.concat(F.lit('"'), height, F.lit('"'))).otherwise(height)
+    weight = F.when(key % 29 == 0, F.lit("[1]")).otherwise(F.col("Weight (kg)").cast("string"))
+    record = F.when(key % 17 == 0, F.lit("5")).otherwise(F.concat(
+        F.lit('{"Height":'), height, F.lit(',"Weight":'), weight, F.lit(","), F.substring(texts, F.lit(2), F.length(texts))))
+    score = F.when(key % 19 == 0, F.lit("0.5")).when(key % 23 == 0, F.lit('"1"')).otherwise(F.concat((key % 2).cast("string"), F.lit(".0")))
+    rows = raw.select(key.alias("id"), F.floor(key / 50).alias("g"), record.alias("record"), score.alias("score"))
+    req = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "record", "score"))).alias("r"))   # at most 50
+
+    def listed(field: str) -> Column:
+        return F.array_join(F.transform("r", lambda x: x[field]), ",")
+
+    request = F.concat(F.lit('{"dataframe_records":['), listed("record"), F.when(F.col("g") % 7 == 6, F.lit("")).otherwise(F.lit("]}")))
+    response = F.concat(F.lit('{"predictions":['), listed("score"), F.when(F.col("g") % 5 == 4, F.lit("")).otherwise(F.lit("]}")))
+    return req.select(F.concat(F.lit("req-"), F.col("g").cast("string")).alias("request_id"), request.alias("request"),
+                      response.alias("response"))
+
+
+# ------------------------------------------------------------------ lineage
+
+def lineage_tables(orders: DataFrame, customer: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs (an order priority each) that read customers' tables, and a graph of
+    derivations over customers with diamonds and cycles."""
+    inputs = orders.where(F.col("o_orderkey") % 200 == 0).select(F.col("o_orderpriority").alias("run_id"), F.col("o_custkey").alias("node"))
+    key = F.col("c_custkey")
+    half = customer.where(key > 1).select(key.alias("node"), F.floor(key / 2).alias("source"))
+    third = customer.where(key % 3 == 0).select(key.alias("node"), (key / 3).cast("long").alias("source"))
+    back = customer.where(key % 8 == 0).select((key / 8).cast("long").alias("node"), key.alias("source"))
+    return inputs, half.unionByName(third).unionByName(back)

@@ -259,7 +259,7 @@ SELECT c.model_name, c.window_start, c.n_rows, pr.n_rows AS prev_n_rows, c.mean_
        round(c.pos_rate, 6) AS pos_rate, round(pr.pos_rate, 6) AS prev_pos_rate,
        round(c.pos_rate - pr.pos_rate, 6) AS pos_rate_shift
 FROM cur c LEFT JOIN cur pr ON pr.model_name = c.model_name AND pr.window_start + INTERVAL 30 MINUTE = c.window_start"""
-    q.update(refresh_sql(q["window_profile"]))
+    q.update(refresh_sql(q["window_profile"], ENTITY))
     q["drift_psi"] = f"""WITH {BINNED}
 SELECT model_name, any_value(nb) AS n_baseline, any_value(nc) AS n_current,
        round(sum((q - p) * ln(q / p)), 6) AS psi FROM j GROUP BY model_name"""
@@ -401,6 +401,7 @@ SELECT {cols}, 'insert' AS change_type FROM new WHERE c_custkey NOT IN (SELECT c
 UNION ALL SELECT {cols}, 'delete' FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM new)
 UNION ALL SELECT {ocols}, 'update_preimage' FROM old o JOIN new n ON o.c_custkey = n.c_custkey WHERE {diff}
 UNION ALL SELECT {ncols}, 'update_postimage' FROM old o JOIN new n ON o.c_custkey = n.c_custkey WHERE {diff}"""
+    q["change_feed_digests"] = q["change_feed"]
 
     # ---- B7 split
     q["split_assign"] = f"""WITH {SPLIT}

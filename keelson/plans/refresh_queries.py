@@ -6,13 +6,18 @@ replayed) and reads it back; the SQL oracle computes the same in one pass.
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.operators import partials
+from keelson.operators import champion, digests, lineage, monitor, partials, pipeline
 from keelson.plans import fixtures as fx
+from keelson.plans import workflows
 from keelson.plans.queries import T, query
-from keelson.session import scratch_path
+from keelson.session import landed, scratch_path
+from keelson.sources import tables
 from keelson.sources.deltas import DeltaLog
 
 FEATURE = "value"
@@ -61,3 +66,122 @@ def q_window_drift_sketched(spark, d):
     windows = _refreshed(spark, d)
     return partials.sketch_distances(windows, partials.previous_windows(windows, FEATURE), FEATURE, by_window=True,
                                      reference_k=partials.SKETCH_K).select("model_name", "window_start", "n_values", "n_reference", "psi", "ks")
+
+
+# ------------------------------------------------------------------ change feed
+
+@query("change_feed_digests")
+def q_change_feed_digests(spark, d):
+    """The feed of ``change_feed``, from two stored snapshots and their digests."""
+    root = scratch_path(spark, "digested")
+    for name, side in zip(("old", "new"), fx.snapshot_pair(T(spark, d, "customer"))):
+        digests.write_digested(side, f"{root}/{name}", ["c_custkey"])
+    return digests.digested_change_feed(spark, f"{root}/old", f"{root}/new", ["c_custkey"])
+
+
+@query("snapshot_digests")
+def q_snapshot_digests(spark, d):
+    """Rows per differing bucket of ids, a hundred to a bucket, where a range of ids changed."""
+    root = scratch_path(spark, "digested")
+    old = T(spark, d, "customer").select("c_custkey", "c_acctbal")
+    new = old.withColumn("c_acctbal", F.when(F.col("c_custkey").between(10, 120), F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    bucket = F.floor(F.col("c_custkey") / 100)
+    for name, side in (("old", old), ("new", new)):
+        digests.write_digested(side, f"{root}/{name}", ["c_custkey"], bucket=bucket)
+    differ = digests.differing_buckets(spark, f"{root}/old", f"{root}/new")
+    rows = spark.read.parquet(f"{root}/new/rows").where(F.col(digests.BUCKET).isin(differ))
+    return rows.groupBy(F.col(digests.BUCKET).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ------------------------------------------------------- stored models and gates
+
+def _rule(minimum: int) -> PipelineModel:
+    """A stored model whose scores SQL can restate: long documents are good."""
+    return PipelineModel([SQLTransformer(statement=f"SELECT *, CAST(n_chars >= {minimum} AS INT) AS prediction FROM __THIS__")])
+
+
+def _evaluation(spark, d) -> DataFrame:
+    docs = T(spark, d, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"))
+    return docs.join(T(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+@query("gate_rescored")
+def q_gate_rescored(spark, d):
+    """A candidate against the stored model behind the alias, on the same rows."""
+    root, rows = scratch_path(spark, "models"), landed(_evaluation(spark, d), "evaluation")
+    pipeline.save_model(_rule(fx.CHAMPION_CHARS), champion.model_path(root, fx.MODEL_NAME, 3), rows, ["n_chars"])
+    aliases = spark.createDataFrame([(fx.MODEL_NAME, "latest-model", "3")], "model_name string, alias string, version string")
+    return champion.gate_rescored(spark, _rule(fx.CANDIDATE_CHARS), rows, models_dir=root, model_name=fx.MODEL_NAME, aliases=aliases,
+                                  id_col="doc_id", label_col="label", input_cols=["n_chars"])
+
+
+def _trained(spark, d):
+    """Four candidates in turn through the registration job."""
+    root, rows = scratch_path(spark, "training"), landed(_evaluation(spark, d), "evaluation")
+    store = workflows.ModelStore.at(root)
+    store.create(spark)
+    tables.control_set(spark, store.control, True, as_of=F.lit("2024-01-01").cast("timestamp"))
+    for k, minimum in enumerate(fx.TRAINED_CHARS):
+        workflows.register_candidate(
+            spark, store, _rule(minimum), rows, run_id=f"run-{k}", model_name=fx.MODEL_NAME, id_col="doc_id", label_col="label",
+            input_cols=["n_chars"], params={"minimum": minimum}, inputs=[("documents", k, "training"), ("labels", k, "evaluation")],
+            as_of=F.lit(fx.BASELINE_END).cast("timestamp") + F.expr(f"INTERVAL {k} DAYS"))
+    tables.control_set(spark, store.control, False, as_of=F.lit("2024-02-01").cast("timestamp"))   # as deployment does
+    return store
+
+
+@query("train_register_runs")
+def q_train_register_runs(spark, d):
+    """Every run with its metric and, where it beat the champion of its day, its version."""
+    store = _trained(spark, d)
+    runs, versions = tables.read_table(spark, store.runs), tables.read_table(spark, store.versions)
+    return (runs.select("run_id", F.element_at("metrics", F.lit("f1_score")).cast("double").alias("f1"))
+            .join(versions.select("run_id", F.col("version").cast("int").alias("version")), "run_id", "left")
+            .select("run_id", F.round("f1", 6).alias("f1"), "version"))
+
+
+@query("run_lineage")
+def q_run_lineage(spark, d):
+    """What the runs of the registration job read, and the control flag after them."""
+    store = _trained(spark, d)
+    flag = tables.control_get(spark, store.control).select(F.col("allow_training").alias("training_allowed"))
+    inputs = tables.read_table(spark, store.inputs)
+    return inputs.join(F.broadcast(flag)).select("run_id", "table_name", "version", "context", "training_allowed")
+
+
+@query("pipeline_codes")
+def q_pipeline_codes(spark, d):
+    """A pipeline of category codes and assembly: fitted, stored, loaded, applied."""
+    docs = T(spark, d, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"))
+    stages = [pipeline.CategoryCodes(inputCols=["lang"], outputCols=["lang_code"]),
+              VectorAssembler(inputCols=["lang_code", "n_chars"], outputCol="features", handleInvalid="keep")]
+    path = scratch_path(spark, "pipeline")
+    pipeline.save_model(Pipeline(stages=stages).fit(docs.where("lang <> 'en'")), path, docs, ["lang", "n_chars"])
+    out = pipeline.score(*pipeline.load_model(spark, path), docs)
+    features = vector_to_array("features")
+    return out.select("doc_id", F.col("lang_code").cast("int").alias("lang_code"), features[0].alias("first"), features[1].alias("second"))
+
+
+# ------------------------------------------------------------------ lineage
+
+@query("lineage_closure")
+def q_lineage_closure(spark, d):
+    """All tables a run depends on; the derivations of the fixture have cycles."""
+    inputs, derived = fx.lineage_tables(T(spark, d, "orders"), T(spark, d, "customer"))
+    return lineage.ancestors(inputs, derived)
+
+
+# ------------------------------------------------------------------ typed parse
+
+@query("payload_typed")
+def q_payload_typed(spark, d):
+    """All ten record fields, numbers in strings and double predictions read as numbers."""
+    good, _ = monitor.parse_records(fx.entity_payloads(T(spark, d, "part")), fx.ENTITY_FIELDS, keep=["request_id"])
+    return good.select("request_id", "pos", *[c for c, _ in fx.ENTITY_FIELDS], "prediction")
+
+
+@query("payload_rejects")
+def q_payload_rejects(spark, d):
+    """Records that don't fit, with the reason."""
+    _, bad = monitor.parse_records(fx.entity_payloads(T(spark, d, "part")), fx.ENTITY_FIELDS, keep=["request_id"])
+    return bad.select("request_id", "pos", "reason")

@@ -3,6 +3,9 @@ raw rows (sketches of this size are exact)."""
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 # windows w, reference r (by model, or by model and window); per value of a
 # window its cumulative share there and in the reference, at and just below it
 DISTANCES = """
@@ -65,9 +68,75 @@ SELECT s.batch::BIGINT AS batch, count(n.batch) AS n_input, count(*) FILTER (NOT
 FROM slices s LEFT JOIN numbered n USING (batch) GROUP BY s.batch"""
 
 
-def refresh_sql(profile: str) -> dict[str, str]:
-    """``profile`` is the one-pass window profile."""
-    q = {"window_profile_refreshes": profile}
+SNAPSHOT_DIGESTS = """SELECT c_custkey // 100 AS bucket, count(*) AS n_rows FROM customer
+WHERE c_custkey // 100 IN (SELECT c_custkey // 100 FROM customer WHERE c_custkey BETWEEN 10 AND 120) GROUP BY 1"""
+
+POISSON_STEPS = "[" + ", ".join(
+    repr(s) + "::DOUBLE" for s in accumulate(math.exp(-1.0) / math.factorial(k) for k in range(12))) + "]"
+
+GATE_RESCORED = f"""WITH e AS (SELECT doc_id, quality = 1 AS y, n_chars >= 1500 AS said_new, n_chars >= 2000 AS said_old
+                               FROM documents JOIN labels USING (doc_id)),
+w AS (SELECT e.*, r, CASE WHEN r = 0 THEN 1 ELSE len(list_filter({POISSON_STEPS}, lambda s: s <=
+        ('0x' || substr(md5(doc_id::VARCHAR || '|' || r::VARCHAR || '#42w'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)) END AS n
+      FROM e, range(51) t(r)),
+s AS (SELECT r, sum(n) FILTER (y AND said_new) AS tn, sum(n) FILTER (y <> said_new) AS fn,
+             sum(n) FILTER (y AND said_old) AS t_o, sum(n) FILTER (y <> said_old) AS fo FROM w GROUP BY r),
+f AS (SELECT r, coalesce(2.0::DOUBLE * tn / nullif(2 * tn + coalesce(fn, 0), 0), 0) AS new,
+             coalesce(2.0::DOUBLE * t_o / nullif(2 * t_o + coalesce(fo, 0), 0), 0) AS old FROM s),
+g AS (SELECT round(max(new) FILTER (r = 0), 6) AS new_f1, round(max(old) FILTER (r = 0), 6) AS old_f1,
+             round(quantile_cont(new - old, 0.05) FILTER (r > 0), 6) AS diff_low,
+             round(quantile_cont(new - old, 0.95) FILTER (r > 0), 6) AS diff_high FROM f)
+SELECT 'doc-quality' AS model_name, '3' AS champion_version, new_f1, old_f1, diff_low, diff_high, new_f1 >= old_f1 AS improved,
+       NULL::VARCHAR AS reason FROM g"""
+
+TRAIN_REGISTER = """WITH RECURSIVE rules(k, least) AS (VALUES (0, 4000), (1, 1500), (2, 20000), (3, 1000)),
+c AS (SELECT k, count(*) FILTER (quality = 1 AND n_chars >= least) AS tp, count(*) FILTER ((quality = 1) <> (n_chars >= least)) AS wrong
+      FROM documents JOIN labels USING (doc_id), rules GROUP BY k),
+f AS (SELECT k, round(CASE WHEN 2 * tp + wrong > 0 THEN 2.0::DOUBLE * tp / (2 * tp + wrong) ELSE 0 END, 6) AS f1 FROM c),
+walk AS (SELECT k, f1 AS best, 1 AS version, true AS registered FROM f WHERE k = 0
+         UNION ALL SELECT f.k, greatest(f.f1, best), version + CAST(f.f1 >= best AS INTEGER), f.f1 >= best
+         FROM walk JOIN f ON f.k = walk.k + 1)
+SELECT 'run-' || k AS run_id, f1, CASE WHEN registered THEN version END AS version FROM walk JOIN f USING (k)"""
+
+RUN_LINEAGE = """SELECT 'run-' || k AS run_id, t AS table_name, k::VARCHAR AS version, c AS context, false AS training_allowed
+FROM range(4) r(k), (VALUES ('documents', 'training'), ('labels', 'evaluation')) v(t, c)"""
+
+PIPELINE_CODES = """WITH m AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS code
+                               FROM (SELECT DISTINCT lang FROM documents WHERE lang <> 'en'))
+SELECT doc_id, coalesce(code, -1)::INTEGER AS lang_code, coalesce(code, -1)::DOUBLE AS first, n_chars::DOUBLE AS second
+FROM documents LEFT JOIN m USING (lang)"""
+
+LINEAGE_CLOSURE = """WITH RECURSIVE i AS (SELECT DISTINCT o_orderpriority AS run_id, o_custkey AS node FROM orders WHERE o_orderkey % 200 = 0),
+d AS (SELECT c_custkey AS node, c_custkey // 2 AS source FROM customer WHERE c_custkey > 1
+      UNION SELECT c_custkey, c_custkey // 3 FROM customer WHERE c_custkey % 3 = 0
+      UNION SELECT c_custkey // 8, c_custkey FROM customer WHERE c_custkey % 8 = 0),
+reach AS (SELECT run_id, node, 0 AS distance FROM i
+          UNION SELECT run_id, source, distance + 1 FROM reach JOIN d USING (node) WHERE distance < 40)
+SELECT run_id, node, min(distance) AS distance FROM reach GROUP BY run_id, node"""
+
+TYPED = """rec AS (SELECT *, PageID AS id, PageID // 50 AS g, CAST(row_number() OVER (PARTITION BY PageID // 50 ORDER BY PageID) - 1 AS INTEGER) AS pos
+               FROM entity JOIN (SELECT p_partkey AS PageID, p_name FROM part) USING (PageID)),
+judged AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'record is not an object' WHEN id % 13 = 0 THEN 'Height is not double'
+                          WHEN id % 29 = 0 THEN 'Weight is not double'
+                          WHEN g % 5 <> 4 AND id % 19 = 0 THEN 'prediction is not a whole number' END AS reason
+           FROM rec WHERE g % 7 <> 6)"""
+
+PAYLOAD_TYPED = """SELECT 'req-' || g AS request_id, pos, "Height (m)" AS Height, "Weight (kg)" AS Weight, Universe, Identity, Gender,
+       "Marital Status" AS Marital_Status, Teams, Origin, CASE WHEN contains(p_name, 'ring') THEN 'True' ELSE 'False' END AS Magic,
+       CASE WHEN contains(p_name, 'anvil') THEN 'True' ELSE 'False' END AS Mutant,
+       CASE WHEN g % 5 <> 4 THEN CASE WHEN id % 23 = 0 THEN 1 ELSE CAST(id % 2 AS INTEGER) END END AS prediction
+FROM judged WHERE reason IS NULL"""
+
+PAYLOAD_REJECTS = """SELECT 'req-' || g AS request_id, pos, reason FROM judged WHERE reason IS NOT NULL
+UNION ALL SELECT DISTINCT 'req-' || g, NULL::INTEGER, 'request is not JSON' FROM rec WHERE g % 7 = 6"""
+
+
+def refresh_sql(profile: str, entity: str) -> dict[str, str]:
+    """``profile`` is the one-pass window profile, ``entity`` the raw entity rows."""
+    q = {"window_profile_refreshes": profile, "snapshot_digests": SNAPSHOT_DIGESTS, "gate_rescored": GATE_RESCORED,
+         "train_register_runs": TRAIN_REGISTER, "run_lineage": RUN_LINEAGE, "pipeline_codes": PIPELINE_CODES,
+         "lineage_closure": LINEAGE_CLOSURE, "payload_typed": f"WITH {entity}, {TYPED}\n{PAYLOAD_TYPED}",
+         "payload_rejects": f"WITH {entity}, {TYPED}\n{PAYLOAD_REJECTS}"}
     base = BASELINE + """SELECT s.model_name, s.window_start, s.n_values, coalesce(rn.n_r, 0)::BIGINT AS n_reference, {cols}
 FROM sizes s LEFT JOIN rn USING (model_name) LEFT JOIN psi USING (model_name, window_start) LEFT JOIN ks USING (model_name, window_start)"""
     q["window_psi"] = base.format(cols="round(psi, 6) AS psi, round(psi, 6) AS psi_low, round(psi, 6) AS psi_high")

@@ -15,18 +15,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.operators import (
-    encode, medallion, metrics, monitor, onboard, prep, registry, split, train,
+    champion, encode, medallion, metrics, monitor, onboard, pipeline, prep, registry, split, train,
 )
 from keelson.session import scratch_path
 from keelson.sources import tables
 
-__all__ = ["prepare_training_data", "refresh_monitoring", "train_and_register",
+__all__ = ["prepare_training_data", "refresh_monitoring", "train_and_register", "ModelStore", "register_candidate",
            "deployment_decision", "onboard_tenants", "load_tenant_layers"]
 
 
@@ -123,6 +125,75 @@ def train_and_register(spark: SparkSession, train_df: DataFrame, test_df: DataFr
     return model, gate
 
 
+@dataclass(frozen=True)
+class ModelStore:
+    """Where runs, versions, aliases, input lineage, the control flag and the
+    models themselves are kept."""
+
+    runs: str
+    versions: str
+    aliases: str
+    inputs: str
+    control: str
+    models: str
+
+    @classmethod
+    def at(cls, root: str) -> ModelStore:
+        return cls(*(f"{root}/{name}" for name in ("model_runs", "model_versions", "model_aliases", "run_inputs", "training_control", "models")))
+
+    def create(self, spark: SparkSession) -> None:
+        """The tables, empty, where they don't exist yet."""
+        for name, schema in ((self.runs, tables.RUNS_SCHEMA), (self.versions, tables.VERSIONS_SCHEMA),
+                             (self.aliases, tables.ALIASES_SCHEMA), (self.inputs, tables.INPUTS_SCHEMA), (self.control, tables.CONTROL_SCHEMA)):
+            if not tables.table_exists(spark, name):
+                tables.append(spark.createDataFrame([], schema), name)
+
+
+def register_candidate(spark: SparkSession, store: ModelStore, model: PipelineModel, evaluation: DataFrame, *, run_id: str,
+                       model_name: str, id_col: str, label_col: str, input_cols: Sequence[str],
+                       params: Mapping[str, object] | None = None, inputs: Sequence[tuple[str, int | str, str]] = (),
+                       as_of: Column | None = None) -> DataFrame | None:
+    """A fitted pipeline through the registration job: run and input lineage are
+    logged, the champion is scored on the same rows, and a candidate that holds up
+    is stored with its signature, versioned and put behind the alias.
+
+    Returns the gate row, or None (nothing done) while the control flag forbids
+    training; without a control row training is allowed.  The model is stored before
+    its version and alias are, so an alias never names a missing model."""
+    store.create(spark)
+    allowed = tables.control_get(spark, store.control).first()["allow_training"]
+    if allowed is False:
+        return None
+    stamp = as_of if as_of is not None else F.current_timestamp()
+    path = scratch_path(spark, "candidate")
+    evaluation.select(*dict.fromkeys([id_col, label_col, *input_cols])).write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    gate = champion.gate_rescored(spark, model, rows, models_dir=store.models, model_name=model_name,
+                                  aliases=tables.read_table(spark, store.aliases), id_col=id_col, label_col=label_col,
+                                  input_cols=input_cols)
+    gate.write.parquet(f"{path}/gate")
+    gate = spark.read.parquet(f"{path}/gate")
+    scored = model.transform(rows).withColumn("prediction", F.col("prediction").cast("int"))
+    m = metrics.classification_metrics(scored, label_col, "prediction", decimals=None).select(
+        "accuracy", "precision", "recall", F.col("f1").alias("f1_score"))
+    tables.log_run(spark, store.runs, run_id, params or {}, m, start_time=stamp)
+    if inputs:
+        tables.record_inputs(spark, store.inputs, run_id, inputs)
+    if gate.first()["improved"]:
+        new = spark.range(1).select(F.lit(run_id).alias("run_id"), stamp.alias("start_time"), F.lit(model_name).alias("model_name"))
+        held = tables.read_table(spark, store.versions)
+        numbered = registry.register_versions(held, new).first()
+        if numbered is not None:                          # a run is registered once
+            version = str(numbered["version"])
+            pipeline.save_model(model, champion.model_path(store.models, model_name, version), rows, input_cols)
+            row = spark.range(1).select(F.lit(model_name).alias("model_name"), F.lit(version).alias("version"), F.lit(run_id).alias("run_id"),
+                                        F.lit(tables.schema_json(rows, list(input_cols))).alias("schema_json"), stamp.alias("created_at"))
+            tables.append(row, store.versions)
+            tables.append(row.select("model_name", F.lit(registry.DEFAULT_ALIAS).alias("alias"), "version",
+                                     F.col("created_at").alias("updated_at")), store.aliases)
+    return gate
+
+
 def deployment_decision(candidates: DataFrame, runs: DataFrame, versions: DataFrame, aliases: DataFrame,
                         ledger: DataFrame, **gate_kw) -> DataFrame:
     g = registry.gate_decision(candidates, runs, versions, aliases, **gate_kw)

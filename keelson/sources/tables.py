@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 __all__ = [
     "read_table", "table_exists", "scan_csv", "read_json_feed", "stamp", "save_overwrite", "save_split", "append",
     "insert_row", "ensure_schema", "ensure_table", "provision_layers", "control_set", "control_get",
+    "ensure_control_tables", "request_approvals", "active_tenants",
     "require_columns", "write_snapshot", "latest_snapshot", "snapshot_manifest", "log_run",
     "record_inputs", "schema_json", "check_signature", "LAYER_DDL", "TENANT_BUCKETS", "tenant_bucket",
     "tenant_rows",
@@ -113,9 +114,8 @@ def ensure_table(spark: SparkSession, name: str, columns_ddl: str, *, using: str
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns_ddl}) USING {using}{part}")
 
 
-# Layer contracts of the tenant tables (column lists as in the original DDL)
-# plus the tenant key and its hash bucket, so all tenants share one table per
-# layer.
+# --- fixed values: column lists as in the original DDL, plus the tenant key and
+# its hash bucket, so all tenants share one table per layer ---
 LAYER_DDL = {
     "bronze_raw": "source_file STRING, raw_payload STRING, ingest_ts TIMESTAMP, customer_id STRING, "
                   "tenant_bucket INT",
@@ -124,6 +124,7 @@ LAYER_DDL = {
     "gold_features": "record_id STRING, feature_1 DOUBLE, feature_2 DOUBLE, label INT, train_ts TIMESTAMP, customer_id STRING, "
                      "tenant_bucket INT",
 }
+# --- end of fixed values ---
 TENANT_BUCKETS = 64
 
 
@@ -156,6 +157,12 @@ def provision_layers(spark: SparkSession, database: str) -> list[str]:
     return names
 
 
+def active_tenants(customers: DataFrame) -> DataFrame:
+    """(customer_id, schema_name) of the tenants that are provisioned: null flags
+    are not active."""
+    return customers.where(F.col("is_active")).select("customer_id", "schema_name")
+
+
 def control_set(spark: SparkSession, table: str, allow: bool, as_of: Column | None = None) -> None:
     """Set the training flag: append a new state row (latest wins on read)."""
     df = spark.range(1).select(F.lit(bool(allow)).alias("allow_training"),
@@ -223,6 +230,35 @@ RUNS_SCHEMA = ("run_id STRING, start_time TIMESTAMP, params MAP<STRING, STRING>,
                "metrics MAP<STRING, STRING>, tags MAP<STRING, STRING>")
 
 
+VERSIONS_SCHEMA = "model_name STRING, version STRING, run_id STRING, schema_json STRING, created_at TIMESTAMP"
+ALIASES_SCHEMA = "model_name STRING, alias STRING, version STRING, updated_at TIMESTAMP"
+INPUTS_SCHEMA = "run_id STRING, table_name STRING, version STRING, context STRING"
+# --- fixed values: column lists of the original control and approval tables ---
+CONTROL_SCHEMA = "allow_training BOOLEAN, updated_on TIMESTAMP"
+APPROVALS_SCHEMA = "run_id STRING, model_name STRING, model_version STRING, status STRING, requested_on TIMESTAMP"
+# --- end of fixed values ---
+
+
+def ensure_control_tables(spark: SparkSession, database: str) -> list[str]:
+    """The training-control and approval-request tables, created once."""
+    ensure_schema(spark, database)
+    names = []
+    for table, ddl in (("training_control", CONTROL_SCHEMA), ("model_approvals", APPROVALS_SCHEMA)):
+        ensure_table(spark, f"{database}.{table}", ddl)
+        names.append(f"{database}.{table}")
+    return names
+
+
+def request_approvals(spark: SparkSession, table: str, candidates: DataFrame, as_of: Column | None = None) -> None:
+    """A PENDING row per candidate (run_id, model_name, model_version) that has none yet."""
+    stamp_ = as_of if as_of is not None else F.current_timestamp()
+    key = ["run_id", "model_name", "model_version"]
+    new = candidates.select(*[F.col(c).cast("string").alias(c) for c in key]).distinct()
+    if table_exists(spark, table):
+        new = new.join(read_table(spark, table).select(*key), key, "left_anti")
+    append(new.select(*key, F.lit("PENDING").alias("status"), stamp_.alias("requested_on")), table)
+
+
 def log_run(spark: SparkSession, table: str, run_id: str, params: Mapping[str, object],
             metrics: DataFrame | Mapping[str, float], tags: Mapping[str, str] | None = None,
             start_time: Column | None = None) -> None:
