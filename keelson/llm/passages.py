@@ -17,9 +17,10 @@ MIN_WORDS words or more is a shared passage.
 Plan: the text lies packed in blocks (a bucketed table).  Seeds travel as one
 row per (block, bucket) with one entry per distinct seed of the block, so a hot
 seed is one entry per block; the first occurrences come back the same way.
-Chains carry their own words; the words of a source are read once per source
-document and joined to its chains, an ordinary equi-join that adaptive
-execution splits for a hot source.  Nothing is collected on the driver.
+Chains carry their own words and CONTEXT words on either side, as far as an
+alignment may extend; the words of a source are read once per source document
+and joined to its chains, an ordinary equi-join that adaptive execution splits for
+a hot source, and cut to each chain's window there.  Nothing is collected on the driver.
 
 Edge cases: null, empty or short texts (fewer than K + WINDOW - 1 words) have no
 seeds; of rows that repeat a doc_id the one packed first is the source; a null
@@ -54,12 +55,12 @@ GAP_COST = 0.05        # per word skipped in either text
 MAX_GAP = 60           # chains break at wider gaps
 MATCH, MISMATCH, DROP = 1, -2, 6
 SHARE = 0.8            # equal words of a piece and of a passage, at least
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 CONTEXT = 40           # words around a chain that the alignment may extend into
 
 REPLY_SCHEMA = "block_id long, bucket int, reply binary"
 CHAIN_SCHEMA = ("src_block long, src_nth int, src_doc long, doc_id long, block_id long, nth int, md5 string, "
-                "anchors binary, first int, words binary")
+                "anchors binary, first int, words binary, src_from int, src_to int")
 PIECE_SCHEMA = ("doc_id long, block_id long, nth int, md5 string, start int, end int, src_doc long, src_start int, "
                 "same binary")
 PASSAGE_SCHEMA = ("doc_id long, block_id long, nth int, md5 string, start_word int, n_words int, src_doc_id long, "
@@ -218,8 +219,9 @@ def chain_matches(pos: np.ndarray, src: np.ndarray, weight: int = K, gap_cost: f
 
 def _chain_batches(buckets: int) -> Callable:
     fields = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(),
-              pa.int32(), pa.binary()]
-    names = ["src_block", "src_nth", "src_doc", "doc_id", "block_id", "nth", "md5", "anchors", "first", "words"]
+              pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+    names = ["src_block", "src_nth", "src_doc", "doc_id", "block_id", "nth", "md5", "anchors", "first", "words",
+             "src_from", "src_to"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,7 +265,8 @@ def _block_chains(block: Block, block_id: int, replies: list[dict] | None, bucke
             a = max(0, chain[0][0] - CONTEXT)
             z = min(count, chain[-1][0] + K + CONTEXT)
             yield (int(b[lo]), int(n[lo]), int(d[lo]), int(block.ids[nth]), block_id, nth, digests[nth],
-                   np.array(chain, "<i4").tobytes(), a, short[base + a:base + z].tobytes())
+                   np.array(chain, "<i4").tobytes(), a, short[base + a:base + z].tobytes(),
+                   max(0, chain[0][1] - CONTEXT), chain[-1][1] + K + CONTEXT)
 
 
 # ------------------------------------------------------------------ alignment
@@ -348,7 +351,7 @@ def align_chain(anchors: np.ndarray, words: np.ndarray, first: int,
                 src: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
     """(start, end, source start, equal words as flags) of the parts of a
     chain's alignment that pay; words are those of the document from ``first``
-    on, src all of the source's."""
+    on, src the source's; anchors count src from its first word."""
     p, s = anchors[:, 0] - first, anchors[:, 1]
     start, src_start = int(p[0]), int(s[0])
     at, src_at = start, src_start
@@ -388,21 +391,81 @@ def _source_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 names=["src_block", "src_nth", "src_words"])
 
 
+def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a column of packed words, and where each row's begin."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, "<i4")[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, "<u4", count=int(at[-1]) // 4) if data is not None else np.zeros(0, "<u4"), at // 4
+
+
+def _extensions(same: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Length of the best ungapped extension of every row (see _extend), on
+    flags of equal words and of words that both sides have."""
+    score = np.cumsum(np.where(same, MATCH, MISMATCH), axis=1)
+    peak = np.maximum.accumulate(np.maximum(score, 0), axis=1)
+    open_ = there & (np.cumsum(peak - score >= DROP, axis=1) == 0)
+    score = np.where(open_, score, np.iinfo(score.dtype).min)
+    best = score.argmax(axis=1)
+    return np.where(score[np.arange(len(score)), best] > 0, best + 1, 0)
+
+
+def _one_seed_pieces(p: np.ndarray, s: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, src: np.ndarray,
+                     src_lo: np.ndarray, src_hi: np.ndarray) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(row, start, end, source start, equal words) of the pieces of chains of one
+    match: word p of the row's words [lo, hi) is word s of its source's [src_lo,
+    src_hi).  Most chains are such; they are extended all at once."""
+    step = np.arange(CONTEXT)
+
+    def beside(at: np.ndarray, src_at: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+        i, j = at[:, None] + sign * step, src_at[:, None] + sign * step
+        there = (i >= lo[:, None]) & (i < hi[:, None]) & (j >= src_lo[:, None]) & (j < src_hi[:, None])
+        return there & (words[np.where(there, i, 0)] == src[np.where(there, j, 0)]), there
+
+    right, left = beside(p + K, s + K, 1), beside(p - 1, s - 1, -1)
+    n_right, n_left = _extensions(*right), _extensions(*left)
+    size = n_left + K + n_right
+    wrong = ((~right[0] & (step < n_right[:, None])).sum(axis=1) + (~left[0] & (step < n_left[:, None])).sum(axis=1))
+    for row in np.flatnonzero(size >= MIN_PIECE).tolist():
+        a, n = int(n_left[row]), int(size[row])
+        start, src_start = int(p[row]) - a, int(s[row]) - a
+        if not wrong[row]:
+            yield row, start, start + n, src_start, np.ones(n, dtype=bool)
+            continue
+        same = np.concatenate([left[0][row, :a][::-1], np.ones(K, dtype=bool), right[0][row, :int(n_right[row])]])
+        for x, y in paying_parts(same):
+            yield row, start + x, start + y, src_start + x, same[x:y]
+
+
 def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
     names = ["doc_id", "block_id", "nth", "md5", "start", "end", "src_doc", "src_start", "same"]
     for batch in batches:
-        out = []
-        for doc_id, block_id, nth, md5, src_doc, anchors, first, words, src in zip(
-                *(batch.column(i).to_pylist() for i in range(9))):
-            for start, end, src_start, same in align_chain(
-                    np.frombuffer(anchors, "<i4").reshape(-1, 2), np.frombuffer(words, "<u4"), first,
-                    np.frombuffer(src, "<u4")):
-                if end - start >= MIN_PIECE:
-                    out.append((doc_id, block_id, nth, md5, start, end, src_doc, src_start, np.packbits(same).tobytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)],
-                                             names=names)
+        if not batch.num_rows:
+            continue
+        (anchors, a_at), (words, w_at), (src, s_at) = (_words_of(batch.column(k)) for k in (5, 7, 8))
+        anchors = anchors.view("<i4").reshape(-1, 2).astype(np.int64)
+        a_at = a_at // 2
+        first, src_from = np.asarray(batch.column(6)).astype(np.int64), np.asarray(batch.column(9)).astype(np.int64)
+        one = np.flatnonzero(np.diff(a_at) == 1)
+        found = []                                       # row, start, end, source start, equal words
+        for at in range(0, len(one), 4096):
+            rows = one[at:at + 4096]
+            to_word, to_src = w_at[rows] - first[rows], s_at[rows] - src_from[rows]
+            seed = anchors[a_at[rows]]
+            for i, start, end, src_start, same in _one_seed_pieces(seed[:, 0] + to_word, seed[:, 1] + to_src, words, w_at[rows],
+                                                                   w_at[rows + 1], src, s_at[rows], s_at[rows + 1]):
+                found.append((int(rows[i]), start - int(to_word[i]), end - int(to_word[i]), src_start - int(to_src[i]), same))
+        for row in np.flatnonzero(np.diff(a_at) > 1).tolist():
+            moved = anchors[a_at[row]:a_at[row + 1]] - np.array([0, src_from[row]])
+            found += [(row, start, end, src_start + int(src_from[row]), same) for start, end, src_start, same in align_chain(
+                moved, words[w_at[row]:w_at[row + 1]], int(first[row]), src[s_at[row]:s_at[row + 1]])]
+        found = [f for f in found if f[2] - f[1] >= MIN_PIECE]
+        if found:
+            taken = batch.take(pa.array([f[0] for f in found], pa.int64()))
+            cols = [taken.column(k) for k in range(4)]
+            cols += [pa.array([f[1] for f in found], kinds[4]), pa.array([f[2] for f in found], kinds[5]), taken.column(4),
+                     pa.array([f[3] for f in found], kinds[7]), pa.array([np.packbits(f[4]).tobytes() for f in found], kinds[8])]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def _merge_batches(min_words: int) -> Callable:
@@ -483,7 +546,9 @@ def _packed_passages(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: i
     sources = (blocks.join(wanted.hint("shuffle_hash"), "block_id").select(*body, "wanted")
                .mapInArrow(_source_batches, "src_block long, src_nth int, src_words binary"))
     pieces = (chains.join(sources, ["src_block", "src_nth"])
-              .select("doc_id", "block_id", "nth", "md5", "src_doc", "anchors", "first", "words", "src_words")
+              .select("doc_id", "block_id", "nth", "md5", "src_doc", "anchors", "first", "words",
+                      F.substring("src_words", 4 * F.col("src_from") + 1, 4 * (F.col("src_to") - F.col("src_from"))).alias("src_words"),
+                      "src_from")
               .mapInArrow(_align_batches, PIECE_SCHEMA))
     return (pieces.repartition("block_id", "nth").sortWithinPartitions("block_id", "nth", "start", "end", "src_doc", "src_start")
             .mapInArrow(_merge_batches(min_words), PASSAGE_SCHEMA))
