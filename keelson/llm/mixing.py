@@ -15,8 +15,8 @@ key, so no source makes a hot partition.
 
 Edge cases: a null source is a source of its own; null or empty text has size
 0 and is drawn like the rest of its source; a source of size 0 or without a
-weight has rate 0, and its documents get no copy; repeated rows (same doc_id)
-draw alike; an empty table gives an empty result; further columns are carried
+weight has rate 0, and its documents get no copy; rows of one doc_id
+draw alike, and so do rows without a doc_id that have the same text; an empty table gives an empty result; further columns are carried
 along (``copy`` and ``shuffle_key`` of the result win over clashing names).
 """
 
@@ -88,14 +88,15 @@ def replicate_to_weights(docs: DataFrame, weights: DataFrame | None = None, sour
     spark = docs.sparkSession
     path = scratch_path(spark, "mixing")
     sizes = source_sizes(docs, source_col)
-    sizes.coalesce(1).write.parquet(f"{path}/sizes")
+    sizes.write.parquet(f"{path}/sizes")
     sizes = spark.read.parquet(f"{path}/sizes")
     rates = repetition_rates(sizes, weights if weights is not None else tempered_weights(sizes, alpha), epochs)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN)).cast("int")
     (rates.select("mix_source", parts.alias("mix_parts"), poisson_cdf(F.col("rate") / parts).alias("mix_cdf"))
-     .coalesce(1).write.parquet(f"{path}/cdf"))
+     .write.parquet(f"{path}/cdf"))
     cdf = spark.read.parquet(f"{path}/cdf")
-    key = F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
+    # without a doc_id the text tells documents apart
+    key = F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit("")))))
     draws = F.transform(F.sequence(F.lit(1), F.col("mix_parts")),
                         lambda i: uniform01(F.concat(key, F.lit("|"), i.cast("string")), f"#{seed}"))
     drawn = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("mix_cdf", lambda c: c <= u)))
