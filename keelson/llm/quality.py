@@ -1,8 +1,8 @@
 """Quality rules (op 8): cross-document line frequency.
 
 A line that stands in very many distinct documents of one host is boilerplate
-(navigation, licence, consent notices).  Lines are normalised (ASCII lower
-case, white space folded) and hashed; for each host the documents that hold a
+(navigation, licence, consent notices).  Lines are normalised (lower case,
+white space folded) and hashed; for each host the documents that hold a
 line are counted, one per distinct text, so a copied document does not make its
 own lines look like boilerplate.  Lines above the limit are removed and a
 document that loses too much of itself is rejected.
@@ -148,7 +148,7 @@ def judge_documents(docs: DataFrame, host_col: str = "source", min_docs: int = M
     folder = scratch_path(spark, "quality")
     document_lines(docs, host_col).write.parquet(f"{folder}/lines")
     lines = spark.read.parquet(f"{folder}/lines")
-    frequent_lines(lines, min_docs, host_share).coalesce(1).write.parquet(f"{folder}/frequent")
+    frequent_lines(lines, min_docs, host_share).write.parquet(f"{folder}/frequent")
     frequent = spark.read.parquet(f"{folder}/frequent")
     base = base_counts(docs, host_col)
     removed = (lines.join(frequent, ["host", "line"])
