@@ -38,6 +38,7 @@ __all__ = ["held_out", "training_sample", "count_contexts", "PpmModel", "fit", "
 MAX_ORDER = 4
 SAMPLE_DOCS = 1200          # documents per language
 SAMPLE_BYTES = 2_000_000    # bytes per language
+SALTS = 256                 # tasks that pick the sample of one language
 UNKNOWN = "und"
 SLICE = 2 << 20
 
@@ -57,8 +58,12 @@ def training_sample(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_bytes: int
                        F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     ids = rows.select("lang", "doc_id", F.octet_length("text").alias("size"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
-    picked = ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= max_docs)
+    # the first of every salt before the first of all, so no task sorts a whole language
+    order = [F.xxhash64("doc_id"), "doc_id", "size"]
+    salted = ids.withColumn("salt", F.pmod(F.xxhash64("size", "doc_id"), F.lit(SALTS)))
+    some = (salted.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order)))
+            .where(F.col("nth") <= max_docs).drop("salt", "nth"))
+    picked = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= max_docs)
     before = F.sum("size").over(Window.partitionBy("lang").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
     picked = picked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max_bytes)
     # bounded: at most max_docs ids per language
