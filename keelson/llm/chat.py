@@ -202,7 +202,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from the formatted turns alone: turns and loss text
     recovered and digested."""
     tokens = F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"])
-    return (formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    inner = F.substring("formatted", F.lit(len(OPEN) + 1), F.length("formatted") - len(OPEN) - len(CLOSE) - 1)
+    role = F.substring_index(inner, "\n", 1)
+    plain = [F.regexp_replace(c, r"(?s)\\(.)", "$1") for c in (role, F.substring(inner, F.length(role) + 2, F.length("formatted")))]
+    return (formatted.withColumns({"by_role": plain[0], "by_text": plain[1]})
+            .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "by_role", "by_text")
             .select("conv_id", "formatted", "mask_start", "mask_end",
                     F.size("attachments").cast("long").alias("n"), tokens.alias("tokens"))
             .mapInArrow(_read_batches, CONV_SCHEMA))
