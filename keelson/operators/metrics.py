@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.operators.ordered import running_totals
+from keelson.session import landed
 
 __all__ = [
     "value_counts", "value_freqs", "distinct_count", "numeric_profile", "confusion_counts",
-    "classification_metrics", "confusion_matrix", "roc_auc", "split_counts", "log_loss",
+    "classification_metrics", "confusion_matrix", "roc_auc", "split_counts", "log_loss", "evaluation_bundle",
 ]
 
 
@@ -118,3 +119,44 @@ def log_loss(df: DataFrame, label_col: str = "label", prob_col: str = "probabili
     ll = F.avg(term)
     return df.where(F.col(prob_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("n"), (F.round(ll, decimals) if decimals is not None else ll).alias("log_loss"))
+
+
+def evaluation_bundle(df: DataFrame, label_col: str = "label", pred_col: str = "prediction", score_col: str = "score",
+                      prob_col: str = "probability", group_cols: Sequence[str] = (), *, eps: float = 1e-15,
+                      decimals: int = 6) -> DataFrame:
+    """accuracy, precision, recall, f1_score, roc_auc and log_loss per group, from
+    one pass over the scored rows: they are reduced to counts per (group, label,
+    prediction, score, probability) and landed; everything else reads the counts.
+
+    A metric whose denominator is 0 is 0; AUC needs rows of both labels and
+    log-loss rows with a label and a probability, else they are null."""
+    g = list(group_cols)
+    counts = landed(df.groupBy(*g, F.col(label_col).alias("__y"), F.col(pred_col).alias("__p"), F.col(score_col).alias("__s"),
+                               F.col(prob_col).cast("double").alias("__q")).agg(F.count(F.lit(1)).alias("__n")), "scored_counts")
+    n, y, p = F.col("__n"), F.col("__y") == 1, F.col("__p") == 1
+    clipped = F.least(F.greatest(F.col("__q"), F.lit(eps)), F.lit(1 - eps))
+    known = F.col("__q").isNotNull() & F.col("__y").isNotNull()
+    label = F.col("__y").cast("double")
+    term = -(label * F.log(clipped) + (1.0 - label) * F.log(1.0 - clipped))
+
+    def total(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+
+    sums = counts.groupBy(*g).agg(total(y & p).alias("tp"), total(~y & p).alias("fp"), total(y & ~p).alias("fn"), total(~y & ~p).alias("tn"),
+                                  F.sum(F.when(known, n * term)).alias("__loss"), F.sum(F.when(known, n)).alias("__known"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    sums = sums.select(*g, F.round(_safe_div(tp + tn, tp + fp + fn + tn), decimals).alias("accuracy"),
+                       F.round(_safe_div(tp, tp + fp), decimals).alias("precision"), F.round(_safe_div(tp, tp + fn), decimals).alias("recall"),
+                       F.round(_safe_div(2 * tp, 2 * tp + fp + fn), decimals).alias("f1_score"),
+                       F.round(F.col("__loss") / F.col("__known"), decimals).alias("log_loss"))
+    per_score = (counts.where(F.col("__s").isNotNull() & F.col("__y").isin(0, 1)).groupBy(*g, "__s")
+                 .agg(total(F.col("__y") == 1).alias("pos"), total(F.col("__y") == 0).alias("neg")))
+    cum = running_totals(per_score, ["__s"], ["neg"], g)
+    u = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") * 0.5))
+    pairs = F.sum("pos") * F.sum("neg")
+    auc = cum.groupBy(*g).agg(F.round(F.when(pairs > 0, u / pairs), decimals).alias("roc_auc"))
+    if not g:
+        return sums.join(F.broadcast(auc))               # one row each
+    a = auc.select(*[F.col(c).alias(f"__{c}") for c in g], "roc_auc")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in g]
+    return sums.join(a, same, "left").select(*sums.columns, "roc_auc")

@@ -3,8 +3,8 @@
 ``sum(x) OVER (ORDER BY v)`` with no PARTITION BY runs in a single task; a
 per-group window puts a hot group in one task.  Instead:
 
-1. range-partition the rows on (group, order key) and land them once, each with
-   the number of its range.  Spark samples the whole key, so long shared
+1. range-partition the rows on (group, order key) and land them, each with the
+   number of its range.  Spark samples the whole key, so long shared
    prefixes, outliers and hot groups still spread; the number of ranges follows
    the number of rows;
 2. running sum inside each (range, group) -- a window over a bounded slice;
@@ -33,21 +33,23 @@ ROWS_PER_RANGE = 250_000
 
 def running_totals(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
                    group_cols: Sequence[str] = (), *, buckets: int | None = None, prefix: str = "cum_",
-                   keep_bucket: bool = False) -> DataFrame:
+                   keep_bucket: bool = False, stored: bool = False) -> DataFrame:
     """Adds ``prefix + c`` = inclusive running sum of ``c`` for each ``sum_cols``.
 
     ``order_cols`` must order rows totally within a group (ties would be
     summed in an arbitrary order).  A null group key is a group of its own.
     ``buckets`` asks for so many ranges in the largest group; by default a
-    range holds about ROWS_PER_RANGE rows."""
+    range holds about ROWS_PER_RANGE rows.  ``df`` is read three times (to count,
+    to sample and to deal out), so it is landed first unless it is ``stored``."""
     order_cols, sum_cols, group_cols = list(order_cols), list(sum_cols), list(group_cols)
     spark = df.sparkSession
     path = scratch_path(spark, "running_totals")
     # one non-null column names the group, so joins on it keep null keys
     name = (F.to_json(F.struct(*group_cols), {"ignoreNullFields": "false"}) if group_cols else F.lit(""))
     rows = df.withColumn("__group", name)
-    rows.write.parquet(f"{path}/rows")
-    rows = spark.read.parquet(f"{path}/rows")
+    if not stored:
+        rows.write.parquet(f"{path}/rows")
+        rows = spark.read.parquet(f"{path}/rows")
     if buckets is None:
         ranges = math.ceil(rows.count() / ROWS_PER_RANGE)
     else:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.operators import encode, metrics, split, train
 from keelson.plans.queries import T, query
+from keelson.session import scratch_path
 
 
 def _labeled(spark, d):
@@ -15,15 +16,25 @@ def _labeled(spark, d):
     return docs.join(T(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def _fit(spark, d):
+    """The model, fitted once per session and table folder and then loaded, and
+    the encoded rows."""
+    from pyspark.ml.classification import GBTClassificationModel
     lab = _labeled(spark, d)
     s = split.assign_split(lab, "doc_id", 0.2, 42)
     tr = s.where((F.col("split") == "train") & F.col("quality").isNotNull())
     codes = encode.fit_category_map(tr, "lang")
     enc = encode.apply_category_map(s, "lang", codes).withColumn("lang_code", F.col("lang_code").cast("double"))
     known = enc.where((F.col("split") == "train") & F.col("quality").isNotNull())
-    model = train.fit_gbt(known, ["lang_code", "n_chars"], "quality")   # 200 trees of depth 6
-    return model, enc
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        model, path = train.fit_gbt(known, ["lang_code", "n_chars"], "quality"), scratch_path(spark, "gbt")   # 200 trees of depth 6
+        model.write().save(path)
+        _STORED[key] = path
+    return GBTClassificationModel.load(_STORED[key]), enc
 
 
 @query("gbt_scores")

@@ -259,7 +259,7 @@ SELECT c.model_name, c.window_start, c.n_rows, pr.n_rows AS prev_n_rows, c.mean_
        round(c.pos_rate, 6) AS pos_rate, round(pr.pos_rate, 6) AS prev_pos_rate,
        round(c.pos_rate - pr.pos_rate, 6) AS pos_rate_shift
 FROM cur c LEFT JOIN cur pr ON pr.model_name = c.model_name AND pr.window_start + INTERVAL 30 MINUTE = c.window_start"""
-    q.update(refresh_sql(q["window_profile"], ENTITY))
+    q.update(refresh_sql(q["window_profile"], ENTITY, SCORED, FEED))
     q["drift_psi"] = f"""WITH {BINNED}
 SELECT model_name, any_value(nb) AS n_baseline, any_value(nc) AS n_current,
        round(sum((q - p) * ln(q / p)), 6) AS psi FROM j GROUP BY model_name"""
@@ -533,6 +533,7 @@ FROM u JOIN iv pr ON pr.col = 'p' AND up >= pr.lo AND up < pr.hi JOIN iv st ON s
     # ---- streaming (results equal the batch operators)
     q["stream_flatten"] = f"WITH {PAYLOAD}\nSELECT {FLAT_POS_COLS} FROM recs"
     q["stream_dedup"] = q["stream_flatten"]
+    q["monitoring_refresh_all_null"] = f"WITH {PAYLOAD}\nSELECT {FLAT_POS_COLS}, pos FROM recs WHERE user_id % 10 < 2"
     q["stream_dedup_exact"] = q["stream_flatten"]
     q["stream_window"] = q["window_profile"]
     q["stream_late_rows"] = f"WITH {PAYLOAD},\npay AS (SELECT DISTINCT request_id, request_time FROM recs),{LATE_ROWS}"
@@ -542,4 +543,5 @@ SELECT customer_id, customer_name, schema_name, cloud_provider, data_path, coale
 FROM feed"""
     q["stream_approvals"] = f"""WITH {SCORED}, {LEDGER}
 SELECT run_id, approved_flag, updated_on, seq FROM lastled"""
+    q["stream_approvals_csv"] = q["stream_approvals"]
     return q

@@ -272,13 +272,9 @@ def q_auc_rank(spark, d):
 
 @query("eval_bundle")
 def q_eval_bundle(spark, d):
-    """Evaluation bundle per run: threshold metrics + AUC + log-loss."""
+    """Evaluation bundle per run: threshold metrics + AUC + log-loss, in one pass."""
     sc = _scored(spark, d).withColumn("probability", F.col("score") / (F.col("score") + F.lit(2000.0)))
-    cm = metrics.classification_metrics(sc, group_cols=["run_id"]).select(
-        "run_id", "accuracy", "precision", "recall", F.col("f1").alias("f1_score"))
-    auc = metrics.roc_auc(sc, group_cols=["run_id"]).select("run_id", F.col("auc").alias("roc_auc"))
-    ll = metrics.log_loss(sc, "label", "probability", ["run_id"]).select("run_id", "log_loss")
-    return cm.join(auc, "run_id", "left").join(ll, "run_id", "left")
+    return metrics.evaluation_bundle(sc, group_cols=["run_id"])
 
 
 @query("log_loss")

@@ -144,9 +144,8 @@ def q_train_register_runs(spark, d):
 def q_run_lineage(spark, d):
     """What the runs of the registration job read, and the control flag after them."""
     store = _trained(spark, d)
-    flag = tables.control_get(spark, store.control).select(F.col("allow_training").alias("training_allowed"))
-    inputs = tables.read_table(spark, store.inputs)
-    return inputs.join(F.broadcast(flag)).select("run_id", "table_name", "version", "context", "training_allowed")
+    flag = tables.control_get(spark, store.control).select("allow_training").scalar()
+    return tables.read_table(spark, store.inputs).select("run_id", "table_name", "version", "context", flag.alias("training_allowed"))
 
 
 @query("pipeline_codes")
@@ -185,3 +184,64 @@ def q_payload_rejects(spark, d):
     """Records that don't fit, with the reason."""
     _, bad = monitor.parse_records(fx.entity_payloads(T(spark, d, "part")), fx.ENTITY_FIELDS, keep=["request_id"])
     return bad.select("request_id", "pos", "reason")
+
+
+# ------------------------------------------------------- tables written and read back
+
+STAMP = "2024-03-01 00:00:00"
+
+
+@query("control_flag")
+def q_control_flag(spark, d):
+    """Every click and error as a control row; the latest decides."""
+    table = scratch_path(spark, "training_control")
+    events = T(spark, d, "events").where(F.col("event_type").isin("click", "error"))
+    at = fx.as_utc_timestamp("ts", "timestamp_ntz") + F.make_interval(secs=F.col("event_id") / F.lit(1000000.0))
+    tables.append(events.select((F.col("event_type") == "click").alias("allow_training"), at.alias("updated_on")), table)
+    tables.control_set(spark, table, False, as_of=F.lit("2000-01-01").cast("timestamp"))     # older than all
+    return tables.control_get(spark, table).select("allow_training")
+
+
+@query("approval_requests")
+def q_approval_requests(spark, d):
+    """Candidates asked for twice: one pending row each."""
+    table, runs = scratch_path(spark, "model_approvals"), fx.model_runs(fx.scored_docs(T(spark, d, "documents"), T(spark, d, "labels")))
+    cands = landed(fx.candidates(runs).withColumnRenamed("candidate_run_id", "run_id"), "candidates")
+    for part in (cands.where(F.col("model_version").cast("int") % 2 == 0), cands):
+        tables.request_approvals(spark, table, part, as_of=F.lit(STAMP).cast("timestamp"))
+    return tables.read_table(spark, table)
+
+
+@query("run_log")
+def q_run_log(spark, d):
+    """Every run's metrics logged in one write and read back from the map."""
+    from keelson.operators.metrics import classification_metrics
+    table = scratch_path(spark, "model_runs")
+    m = classification_metrics(fx.scored_docs(T(spark, d, "documents"), T(spark, d, "labels")), group_cols=["run_id"])
+    tables.log_runs(spark, table, m, ["accuracy", "precision", "recall", "f1"], {"max_depth": 6}, F.lit(STAMP).cast("timestamp"))
+    got = tables.read_table(spark, table)
+    return got.select("run_id", "start_time", F.element_at("params", F.lit("max_depth")).alias("max_depth"),
+                      *[F.element_at("metrics", F.lit(c)).cast("double").alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@query("tenant_provisioning")
+def q_tenant_provisioning(spark, d):
+    """The layer tables that active tenants find, after provisioning twice."""
+    root = scratch_path(spark, "tenants")
+    database = root.rsplit("/", 1)[1].replace("-", "_")
+    for _ in range(2):
+        names = tables.provision_layers(spark, database, root)
+    made = [n.split(".")[1] for n in names if spark.catalog.tableExists(n)]
+    layers = F.explode(F.array(*[F.lit(n) for n in made])).alias("layer")
+    active = tables.active_tenants(fx.tenant_feed(T(spark, d, "customer")))
+    return active.select("customer_id", "schema_name", layers)
+
+
+@query("monitoring_refresh_all_null")
+def q_monitoring_refresh_all_null(spark, d):
+    """A refresh without a single prediction keeps every record."""
+    table = scratch_path(spark, "model_monitoring")
+    pay = fx.payload_table(T(spark, d, "events").where(F.col("user_id") % 10 < 2))
+    workflows.refresh_monitoring(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, table, model_name="events-model",
+                                 passthrough=["request_id", "execution_duration_ms"])
+    return spark.read.parquet(table)

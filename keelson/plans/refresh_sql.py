@@ -131,12 +131,28 @@ PAYLOAD_REJECTS = """SELECT 'req-' || g AS request_id, pos, reason FROM judged W
 UNION ALL SELECT DISTINCT 'req-' || g, NULL::INTEGER, 'request is not JSON' FROM rec WHERE g % 7 = 6"""
 
 
-def refresh_sql(profile: str, entity: str) -> dict[str, str]:
-    """``profile`` is the one-pass window profile, ``entity`` the raw entity rows."""
+CONTROL_FLAG = """SELECT arg_max(event_type = 'click', ts + to_microseconds(event_id)) AS allow_training
+FROM events WHERE event_type IN ('click', 'error')"""
+
+APPROVAL_REQUESTS = """SELECT run_id, 'doc-quality' AS model_name, CAST(version_num AS VARCHAR) AS model_version, 'PENDING' AS status,
+       TIMESTAMP '2024-03-01 00:00:00' AS requested_on FROM mt WHERE version_num <> 10"""
+
+RUN_LOG = """SELECT run_id, TIMESTAMP '2024-03-01 00:00:00' AS start_time, '6' AS max_depth, round(accuracy, 6) AS accuracy,
+       round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1 FROM mt"""
+
+PROVISIONING = """SELECT customer_id, schema_name, layer FROM feed, (VALUES ('bronze_raw'), ('silver_clean'), ('gold_features')) v(layer)
+WHERE is_active"""
+
+
+def refresh_sql(profile: str, entity: str, scored: str, feed: str) -> dict[str, str]:
+    """``profile`` is the one-pass window profile; the others are the fixtures of
+    raw entities, scored runs and the tenant feed."""
     q = {"window_profile_refreshes": profile, "snapshot_digests": SNAPSHOT_DIGESTS, "gate_rescored": GATE_RESCORED,
          "train_register_runs": TRAIN_REGISTER, "run_lineage": RUN_LINEAGE, "pipeline_codes": PIPELINE_CODES,
          "lineage_closure": LINEAGE_CLOSURE, "payload_typed": f"WITH {entity}, {TYPED}\n{PAYLOAD_TYPED}",
-         "payload_rejects": f"WITH {entity}, {TYPED}\n{PAYLOAD_REJECTS}"}
+         "payload_rejects": f"WITH {entity}, {TYPED}\n{PAYLOAD_REJECTS}", "control_flag": CONTROL_FLAG,
+         "approval_requests": f"WITH {scored}\n{APPROVAL_REQUESTS}", "run_log": f"WITH {scored}\n{RUN_LOG}",
+         "tenant_provisioning": f"WITH {feed}\n{PROVISIONING}"}
     base = BASELINE + """SELECT s.model_name, s.window_start, s.n_values, coalesce(rn.n_r, 0)::BIGINT AS n_reference, {cols}
 FROM sizes s LEFT JOIN rn USING (model_name) LEFT JOIN psi USING (model_name, window_start) LEFT JOIN ks USING (model_name, window_start)"""
     q["window_psi"] = base.format(cols="round(psi, 6) AS psi, round(psi, 6) AS psi_low, round(psi, 6) AS psi_high")

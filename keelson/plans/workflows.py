@@ -43,6 +43,21 @@ def prepare_training_data(spark: SparkSession, raw: DataFrame, spec: prep.PrepSp
     tables.save_split(tr, te, train_table, test_table, as_of)
 
 
+def stored_in_span(held: DataFrame, payload: DataFrame, time_col: str = "request_time") -> DataFrame:
+    """Stored records that a batch of payloads may deliver again: a record has its
+    request's time, so the batch's time span, as literals, skips row groups of the
+    table, which is appended in time order."""
+    first, last = payload.agg(F.min(time_col), F.max(time_col)).first()
+    return held.where(F.col("timestamp").isNull() | F.col("timestamp").between(F.lit(first), F.lit(last)))
+
+
+def stored_in_buckets(held: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows in the tenant buckets of a batch: its bucket numbers, at most
+    TENANT_BUCKETS, are literals that prune the folders read."""
+    buckets = [r[0] for r in batch.select("tenant_bucket").distinct().collect()]
+    return held.where(F.col("tenant_bucket").isin(buckets))
+
+
 def refresh_monitoring(payload: DataFrame, request_schema: T.StructType, response_schema: T.StructType,
                        monitoring_table: str, *, model_name: str, align: str = "position",
                        passthrough: Sequence[str] = (), write: bool = True,
@@ -71,10 +86,7 @@ def refresh_monitoring(payload: DataFrame, request_schema: T.StructType, respons
         if tables.table_exists(spark, monitoring_table):
             held = tables.read_table(spark, monitoring_table)
             if "timestamp" in held.columns:
-                # a record delivered again has its request's time: the batch's span skips
-                # row groups of the table, which is appended in time order
-                first, last = payload.agg(F.min("request_time"), F.max("request_time")).first()
-                held = held.where(F.col("timestamp").isNull() | F.col("timestamp").between(first, last))
+                held = stored_in_span(held, payload)
             fresh = fresh.join(held.select(*keys), keys, "left_anti")
         kept = fresh.select(*kept.columns).unionByName(kept.where(~keyed))
     obs = Observation("monitoring_refresh")
@@ -253,10 +265,8 @@ def load_tenant_layers(raw: DataFrame, schema: T.StructType, features: Mapping[s
     def unseen(df: DataFrame, table: str) -> DataFrame:
         if not tables.table_exists(spark, table):
             return df
-        held = tables.read_table(spark, table).select(*ident)
-        # at most TENANT_BUCKETS numbers: as literals they prune the folders read
-        buckets = [r[0] for r in df.select("tenant_bucket").distinct().collect()]
-        return df.join(held.where(F.col("tenant_bucket").isin(buckets)), ident, "left_anti").select(*df.columns)
+        held = stored_in_buckets(tables.read_table(spark, table).select(*ident), df)
+        return df.join(held, ident, "left_anti").select(*df.columns)
 
     landed = medallion.bronze(raw, as_of=as_of, with_stamp=True, keep_cols=keep)
     landed.write.parquet(f"{path}/batch")

@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Defaults a Spark user would set for this workload.  Only applied when the
-# caller builds the session through ``build_session``; an existing session is
-# never reconfigured beyond the time zone (results are defined in UTC).
+# caller builds the session through ``build_session``; of an existing session only
+# the time zone (results are defined in UTC) and an unset size of Arrow batches
+# are set.
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -22,6 +23,9 @@ DEFAULT_CONF = {
 }
 
 
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def build_session(master: str | None = None, app_name: str = "keelson",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
@@ -40,12 +44,14 @@ def build_session(master: str | None = None, app_name: str = "keelson",
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin UTC and make sure a checkpoint folder exists.
+    """Pin UTC, bound Arrow batches and make sure a checkpoint folder exists.
 
     The cluster names its shared folder in ``spark.checkpoint.dir``; we read it
     from the session and only fall back to a local folder when it is unset
     (local tests)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.sparkContext.getConf().get(ARROW_BATCH, None) is None:
+        spark.conf.set(ARROW_BATCH, "16m")    # a task holds a few batches of long texts, in the JVM and in Python
     checkpoint_dir(spark)
     return spark
 

@@ -24,7 +24,7 @@ __all__ = [
     "read_table", "table_exists", "scan_csv", "read_json_feed", "stamp", "save_overwrite", "save_split", "append",
     "insert_row", "ensure_schema", "ensure_table", "provision_layers", "control_set", "control_get",
     "ensure_control_tables", "request_approvals", "active_tenants",
-    "require_columns", "write_snapshot", "latest_snapshot", "snapshot_manifest", "log_run",
+    "require_columns", "write_snapshot", "latest_snapshot", "snapshot_manifest", "log_run", "log_runs",
     "record_inputs", "schema_json", "check_signature", "LAYER_DDL", "TENANT_BUCKETS", "tenant_bucket",
     "tenant_rows",
 ]
@@ -104,8 +104,10 @@ def insert_row(spark: SparkSession, table: str, values: Sequence, schema: T.Stru
     append(spark.createDataFrame([tuple(values)], schema), table)
 
 
-def ensure_schema(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}")
+def ensure_schema(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Create the schema once; ``location`` is its folder (by default the warehouse's)."""
+    where = " LOCATION '{}'".format(location.replace("'", "\\'")) if location else ""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}{where}")
 
 
 def ensure_table(spark: SparkSession, name: str, columns_ddl: str, *, using: str = "PARQUET",
@@ -143,12 +145,12 @@ def tenant_rows(df: DataFrame, tenant_id: str, key: str = "customer_id") -> Data
                     & (F.col(key) == tenant_id))
 
 
-def provision_layers(spark: SparkSession, database: str) -> list[str]:
+def provision_layers(spark: SparkSession, database: str, location: str | None = None) -> list[str]:
     """One table per layer for all tenants, partitioned by a bounded hash
     bucket of the tenant id: adding a tenant needs no DDL (the original
     created a schema + 3 tables per tenant in a driver loop), and thousands of
     small tenants do not turn into thousands of tiny folders.  Idempotent."""
-    ensure_schema(spark, database)
+    ensure_schema(spark, database, location)
     names = []
     for table, ddl in LAYER_DDL.items():
         name = f"{database}.{table}"
@@ -282,6 +284,18 @@ def log_run(spark: SparkSession, table: str, run_id: str, params: Mapping[str, o
     append(row, table)
 
 
+def log_runs(spark: SparkSession, table: str, runs: DataFrame, metric_cols: Sequence[str], params: Mapping[str, object],
+             start_time: Column | None = None) -> None:
+    """Append a run row per row of ``runs`` (run_id and metric columns), in one write."""
+    entries = [x for m in metric_cols for x in (F.lit(m), F.col(m).cast("string"))]
+    told = [x for k, v in params.items() for x in (F.lit(k), F.lit(str(v)))]
+    blank = F.create_map().cast("map<string,string>")
+    append(runs.select(F.col("run_id").cast("string").alias("run_id"),
+                       (start_time if start_time is not None else F.current_timestamp()).alias("start_time"),
+                       (F.create_map(*told) if told else blank).alias("params"), F.create_map(*entries).alias("metrics"),
+                       blank.alias("tags")), table)
+
+
 def record_inputs(spark: SparkSession, table: str, run_id: str,
                   inputs: Sequence[tuple[str, int | str, str]]) -> None:
     """Input lineage of a run: (table, version, context) rows."""

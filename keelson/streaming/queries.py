@@ -140,3 +140,18 @@ def q_stream_approvals(spark, d):
         led.where(F.col("seq") % 3 == i).write.mode("overwrite").parquet(os.path.join(led_dir, f"batch={i}"))
         jobs.run(jobs.ledger_stream(spark, led_dir, led.schema, state, ck))
     return jobs.latest_snapshot(spark, state).select("run_id", "approved_flag", "updated_on", "seq")
+
+
+@query("stream_approvals_csv")
+def q_stream_approvals_csv(spark, d):
+    """The ledger as CSV exports with a header, polled by a stream that is started
+    anew for every export: its checkpoint keeps the files read."""
+    root = scratch_path(spark, "stream_approvals")
+    led = fx.approval_ledger(T(spark, d, "events")).drop("action")
+    sheet, state, ck = (os.path.join(root, n) for n in ("sheet", "state", "ck"))
+    for i in range(2):
+        (led.where(F.col("seq") % 2 == i).write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(os.path.join(sheet, f"export={i}")))
+        for _ in range(2):                      # the second poll finds nothing new
+            jobs.run(jobs.ledger_stream(spark, sheet, led.schema, state, ck, fmt="csv"))
+    return jobs.latest_snapshot(spark, state).select("run_id", "approved_flag", "updated_on", "seq")
