@@ -3,8 +3,8 @@
 Documents are encoded and written in ascending doc_id order.  A file row holds
 a block of whole documents as one Re-Pair grammar: frequent pairs of
 neighbouring symbols are replaced by nonterminals, round after round, until no
-pair is frequent enough or the symbols no longer fit 16 bits.  No rule crosses
-the end of a document.  With the rules the block stores the expansion length of
+pair is frequent enough or, where the ids fit 16 bits, its symbols are used
+up; larger ids take symbols of 32 bits.  No rule crosses the end of a document.  With the rules the block stores the expansion length of
 every nonterminal, so a range of ids is decoded by summing lengths and expanding
 only the symbols that cover the range.
 
@@ -41,8 +41,7 @@ __all__ = ["compress", "decompress", "decode_range", "write_token_files", "read_
 
 END_ID = 1
 BLOCK_IDS = 1 << 20
-ROUNDS = 4             # passes of pair replacement over a block
-PAIRS_PER_ROUND = 4096
+PAIRS_PER_ROUND = 16384
 MIN_COUNT = 12         # rarer pairs are not replaced
 MAGIC = b"RPR1"
 _HEAD = "<4s5I"
@@ -52,7 +51,8 @@ BLOCK_SCHEMA = "shard int, block int, n_docs int, n_ids long, doc_ids binary, nu
 
 def _choose(keys: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
     """The most frequent pairs that can be replaced in one pass: no symbol is
-    the left of one and the right of another, and their table slots differ."""
+    the left of one and the right of another (a pair of equal symbols shares its
+    symbol with no other), and their table slots differ."""
     order = np.argsort(-counts, kind="stable")[:limit]
     left: set[int] = set()
     right: set[int] = set()
@@ -60,7 +60,7 @@ def _choose(keys: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
     out = []
     for key, slot in zip(keys[order].tolist(), _slot(keys[order]).tolist()):
         a, b = key >> 32, key & 0xFFFFFFFF
-        if a == b or a in right or b in left or slot in slots:
+        if a in right or b in left or (a == b and a in left) or slot in slots:
             continue
         left.add(a)
         right.add(b)
@@ -73,34 +73,51 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
 
-def compress(ids: np.ndarray, doc_ids_count: np.ndarray, end_id: int = END_ID, rounds: int = ROUNDS,
+def compress(ids: np.ndarray, doc_ids_count: np.ndarray, end_id: int = END_ID, rounds: int | None = None,
              min_count: int = MIN_COUNT) -> bytes:
-    """Re-Pair block of the documents' ids (each document ends with end_id)."""
+    """Re-Pair block of the documents' ids (each document ends with end_id).
+    Rounds go on until no pair is frequent (or for ``rounds``); where ids fit 16
+    bits, nonterminals take the symbols left there and rounds end with them."""
     seq = ids.astype(np.int64)
     first = int(seq.max()) + 1 if len(seq) else 0
-    room = max(0, 65536 - first)
+    room = 65536 - first if first < 65536 else 1 << 31
     rules: list[np.ndarray] = []
     lengths = np.ones(first, dtype=np.int64)
     boundary = np.zeros(len(seq), dtype=bool)   # last id of a document: no pair starts here
     boundary[np.cumsum(doc_ids_count) - 1] = True
-    for _ in range(rounds):
-        if len(seq) < 2 or room <= 0:
-            break
+    done, fresh = 0, 0
+    frequent = np.ones(1 << 16, dtype=bool)     # slots that may hold a frequent pair
+    while len(seq) > 1 and room > 0 and done != rounds:
+        done += 1
         key = (seq[:-1] << 32) | seq[1:]
         key[boundary[:-1]] = -1
-        s = np.sort(key)
+        slot = _slot(key)
+        # counts only fall: a pair without a symbol of the last round that was rare stays rare
+        s = np.sort(key if done == 1 else key[(seq[:-1] >= fresh) | (seq[1:] >= fresh) | frequent[slot]])
+        if not len(s):
+            break
         edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         count = np.diff(np.concatenate([edge, [len(s)]]))
+        same = (s[edge] >> 32) == (s[edge] & 0xFFFFFFFF)
+        count = np.where(same, count // 2, count)         # in a run every other pair is replaced
         often = (count >= min_count) & (s[edge] >= 0)
         chosen = _choose(s[edge][often], count[often], min(PAIRS_PER_ROUND, room))
         if not len(chosen):
             break
+        frequent = np.zeros(1 << 16, dtype=bool)
+        frequent[_slot(s[edge][often])] = True
+        fresh = len(lengths)
         table = np.full(1 << 16, -2, dtype=np.int64)
         symbol = np.zeros(1 << 16, dtype=np.int64)
         table[_slot(chosen)] = chosen
         symbol[_slot(chosen)] = len(lengths) + np.arange(len(chosen))
-        slot = _slot(key)
         hit = np.flatnonzero(table[slot] == key)
+        run = np.flatnonzero((key[hit] >> 32) == (key[hit] & 0xFFFFFFFF))
+        if len(run):                                      # pairs of equal symbols overlap in a run
+            begins = np.ones(len(run), dtype=bool)
+            begins[1:] = (hit[run[1:]] != hit[run[:-1]] + 1) | (key[hit[run[1:]]] != key[hit[run[:-1]]])
+            offset = np.arange(len(run)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+            hit = np.delete(hit, run[offset % 2 == 1])
         seq[hit] = symbol[slot[hit]]
         boundary[hit] = boundary[hit + 1]
         keep = np.ones(len(seq), dtype=bool)
@@ -134,17 +151,29 @@ def _parse(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _expand(seq: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:
+    """The ids of a sequence: each nonterminal in it is expanded once, and the
+    expansions are laid out in one pass."""
+    used, which = np.unique(seq, return_inverse=True)
+    flat, size = _expansions(used, first, rules)
+    start, size = (np.cumsum(size) - size)[which], size[which]
+    ends = np.cumsum(size)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+
+
+def _expansions(seq: np.ndarray, first: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all symbols one after another, ids per symbol)."""
+    owner = np.arange(len(seq))
     while True:
         big = seq >= first
         if not big.any():
-            return seq
+            return seq, np.bincount(owner)
         at = np.cumsum(1 + big) - 1 - big        # where each symbol's expansion begins
         out = np.empty(len(seq) + int(big.sum()), dtype=np.int64)
         out[at[~big]] = seq[~big]
         pair = rules[seq[big] - first]
         out[at[big]] = pair[:, 0]
         out[at[big] + 1] = pair[:, 1]
-        seq = out
+        seq, owner = out, np.repeat(owner, 1 + big)
 
 
 def decompress(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
