@@ -209,6 +209,17 @@ def test_search_counts_repeated_rows_once(spark):
     assert sorted(map(tuple, got.collect())) == brute_search(sorted(set(rows)), 10)
 
 
+def test_search_ignores_columns_of_clashing_names(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=64).tolist(), 7, 7, 7, "x") for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, code long, segment int, query string")
+    codes = search.binary_codes(df, "vec_id", "embedding")
+    held = [(r["id"], r["code"]) for r in codes.collect()]
+    wide = codes.select("*", *[F.lit(9).alias(c) for c in ("segment", "value", "query", "distance", "nth", "bound")])
+    got = search.nearest_codes(wide, wide.where("id % 100 = 0"), k=5)
+    assert sorted(map(tuple, got.collect())) == brute_search(held, 5)
+
+
 def test_search_few_rows_and_projections(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, rng.normal(size=200).tolist()) for i in range(4)], "vec_id long, embedding array<double>")
@@ -283,3 +294,15 @@ def test_jaccard_odd_input(odd_docs, no_docs):
     assert len(ids) == len(set(ids)) and None in ids and 36 not in ids and 30 in ids
     assert jaccard.near_copy_components(odd_docs).count() == odd_docs.count()
     assert jaccard.near_copy_components(no_docs).count() == 0 and jaccard.keep_one_of_each(no_docs).count() == 0
+
+
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    rng = random.Random(21)
+    a, b, c, d = (" ".join(words(rng, 60, 9000)) for _ in range(4))
+    near_a = a + " one more"
+    rows = [(1, a), (1, b), (1, a), (2, near_a), (2, c), (3, near_a), (None, d), (None, d), (None, b), (None, c + " x"),
+            (4, ""), (5, None), (5, None), (6, "")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _kept int").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one_of_each(df).collect()), key=str)
+    # b stays under 1, c under 2, d once; near copies of an earlier id go
+    assert got == sorted([(1, a), (1, b), (2, c), (None, d), (4, ""), (5, None), (6, "")], key=str)

@@ -126,6 +126,32 @@ def test_conversations_read_back(spark):
     assert chat.read_back(chat.format_turns(df.where("conv_id > 100"))).count() == 0
 
 
+def test_rows_of_a_turn_are_read_by_role_and_text(spark):
+    texts = ["ab!", "ab", "ab\\", "<|x", "<a", "", "ab\nc", "ab c"]
+    rows = [(1, 0, "user", t) for t in texts] + [(1, 0, "a", "z"), (1, None, "user", "first")]
+    got = chat.read_back(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+                                           .repartition(3))).first()
+    order = [("user", "first"), ("a", "z")] + [("user", t) for t in sorted(texts)]
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in order).encode()).hexdigest()
+
+
+def test_equal_code_lengths_go_to_one_language_always(spark):
+    """Two languages learnt from the same texts tie on every text; the choice is the same in any partitioning."""
+    text = "la la le le lu lu " * 20
+    rows = [(i, text, ["aa", "bb"][i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [{r["lang_pred"] for r in langid.predict_language(df.repartition(n), langid.fit(df)).collect()} for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 1
+
+
+def test_training_sample_sorts_no_whole_language(spark):
+    df = spark.createDataFrame([(i, "some text", "en") for i in range(3000)], "doc_id long, text string, lang string")
+    sample = langid.training_sample(df, max_docs=1200, max_bytes=1 << 40)
+    assert sample.count() == 1200
+    plan = sample._jdf.queryExecution().toString()
+    assert "salt" in plan
+
+
 def test_parts_column(spark):
     df = spark.createDataFrame([(1, 0, "user", [("image", None, "u.png", 4), ("text", "what?", None, None)])],
                                "conv_id long, turn long, role string, parts " + chat.PARTS_TYPE)
@@ -174,6 +200,27 @@ def test_grammar_compresses():
     assert len(repair.compress(ids, np.array([len(ids)]))) < 2 * len(ids) / 5
 
 
+def test_token_files_with_a_hot_and_a_null_id(spark, tokenizer, tmp_dir):
+    path = tokenizer("word_bpe_49k.json")
+    rows = [(None, f"null {i}") for i in range(30)] + [(7, f"hot {i}") for i in range(60)] + [(i, f"text {i}") for i in range(10, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    repair.write_token_files(df, f"{tmp_dir}/t", path, block_ids=50)
+    got = repair.read_token_files(spark, f"{tmp_dir}/t")
+    assert sorted(map(tuple, got.collect()), key=str) == brute_tokens(Tokenizer.from_file(path), rows)
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    period = rng.permutation(64).astype(np.uint32) + 2
+    for ids, most in ((np.tile(period, 400), 60), (np.full(5000, 7, np.uint32), 30),
+                      (np.tile(np.array([70000, 70001, 5, 9], np.uint32), 2000), 30),          # ids beyond 16 bits
+                      (np.repeat(np.array([3, 4], np.uint32), [999, 1000]), 60)):
+        blob = repair.compress(ids, np.array([len(ids)]))
+        back, _ = repair.decompress(blob)
+        assert (back == ids).all() and len(repair._parse(blob)[4]) <= most
+        assert repair.decode_range(blob, 100, 333).tolist() == ids[100:333].tolist()
+
+
 def brute_tokens(tok, rows):
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):

@@ -4,6 +4,7 @@ from collections import Counter
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from keelson.llm import mixing, quality
 from keelson.llm.textops import TextSlice, word_windows
@@ -122,3 +123,20 @@ def test_mixing_odd_input(odd_docs, no_docs):
     assert set(out.columns) == set(odd_docs.columns)
     assert out.where("source is null").count() > 0 and out.where("doc_id is null").count() > 0
     assert mixing.replicate_to_weights(no_docs).count() == 0
+
+
+def test_mixing_draws_each_text_without_an_id(spark):
+    """Documents without an id are told apart by their text: neither all nor none stay."""
+    rows = [(None, f"text number {i} of a source", "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.replicate_to_weights(df)
+    copies = {r["text"]: r["n"] for r in got.groupBy("text").agg(F.count("*").alias("n")).collect()}
+    assert 1700 < len(copies) < 2100 and 2800 < sum(copies.values()) < 3200     # 1 - exp(-1) of them, 3000 copies
+    assert got.select("shuffle_key").distinct().count() == got.count()
+
+
+def test_small_sides_are_written_by_many_tasks():
+    import inspect
+
+    from keelson.llm import quality
+    assert all("coalesce(1)" not in inspect.getsource(m) for m in (mixing, quality))
