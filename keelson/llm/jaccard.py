@@ -396,10 +396,18 @@ def near_copy_components(docs: DataFrame, percent: int = PERCENT, size: int = SH
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The document with the smallest doc_id of every component, all columns,
-    one row each; rows without a doc_id stay as they are."""
-    kept = (near_copy_components(docs, percent, size).where("doc_id = component_id")
-            .select(F.col("doc_id").alias("_kept")).distinct())
-    one = (docs.alias("d").join(kept.alias("k"), F.col("d.doc_id") == F.col("k._kept"), "left_semi")
-           .dropDuplicates(["doc_id"]))
-    return one.unionByName(docs.where("doc_id is null"))
+    """The document with the smallest doc_id of every component, all columns, one
+    row each; a document without a doc_id comes after all others of its component.
+
+    A document is a doc_id with a text: unlike texts under one doc_id are judged on
+    their own and stay, rows that repeat both leave one, and copies without a
+    doc_id leave one."""
+    text, key = F.col("text").cast("string"), "__document"
+    number = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), text.isNull(), text)
+    rows = docs.withColumn(key, number)
+    found = near_copy_components(rows.select(F.col(key).alias("doc_id"), text.alias("text")), percent, size)
+    named = rows.select(key, F.col("doc_id").cast("long").alias("id")).distinct()
+    kept = (found.select(F.col("doc_id").alias(key), "component_id").distinct().join(named, key).groupBy("component_id")
+            .agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", key))[key].alias("_kept")))
+    return (rows.alias("d").join(kept.alias("k"), F.col(f"d.{key}") == F.col("k._kept"), "left_semi")
+            .dropDuplicates([key]).select(*docs.columns))
