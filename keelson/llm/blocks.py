@@ -9,21 +9,24 @@ per (block, bucket): sorted, delta-coded byte planes.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keelson.llm.textops import TextSlice, pad_documents, text_slices
-from keelson.session import scratch_path
+from keelson.session import checkpoint_dir, release
 
-__all__ = ["BLOCK_BYTES", "NULL_ID", "ENTRY_SCHEMA", "pack", "unpack", "write_blocks", "Block", "KeyRuns", "deltas",
+__all__ = ["BLOCK_BYTES", "NULL_ID", "ENTRY_SCHEMA", "pack", "unpack", "new_block_table", "write_blocks", "drop_blocks", "Block", "KeyRuns", "deltas",
            "entry_rows", "blocks_of", "by_bucket"]
 
 BLOCK_BYTES = 2 << 20   # a worker holds about 60 bytes for every byte of a block
+BUCKET_TEXT = 16 << 20  # bytes of text in a bucket of the block table
 NULL_ID = np.iinfo(np.int64).min
 BLOCK_SCHEMA = "block_id long, n_bytes long, doc_ids binary, lengths binary, body binary"
 ENTRY_SCHEMA = "bucket int, block_id long, entries binary"
@@ -77,18 +80,34 @@ def _block_batches(block_bytes: int) -> Callable:
     return run
 
 
-def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def new_block_table() -> str:
+    return f"text_blocks_{uuid.uuid4().hex[:12]}"
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/keelson/{name}"
+
+
+def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, name: str | None = None) -> DataFrame:
     """The corpus as a table of compressed blocks, bucketed by block_id so that
-    joins on block_id read it in place."""
+    joins on block_id read it in place.  The number of buckets follows the bytes
+    of text; it is no smaller than the number of shuffle partitions, below which
+    Spark would shuffle the blocks to join them."""
     spark = docs.sparkSession
-    name = f"text_blocks_{uuid.uuid4().hex[:12]}"
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (pad_documents(docs).mapInArrow(_block_batches(block_bytes), BLOCK_SCHEMA)
-     .write.format("parquet").option("path", scratch_path(spark, "text_blocks"))
-     .bucketBy(buckets, "block_id").saveAsTable(name))
+    name, padded = name or new_block_table(), pad_documents(docs)
+    total = padded.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_TEXT))
+    (padded.mapInArrow(_block_batches(block_bytes), BLOCK_SCHEMA)
+     .write.format("parquet").option("path", _folder(spark, name)).bucketBy(buckets, "block_id").saveAsTable(name))
     return spark.table(name)
 
 
+def drop_blocks(spark: SparkSession, name: str) -> None:
+    """Drop a block table and its files, once what was made from it is written."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    release(spark, _folder(spark, name))
+
+
 class Block:
     """One block's documents; ``dropped`` marks those to leave out."""
 

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.blocks import (ENTRY_SCHEMA, NULL_ID, Block, KeyRuns, blocks_of, by_bucket, deltas, entry_rows, pack,
-                                unpack, write_blocks)
+                                drop_blocks, new_block_table, unpack, write_blocks)
 from keelson.llm.components import connected_components
 from keelson.llm.textops import TextSlice, mix64, word_windows
 from keelson.session import scratch_path
@@ -56,7 +56,7 @@ PERCENT = 80
 BLOCK = 512            # rows of the matrix per block
 CHUNK_COLUMNS = 4096   # columns per partial product
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 EXACT_CLASSES = 128    # frequencies below are their own class, above in eighths of powers of two
 
 SET_SCHEMA = "doc_id long, block_id long, nth int, n long, sig1 long, sig2 long"
@@ -380,12 +380,14 @@ def near_copy_components(docs: DataFrame, percent: int = PERCENT, size: int = SH
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     path = scratch_path(spark, "jaccard")
-    blocks = write_blocks(docs)
+    table = new_block_table()
+    blocks = write_blocks(docs, name=table)
     blocks.select("block_id", "doc_ids", "lengths", "body").mapInArrow(_set_batches(size), SET_SCHEMA).write.parquet(f"{path}/sets")
     sets = spark.read.parquet(f"{path}/sets")
     first, dropped = _same_sets(sets)
     dropped.write.parquet(f"{path}/dropped")
     similarity_links(blocks, spark.read.parquet(f"{path}/dropped"), percent, size).write.parquet(f"{path}/links")
+    drop_blocks(spark, table)
     found = connected_components(spark.read.parquet(f"{path}/links"))
     groups = (first.join(found, first["first.doc_id"] == found["node"], "left")
               .select("n", "sig1", "sig2", F.coalesce("component", "first.doc_id").alias("group")))

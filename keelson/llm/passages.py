@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.blocks import (BLOCK_BYTES, ENTRY_SCHEMA, NULL_ID, Block, KeyRuns, blocks_of, by_bucket, deltas, entry_rows,
-                                pack, unpack, write_blocks)
+                                drop_blocks, new_block_table, pack, unpack, write_blocks)
 from keelson.llm.textops import word_windows
 from keelson.session import scratch_path
 
@@ -522,11 +522,11 @@ def shared_passages(docs: DataFrame, **options) -> DataFrame:
 
 
 def _packed_passages(docs: DataFrame, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES,
-                     bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                     bucket_bytes: int = BUCKET_BYTES, table: str | None = None) -> DataFrame:
     """Shared passages with the packed row (block_id, nth) that each stands in."""
     spark = docs.sparkSession
     path = scratch_path(spark, "passages")
-    blocks = write_blocks(docs, block_bytes)
+    blocks = write_blocks(docs, block_bytes, table)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
 
@@ -591,9 +591,12 @@ def remove_passages(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "remove_passages")
     text, key = F.col("text").cast("string"), ["id", "md5"]
+    # the text travels once: the other columns go along without it
     keyed = docs.select(text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"),
-                        F.md5(F.coalesce(text, F.lit(""))).alias("md5"), F.struct("*").alias("row"))
-    rows = (_packed_passages(docs, **options)
+                        F.md5(F.coalesce(text, F.lit(""))).alias("md5"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    table = new_block_table()
+    rows = (_packed_passages(docs, table=table, **options)
             .groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "md5", "block_id", "nth")
             .agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans")))
     # all rows of one id and text but the first have the same passages: all that the first has and all seen in it
@@ -603,6 +606,7 @@ def remove_passages(docs: DataFrame, **options) -> DataFrame:
     copies = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
     groups.join(copies, key).withColumn("first_spans", F.when(F.col("cut") == F.col("copies"), F.col("first_spans"))
                                         ).write.parquet(f"{path}/groups")
+    drop_blocks(spark, table)
     groups = spark.read.parquet(f"{path}/groups")
     repeated = groups.where("copies > 1").select(*key, "spans", "first_spans")
     repeated.write.parquet(f"{path}/repeated")
