@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 __all__ = ["mix64", "ByteHasher", "TextSlice", "text_slices", "pad_documents", "word_windows", "segment_sums"]
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
