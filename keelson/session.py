@@ -51,7 +51,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     (local tests)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if spark.sparkContext.getConf().get(ARROW_BATCH, None) is None:
-        spark.conf.set(ARROW_BATCH, "16m")    # a task holds a few batches of long texts, in the JVM and in Python
+        spark.conf.set(ARROW_BATCH, "4m")    # a task holds a few batches of long texts, in the JVM and in Python
     checkpoint_dir(spark)
     return spark
 
