@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from keelson.operators import partials
 from keelson.plans import fixtures as fx
 from keelson.plans.queries import T, query
-from keelson.session import scratch_path
+from keelson.session import landed, scratch_path
 from keelson.sources.deltas import DeltaLog
 from keelson.streaming import jobs
 
@@ -85,18 +85,18 @@ LATE_SLICES = [("2024-01-08", "2024-01-15"), ("2024-01-01", "2024-01-08"), ("202
 
 @query("stream_late_rows")
 def q_stream_late_rows(spark, d):
-    """Payload files land out of time order, one with requests delivered before:
-    every row of a batch is on time, repeated or late."""
+    """Payloads land out of time order, a slice per micro-batch, one with requests
+    delivered before: every row of a batch is on time, repeated or late."""
     root = scratch_path(spark, "stream_late")
-    pay = fx.payload_table(T(spark, d, "events"))
+    pay = landed(fx.payload_table(T(spark, d, "events")), "payloads")
     landing, out = os.path.join(root, "landing"), os.path.join(root, "out")
     for i, (first, end) in enumerate(LATE_SLICES):
         t = F.col("request_time")
         part = pay.where((t >= F.lit(first).cast("timestamp")) & (t < F.lit(end).cast("timestamp")))
-        part.coalesce(1).write.parquet(os.path.join(landing, f"slice={i}"))
-    jobs.run(jobs.flatten_stream(spark, landing, pay.schema, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out,
-                                 os.path.join(root, "ck"), dedup_key="request_id", watermark="2 days",
-                                 model_name="events-model", passthrough=["request_id"], max_files_per_trigger=1))
+        part.write.parquet(os.path.join(landing, f"slice={i}"))
+        jobs.run(jobs.flatten_stream(spark, landing, pay.schema, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out,
+                                     os.path.join(root, "ck"), dedup_key="request_id", watermark="2 days",
+                                     model_name="events-model", passthrough=["request_id"]))
     return jobs.batch_counts(spark, out)
 
 
