@@ -58,24 +58,21 @@ def q_stream_dedup(spark, d):
 
 @query("stream_dedup_exact")
 def q_stream_dedup_exact(spark, d):
-    """Exact de-dup: payload files land out of time order (one file per
-    micro-batch) and are then all re-delivered; the sink-keyed mode writes
+    """Exact de-dup: payloads land out of time order in four deliveries (one per
+    micro-batch) and are then all re-delivered in two; the sink-keyed mode writes
     every record exactly once and drops nothing as late."""
     root = scratch_path(spark, "stream_dedup_exact")
-    pay = fx.payload_table(T(spark, d, "events"))
+    pay = landed(fx.payload_table(T(spark, d, "events")), "payloads")
     landing = os.path.join(root, "landing")
     out, ck = os.path.join(root, "out"), os.path.join(root, "ck")
-
-    def drain():
-        jobs.run(jobs.flatten_stream(
-            spark, landing, pay.schema, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, ck,
-            dedup_key="request_id", dedup_mode="sink", align="position", model_name="events-model",
-            passthrough=["request_id", "execution_duration_ms"], max_files_per_trigger=1))
-
-    pay.repartition(4).write.parquet(os.path.join(landing, "copy=0"))
-    drain()
-    pay.repartition(2).write.parquet(os.path.join(landing, "copy=1"))
-    drain()
+    for copy, n in enumerate((4, 2)):
+        delivery = F.pmod(F.xxhash64("request_id", "request_time"), F.lit(n))
+        for i in range(n):
+            pay.where(delivery == i).write.parquet(os.path.join(landing, f"copy={copy}", f"delivery={i}"))
+            jobs.run(jobs.flatten_stream(
+                spark, landing, pay.schema, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, out, ck,
+                dedup_key="request_id", dedup_mode="sink", align="position", model_name="events-model",
+                passthrough=["request_id", "execution_duration_ms"]))
     return jobs.flattened(spark, out)
 
 

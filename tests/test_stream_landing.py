@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from keelson.operators import monitor
 from keelson.plans import fixtures as fx
 from keelson.streaming import queries as sq
 
@@ -65,3 +66,14 @@ def test_late_row_slices_without_rows_are_batches(spark, tmp_dir, monkeypatch):
     ev.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(os.path.join(tmp_dir, "events.parquet"))
     got, _ = run_in(monkeypatch, tmp_dir, spark, sq.q_stream_late_rows, tmp_dir)
     assert sorted(map(tuple, got.collect())) == [(0, 1, 1, 0, 0)] + [(i, 0, 0, 0, 0) for i in range(1, 5)]
+
+
+def test_exact_dedup_deliveries_are_not_written_by_one_task(spark, tmp_dir, events_dir, small_splits, monkeypatch):
+    got, folders = run_in(monkeypatch, tmp_dir, spark, sq.q_stream_dedup_exact, events_dir)
+    assert len(folders) == 6 and all(n > 1 for n in folders.values())
+    assert len(glob.glob(os.path.join(tmp_dir, "stream_dedup_exact", "out", "commit=d*"))) == 6       # a delivery is one batch
+    pay = fx.payload_table(fx.table(spark, events_dir, "events"))
+    once = monitor.flatten_payload(pay, fx.REQUEST_SCHEMA, fx.RESPONSE_SCHEMA, align="position", model_name="events-model",
+                                   passthrough=["request_id", "execution_duration_ms"])
+    want = once.unionByName(once.where("request_id is null"))                 # rows without a key all stay
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
